@@ -51,6 +51,8 @@ def order_value(df: DataFrame, column: str) -> Column:
         return F.unix_micros(F.col(column))
     if isinstance(dtype, T.DateType):
         return F.unix_date(F.col(column))
+    if isinstance(dtype, T.DecimalType):
+        return F.col(column).cast("double")
     return F.col(column)
 
 

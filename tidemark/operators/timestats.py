@@ -94,19 +94,15 @@ def pacf(
 ) -> DataFrame:
     """Partial autocorrelation for lags 0..``max_lag`` (Yule-Walker)."""
     table = acf(df, column, time_col, max_lag, keys, prof)
-    schema = T.StructType(
-        [df.schema[k] for k in keys] + [T.StructField("lag", T.LongType()), T.StructField("pacf", T.DoubleType())]
-    )
+    # One array of max_lag + 1 numbers per series.
+    rows = table.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("lag", "acf"))).alias("__r"))
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("lag")
-        pdf["pacf"] = levinson_durbin(pdf["acf"].to_numpy(dtype=float))
-        return pdf[[*keys, "lag", "pacf"]]
+    @F.pandas_udf("array<double>")
+    def solve(lags: pd.Series) -> pd.Series:
+        return lags.map(lambda r: levinson_durbin(np.asarray(r, dtype=float)))
 
-    # Groups hold max_lag + 1 rows.
-    group = list(keys) or [F.lit(0)]
-    out = table.select(*keys, "lag", "acf").groupBy(*group).applyInPandas(solve, schema)
-    return out.withColumn("pacf", F.nanvl("pacf", F.lit(None).cast("double")))
+    solved = rows.select(*keys, F.posexplode(solve(F.transform("__r", lambda c: c["acf"]))).alias("lag", "pacf"))
+    return solved.select(*keys, F.col("lag").cast("bigint").alias("lag"), F.nanvl("pacf", F.lit(None).cast("double")).alias("pacf"))
 
 
 def adf_p_value(stat: float) -> float:

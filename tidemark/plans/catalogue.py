@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import explore, prepare  # noqa: F401  (importing registers the queries)
+from . import explore, forecast, prepare  # noqa: F401  (importing registers the queries)
 from .register import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
