@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import numeric_columns
 from ..schema import SENTINEL
-from .ordered import with_group_stats
+from .ordered import attach, with_group_stats
 from .quantiles import grouped_quantiles
 
 
@@ -61,12 +61,7 @@ def with_iqr_bounds(df: DataFrame, column: str, keys: Sequence[str] = (), factor
         (q1 - factor * (q3 - q1)).alias("lower"),
         (q3 + factor * (q3 - q1)).alias("upper"),
     )
-    names = ["q1", "q3", "lower", "upper"]
-    if not keys:
-        one = bounds.select(F.struct(*names)).scalar()
-        return df.withColumn("__s", one).select(*df.columns, *[F.col("__s")[n].alias(n) for n in names])
-    per_key = bounds.select(F.struct(*keys).alias("__gk"), *names)
-    return df.withColumn("__k", F.struct(*keys)).join(per_key, F.col("__k") == F.col("__gk")).select(*df.columns, *names)
+    return attach(df, bounds, ["q1", "q3", "lower", "upper"], keys)
 
 
 def iqr_outliers(df: DataFrame, column: str, keys: Sequence[str] = (), **kw) -> DataFrame:

@@ -46,14 +46,14 @@ def order_value(df: DataFrame, column: str) -> Column:
     """The order column as a number that sorts alike."""
     dtype = df.schema[column].dataType
     if isinstance(dtype, T.TimestampNTZType):
-        return F.unix_micros(F.col(column).cast("timestamp"))
+        return F.unix_micros(F.col(f"`{column}`").cast("timestamp"))
     if isinstance(dtype, T.TimestampType):
-        return F.unix_micros(F.col(column))
+        return F.unix_micros(F.col(f"`{column}`"))
     if isinstance(dtype, T.DateType):
-        return F.unix_date(F.col(column))
+        return F.unix_date(F.col(f"`{column}`"))
     if isinstance(dtype, T.DecimalType):
-        return F.col(column).cast("double")
-    return F.col(column)
+        return F.col(f"`{column}`").cast("double")
+    return F.col(f"`{column}`")
 
 
 def profile(
@@ -63,20 +63,32 @@ def profile(
     bucket_rows: int | None = None,
 ) -> Profile:
     """One pass over the order column alone; the result has at most ``MAX_BUCKETS`` numbers."""
+    return profile_with(df, order_by, F.lit(None), plain_rows, bucket_rows)[0]
+
+
+def profile_with(
+    df: DataFrame,
+    order_by: str,
+    extra: Column,
+    plain_rows: int | None = None,
+    bucket_rows: int | None = None,
+) -> tuple[Profile, object]:
+    """The profile and one more aggregate from the same pass."""
     plain_rows = PLAIN_ROWS if plain_rows is None else plain_rows
     bucket_rows = BUCKET_ROWS if bucket_rows is None else bucket_rows
     # As SQL text: thousands of literals are slow to hand over one by one.
     probs = ", ".join(f"{i / MAX_BUCKETS}D" for i in range(1, MAX_BUCKETS))
-    row = df.select(order_value(df, order_by).alias("o")).agg(
+    row = df.withColumn("__o", order_value(df, order_by)).agg(
         F.count(F.lit(1)).alias("n"),
-        F.expr(f"percentile_approx(o, array({probs}), {4 * MAX_BUCKETS})").alias("cuts"),
+        F.expr(f"percentile_approx(__o, array({probs}), {4 * MAX_BUCKETS})").alias("cuts"),
+        extra.alias("extra"),
     ).first()
     if row["n"] <= plain_rows or not row["cuts"]:
-        return Profile(row["n"])
+        return Profile(row["n"]), row["extra"]
     buckets = min(MAX_BUCKETS, max(2, -(-row["n"] // bucket_rows)))
     cuts = [row["cuts"][i * MAX_BUCKETS // buckets - 1] for i in range(1, buckets)]
     finite = {c for c in cuts if not (isinstance(c, float) and not math.isfinite(c))}
-    return Profile(row["n"], tuple(sorted(finite)))
+    return Profile(row["n"], tuple(sorted(finite))), row["extra"]
 
 
 def _bucket(order: Column, cuts: Sequence) -> Column:
@@ -122,11 +134,11 @@ def place(
     )
     size = F.sum(weight) if weight else F.count(F.lit(1))
     picks = [size.alias("__n")]
-    order = F.col(order_by)
+    order = F.col(f"`{order_by}`")
     if before:
-        picks.append(F.max_by(F.struct(*[F.col(c).alias(n) for n, c in before.items()]), order).alias("__last"))
+        picks.append(F.max_by(F.struct(*[F.col(f"`{c}`").alias(n) for n, c in before.items()]), order).alias("__last"))
     if after:
-        picks.append(F.min_by(F.struct(*[F.col(c).alias(n) for n, c in after.items()]), order).alias("__first"))
+        picks.append(F.min_by(F.struct(*[F.col(f"`{c}`").alias(n) for n, c in after.items()]), order).alias("__first"))
     # One row per (series, bucket): at most MAX_BUCKETS rows in a window here.
     along = Window.partitionBy("__k").orderBy("__b")
     edges = tagged.groupBy("__k", "__b").agg(*picks)
@@ -147,15 +159,15 @@ def place(
     if weight:
         cols["__run"] = F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, -1))
     for name, c in before.items():
-        cols[f"__p_{name}"] = F.lag(c).over(inside)
+        cols[f"__p_{name}"] = F.lag(F.col(f"`{c}`")).over(inside)
     for name, c in after.items():
-        cols[f"__f_{name}"] = F.lead(c).over(inside)
+        cols[f"__f_{name}"] = F.lead(F.col(f"`{c}`")).over(inside)
     if after:
         cols["__back"] = F.row_number().over(Window.partitionBy("__k", "__b").orderBy(F.col(order_by).desc()))
     placed = tagged.withColumns(cols).join(
         edges, (F.col("__k") == F.col("__ek")) & (F.col("__b") == F.col("__eb"))
     )
-    out = [F.col(c) for c in df.columns]
+    out = [F.col(f"`{c}`") for c in df.columns]
     if start:
         run = F.coalesce(F.col("__run"), zero) if weight else F.col("__rn") - 1
         out.append((F.col("__off") + run).alias(start))
@@ -183,8 +195,8 @@ def _place_plain(df, order_by, keys, start, total, weight, before, after) -> Dat
         cols[start] = (F.row_number().over(along) - 1).cast("bigint")
     if total:
         cols[total] = (F.sum(weight) if weight else F.count(F.lit(1))).over(series)
-    cols.update({name: F.lag(c).over(along) for name, c in before.items()})
-    cols.update({name: F.lead(c).over(along) for name, c in after.items()})
+    cols.update({name: F.lag(F.col(f"`{c}`")).over(along) for name, c in before.items()})
+    cols.update({name: F.lead(F.col(f"`{c}`")).over(along) for name, c in after.items()})
     return df.withColumns(cols)
 
 
@@ -241,20 +253,22 @@ def over_blocks(
     )
 
 
-def with_group_stats(df: DataFrame, stats: Mapping[str, Column], keys: Sequence[str] = ()) -> DataFrame:
-    """Attach aggregates of each series to its rows.
+def attach(df: DataFrame, per_series: DataFrame, names: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Add columns of a table that has one row per series.
 
-    Without keys the aggregate is a scalar subquery; with keys it is one row per
-    series, which Spark broadcasts only while it is small and otherwise joins
-    with its own skew handling.
+    Without keys that row is a scalar subquery; with keys it is an equi-join, which
+    Spark broadcasts only while the table is small and otherwise runs with its own
+    skew handling.
     """
-    aggs = [c.alias(n) for n, c in stats.items()]
     if not keys:
-        one = df.agg(F.struct(*aggs).alias("s")).scalar()
-        return df.withColumn("__s", one).select(*df.columns, *[F.col("__s")[n].alias(n) for n in stats])
-    per_key = df.groupBy(F.struct(*keys).alias("__gk")).agg(*aggs)
-    return (
-        df.withColumn("__k", F.struct(*keys))
-        .join(per_key, F.col("__k") == F.col("__gk"))
-        .select(*df.columns, *stats)
-    )
+        one = per_series.select(F.struct(*names)).scalar()
+        held = df.withColumn("__s", one)
+        return held.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col("__s")[n].alias(n) for n in names])
+    right = per_series.select(F.struct(*keys).alias("__gk"), *names)
+    joined = df.withColumn("__jk", F.struct(*keys)).join(right, F.col("__jk") == F.col("__gk"))
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], *names)
+
+
+def with_group_stats(df: DataFrame, stats: Mapping[str, Column], keys: Sequence[str] = ()) -> DataFrame:
+    """Attach aggregates of each series to its rows."""
+    return attach(df, df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()]), list(stats), keys)

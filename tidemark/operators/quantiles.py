@@ -34,15 +34,17 @@ def grouped_quantiles(
     keys: Sequence[str] = (),
     group_rows: int | None = None,
     prof: Profile | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
     """One row per group with an array of quantiles for every column (null if it has no value).
 
     Groups up to ``group_rows`` rows use the built-in exact aggregate. If any group
     is larger, equal values are counted before the shuffle and the ranks come
-    from a distributed running total, so no task ever holds a group.
+    from a distributed running total, so no task ever holds a group. ``largest`` is
+    the size of the biggest group where the caller knows it.
     """
     limit = GROUP_ROWS if group_rows is None else group_rows
-    if largest_group(df, keys) <= limit:
+    if (largest_group(df, keys) if largest is None else largest) <= limit:
         aggs = [F.percentile(F.col(f"`{c}`").cast("double"), F.lit(list(probs))).alias(c) for c in columns]
         return df.groupBy(*keys).agg(*aggs)
 

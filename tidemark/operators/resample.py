@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 from ..functions.columns import drop_columns, move_to_front, numeric_columns
 from ..functions.time import STEP, bin_label, check_frequency, epoch_seconds, to_epoch_seconds
 from ..schema import FREQUENCIES
-from .ordered import Profile, place, with_group_stats
+from .ordered import Profile, place, profile_with, with_group_stats
 from .quantiles import grouped_quantiles
 
 
@@ -71,10 +72,13 @@ def resample_median(
     if columns is None:
         columns = numeric_columns(df, exclude=[*keys, stamp])
     binned = df.select(*keys, bin_label(time_col, freq).alias(time_col), *[F.col(f"`{c}`") for c in columns])
-    medians = grouped_quantiles(binned, columns, [0.5], [*keys, time_col], group_rows=group_rows)
+    # One pass over keys and time gives the biggest bin and the layout of the labels.
+    sizes = binned.groupBy(*keys, time_col).agg(F.count(F.lit(1)).alias("__size"))
+    prof, largest = profile_with(sizes, time_col, F.max("__size"))
+    medians = grouped_quantiles(binned, columns, [0.5], [*keys, time_col], group_rows=group_rows, largest=largest or 0)
     flat = medians.select(*keys, time_col, *[F.col(f"`{c}`")[0].alias(c) for c in columns])
     if fill_empty:
-        flat = fill_gaps(flat, time_col, freq, keys)
+        flat = fill_gaps(flat, time_col, freq, keys, prof)
     return flat.withColumn(stamp, epoch_seconds(time_col))
 
 
@@ -88,11 +92,18 @@ def build_frequencies(
     time_col: str = "Start",
     keys: Sequence[str] = (),
     fill_empty: bool = True,
+    keep: bool = True,
 ) -> dict[str, DataFrame]:
-    """The hourly table and its daily, weekly and monthly medians, all from the frame given."""
+    """The hourly table and its daily, weekly and monthly medians, all from the frame given.
+
+    ``keep`` holds the hourly table (spilling to disk), because every output reads it;
+    a table that is stored already needs no such copy.
+    """
     if df is None or df.isEmpty():
         raise ValueError("no hourly rows")
     hourly = hourly_passthrough(df, time_col)
+    if keep:
+        hourly = hourly.persist(StorageLevel.MEMORY_AND_DISK)
     out = {"H": hourly}
     for freq in FREQUENCIES[1:]:
         medians = resample_median(hourly, time_col, freq, keys=keys, fill_empty=fill_empty)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import Profile, over_blocks, place, profile, with_position
+from .ordered import Profile, over_blocks, place, profile, with_group_stats, with_position
 
 
 def rolling_mean_std(
@@ -119,12 +119,9 @@ def seasonal_decompose(
     trended = over_blocks(series, time_col, columns, reach_back=half, reach_ahead=half, keys=keys, prof=prof)
     slot = F.col("__t") % period
     means = trended.groupBy(*keys, slot.alias("__slot")).agg(F.avg(F.col("__x") - F.col("trend")).alias("__m"))
-    overall = means.groupBy(F.struct(*keys, F.lit(0)).alias("__ok")).agg(F.avg("__m").alias("__mm"))
     # At most ``period`` rows per series.
-    index = (
-        means.withColumn("__k", F.struct(*keys, F.lit(0)))
-        .join(overall, F.col("__k") == F.col("__ok"))
-        .select(F.struct(*keys, "__slot").alias("__ik"), (F.col("__m") - F.col("__mm")).alias("seasonal"))
+    index = with_group_stats(means, {"__mm": F.avg("__m")}, keys).select(
+        F.struct(*keys, "__slot").alias("__ik"), (F.col("__m") - F.col("__mm")).alias("seasonal")
     )
     joined = trended.withColumn("__slot", slot).withColumn("__k", F.struct(*keys, "__slot"))
     return joined.join(index, F.col("__k") == F.col("__ik")).select(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import numeric_columns
 from .clean import outlier_share, with_iqr_bounds
-from .ordered import with_group_stats
+from .ordered import attach, with_group_stats
 from .quantiles import grouped_quantiles, unpivot_numeric
 
 
@@ -205,9 +205,7 @@ def box_stats(df: DataFrame, column: str, keys: Sequence[str] = (), **kw) -> Dat
     bounded = with_iqr_bounds(df, column, keys, **kw)
     value = F.col(f"`{column}`")
     inside = (value >= F.col("lower")) & (value <= F.col("upper"))
-    middle = grouped_quantiles(df, [column], [0.5], keys, **kw).select(
-        F.struct(*keys, F.lit(0)).alias("__mk"), value[0].alias("median")
-    )
+    middle = grouped_quantiles(df, [column], [0.5], keys, **kw).select(*keys, value[0].alias("median"))
     ends = bounded.groupBy(*keys).agg(
         F.first("q1").alias("q1"),
         F.first("q3").alias("q3"),
@@ -215,8 +213,9 @@ def box_stats(df: DataFrame, column: str, keys: Sequence[str] = (), **kw) -> Dat
         F.max(F.when(inside, value)).alias("whisker_high"),
         F.count(F.when(~inside, 1)).alias("n_fliers"),
     )
-    joined = ends.withColumn("__k", F.struct(*keys, F.lit(0))).join(middle, F.col("__k") == F.col("__mk"))
-    return joined.select(*keys, "q1", "median", "q3", "whisker_low", "whisker_high", "n_fliers")
+    return attach(ends, middle, ["median"], keys).select(
+        *keys, "q1", "median", "q3", "whisker_low", "whisker_high", "n_fliers"
+    )
 
 
 def pair_bins(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 15, keys: Sequence[str] = ()) -> DataFrame:

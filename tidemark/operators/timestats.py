@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ordered import Profile, over_blocks, profile, with_group_stats, with_position
+from .ordered import Profile, attach, over_blocks, profile, with_group_stats, with_position
 from .resample import as_frequency
 from .sequence import seasonal_decompose
 
@@ -228,19 +228,18 @@ def adf_test(
     )
     full = histories.filter(F.size("history") == depth).select(*keys, "history")
     partials = full.mapInPandas(_gram_partials(list(keys), width), partial_schema)
-    group = F.struct(*keys, F.lit(0)).alias("__k")
-    cells = partials.select(group, F.posexplode("gram").alias("__i", "__g"))
-    summed = cells.groupBy("__k", "__i").agg(F.sum("__g").alias("__g"))
-    counted = partials.groupBy(group).agg(F.sum("rows").alias("rows"))
+    cells = partials.select(*keys, F.posexplode("gram").alias("__i", "__g"))
+    summed = cells.groupBy(*keys, "__i").agg(F.sum("__g").alias("__g"))
     # Bounded per series: width^2 sums and the first max_lag + 1 values.
-    matrix = summed.groupBy("__k").agg(F.sort_array(F.collect_list(F.struct("__i", "__g"))).alias("cells"))
+    matrix = summed.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__i", "__g"))).alias("cells"))
+    counted = partials.groupBy(*keys).agg(F.sum("rows").alias("rows"))
     heads = (
         placed.filter(F.col("__t") <= max_lag)
-        .groupBy(group)
+        .groupBy(*keys)
         .agg(F.sort_array(F.collect_list(F.struct("__t", "__x"))).alias("head"))
     )
-    ready = matrix.join(counted, "__k").join(heads, "__k").select(
-        *[F.col(f"__k.{k}").alias(k) for k in keys],
+    ready = attach(attach(matrix, counted, ["rows"], keys), heads, ["head"], keys).select(
+        *keys,
         F.transform("cells", lambda c: c["__g"]).alias("gram"),
         "rows",
         F.transform("head", lambda c: c["__x"]).alias("head"),
