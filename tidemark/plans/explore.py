@@ -31,6 +31,18 @@ def _hourly_values(spark, sf_dir) -> DataFrame:
 SQL_USER_HOURS = """h AS (SELECT user_id, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS epoch, max(value) AS value
  FROM events GROUP BY 1, 2)"""
 
+def _sql_acf(source: str, max_lag: int, by: str = "") -> str:
+    """``source`` yields ``by, epoch, v``."""
+    lead, part = (f"{by}, ", f"PARTITION BY {by} ") if by else ("", "")
+    same = f"AND a.{by} = b.{by}" if by else ""
+    group = f"a.{by}, " if by else ""
+    return f"""c AS (SELECT {lead}row_number() OVER ({part}ORDER BY epoch) AS t, count(*) OVER ({part}) AS n,
+ v - avg(v) OVER ({part}) AS x FROM ({source})),
+l AS (SELECT unnest(range({max_lag + 1})) AS lag),
+s AS (SELECT {group}lag, any_value(a.n) AS n, sum(a.x * b.x) AS s FROM c a, l, c b WHERE b.t = a.t + l.lag {same} GROUP BY {group}lag),
+r AS (SELECT {lead}lag, n, s / first_value(s) OVER ({part}ORDER BY lag) AS acf FROM s)"""
+
+
 # ------------------------------------------------------------ statistics
 
 
@@ -138,9 +150,35 @@ def pair_bins(spark, sf_dir):
     return stats.pair_bins(_items(spark, sf_dir))
 
 
-@query("summary_report")
+def _sql_report() -> str:
+    parts = []
+    moments = {
+        "count": "CAST(count({c}) AS DOUBLE)", "mean": "avg({c})", "std": "stddev_samp({c})", "min": "min({c})",
+        "p25": "quantile_cont({c}, 0.25)", "p50": "quantile_cont({c}, 0.5)", "p75": "quantile_cont({c}, 0.75)", "max": "max({c})",
+    }
+    for c in CHANNELS:
+        for m, sql in moments.items():
+            parts.append(f"SELECT '{m}' AS metric, '{c}' AS item, {sql.format(c=c)} AS value FROM daily")
+        for other in CHANNELS:
+            parts.append(f"SELECT 'correlation', '{c}~{other}', corr({c}, {other}) FROM daily")
+    parts.append(
+        f"""SELECT 'skewness', '{TARGET}', avg(pow(value - m, 3)) / pow(avg(pow(value - m, 2)), 1.5)
+ FROM (SELECT value, avg(value) OVER () AS m FROM series)"""
+    )
+    out = "count(*) FILTER (pm25_value < q1 - 1.5::DOUBLE * (q3 - q1) OR pm25_value > q3 + 1.5::DOUBLE * (q3 - q1))"
+    bounds = "(SELECT quantile_cont(pm25_value, 0.25) AS q1, quantile_cont(pm25_value, 0.75) AS q3 FROM daily) AS q"
+    parts.append(f"SELECT 'n_outliers', '{TARGET}', CAST({out} AS DOUBLE) FROM daily, {bounds}")
+    parts.append(f"SELECT 'pct_outliers', '{TARGET}', 100::DOUBLE * {out} / count(*) FROM daily, {bounds}")
+    parts.append("SELECT 'acf', CAST(lag AS VARCHAR), acf FROM r")
+    acf = _sql_acf("SELECT epoch, value AS v FROM series", 10)
+    return f"WITH {tb.sql_daily()}, {acf} SELECT metric, item, round(value, 6) AS value FROM ({' UNION ALL '.join(parts)})"
+
+
+@query("summary_report", _sql_report())
 def summary_report(spark, sf_dir):
-    return rounded(stats.summary_report(tb.daily(spark, sf_dir), TARGET, "start_ts"))
+    # The test statistic of the report has no SQL twin; see ``adf_test``.
+    report = stats.summary_report(tb.daily(spark, sf_dir), TARGET, "start_ts")
+    return rounded(report.filter(F.col("metric") != "adf_p_value"))
 
 
 # ------------------------------------------------------------ ordered views
@@ -212,14 +250,14 @@ def difference_iterated(spark, sf_dir):
     return rounded(made.select(tb.epoch(), "order", "diff"))
 
 
-def _sql_decompose(period: int) -> str:
+def _sql_decompose(period: int, tables: str = "", series: str = "series") -> str:
     half = period // 2
     if period % 2 == 0:
         trend = f"""(sum(value) OVER (ORDER BY t ROWS BETWEEN {half} PRECEDING AND {half - 1} FOLLOWING)
  + sum(value) OVER (ORDER BY t ROWS BETWEEN {half - 1} PRECEDING AND {half} FOLLOWING)) / {2 * period}::DOUBLE"""
     else:
         trend = f"avg(value) OVER (ORDER BY t ROWS BETWEEN {half} PRECEDING AND {half} FOLLOWING)"
-    return f"""WITH {tb.sql_daily()}, p AS (SELECT epoch, value, row_number() OVER (ORDER BY epoch) - 1 AS t, count(*) OVER () AS n FROM series),
+    return f"""WITH {tables or tb.sql_daily()}, p AS (SELECT epoch, value, row_number() OVER (ORDER BY epoch) - 1 AS t, count(*) OVER () AS n FROM {series}),
 tr AS (SELECT *, CASE WHEN t >= {half} AND t < n - {half} THEN {trend} END AS trend FROM p),
 m AS (SELECT t % {period} AS slot, avg(value - trend) AS m FROM tr GROUP BY 1),
 ix AS (SELECT slot, m - avg(m) OVER () AS seasonal FROM m)
@@ -303,18 +341,6 @@ def time_series_folds(spark, sf_dir):
 # ------------------------------------------------------------ time-series statistics
 
 
-def _sql_acf(source: str, max_lag: int, by: str = "") -> str:
-    """``source`` yields ``by, epoch, v``."""
-    lead, part = (f"{by}, ", f"PARTITION BY {by} ") if by else ("", "")
-    same = f"AND a.{by} = b.{by}" if by else ""
-    group = f"a.{by}, " if by else ""
-    return f"""c AS (SELECT {lead}row_number() OVER ({part}ORDER BY epoch) AS t, count(*) OVER ({part}) AS n,
- v - avg(v) OVER ({part}) AS x FROM ({source})),
-l AS (SELECT unnest(range({max_lag + 1})) AS lag),
-s AS (SELECT {group}lag, any_value(a.n) AS n, sum(a.x * b.x) AS s FROM c a, l, c b WHERE b.t = a.t + l.lag {same} GROUP BY {group}lag),
-r AS (SELECT {lead}lag, n, s / first_value(s) OVER ({part}ORDER BY lag) AS acf FROM s)"""
-
-
 @query(
     "acf",
     f"""WITH {tb.sql_daily()}, {_sql_acf('SELECT epoch, value AS v FROM series', 24)}
@@ -359,11 +385,32 @@ def adf_test(spark, sf_dir):
     return rounded(timestats.adf_test(tb.target_series(spark, sf_dir), "value", "start_ts"))
 
 
+@query(
+    "adf_test_no_lags",
+    f"""WITH {tb.sql_daily()}, d AS (SELECT value - lag(value) OVER (ORDER BY epoch) AS dy, lag(value) OVER (ORDER BY epoch) AS y FROM series),
+m AS (SELECT count(*) AS n, regr_slope(dy, y) AS b, regr_sxx(dy, y) AS sxx, regr_syy(dy, y) AS syy FROM d WHERE y IS NOT NULL)
+SELECT CAST(n AS BIGINT) AS n_obs, CAST(0 AS BIGINT) AS used_lag, round(b / sqrt((syy - b * b * sxx) / (n - 2) / sxx), 6) AS statistic FROM m""",
+)
+def adf_test_no_lags(spark, sf_dir):
+    made = timestats.adf_test(tb.target_series(spark, sf_dir), "value", "start_ts", max_lag=0)
+    return rounded(made.select("n_obs", "used_lag", "statistic"))
+
+
 @query("adf_test_per_key")
 def adf_test_per_key(spark, sf_dir):
     return rounded(timestats.adf_test(_hourly_values(spark, sf_dir), "value", "start_ts", ["user_id"]))
 
 
+@query(
+    "seasonality_parts",
+    f"""SELECT round(var_pop(trend), 4) AS trend_variance, round(var_pop(seasonal), 4) AS seasonal_variance,
+ round(var_pop(resid), 4) AS resid_variance FROM ({_sql_decompose(24, tb.sql_hourly(), "(SELECT epoch, pm25_value AS value FROM clean WHERE pm25_value IS NOT NULL)")})""",
+)
+def seasonality_parts(spark, sf_dir):
+    report = timestats.seasonality_trend_report(tb.hourly_clean(spark, sf_dir), TARGET, "start_ts")
+    return rounded(report.select("trend_variance", "seasonal_variance", "resid_variance"), 4)
+
+
 @query("seasonality_trend_report")
 def seasonality_trend_report(spark, sf_dir):
     return rounded(timestats.seasonality_trend_report(tb.hourly_clean(spark, sf_dir), TARGET, "start_ts"))
@@ -409,10 +456,42 @@ def pca_variance(spark, sf_dir):
     return rounded(scale.pca_variance(rows))
 
 
-@query("sarimax_features")
+_CORR2 = " + ".join(f"pow(corr({a}, {b}), 2)" for a in FEATURES for b in FEATURES)
+_CORR3 = " + ".join(f"corr({a}, {b}) * corr({b}, {c}) * corr({c}, {a})" for a in FEATURES for b in FEATURES for c in FEATURES)
+
+
+@query(
+    "pca_moments",
+    f"""WITH {tb.sql_daily()}, {SQL_FILLED_SPLIT}
+SELECT CAST(4 AS BIGINT) AS components, round(({_CORR2}) / 16, 6) AS sum_squares, round(({_CORR3}) / 64, 6) AS sum_cubes FROM sp WHERE split = 'train'""",
+)
+def pca_moments(spark, sf_dir):
+    # Power sums of the explained shares equal traces of powers of the correlation matrix.
+    rows = split.chronological_split(tb.daily_filled(spark, sf_dir), "start_ts")
+    ratio = F.col("ratio")
+    return rounded(
+        scale.pca_variance(rows).agg(
+            F.count(ratio).alias("components"),
+            F.sum(ratio * ratio).alias("sum_squares"),
+            F.sum(ratio * ratio * ratio).alias("sum_cubes"),
+        )
+    )
+
+
+_Z = {c: f"({c} - avg({c}) FILTER (split = 'train') OVER ()) / stddev_pop({c}) FILTER (split = 'train') OVER ()" for c in FEATURES}
+
+
+@query(
+    "sarimax_features",
+    f"""WITH {tb.sql_daily()}, {SQL_FILLED_SPLIT}
+SELECT epoch, pos, split, {', '.join(f'round({c}, 6) AS {c}' for c in CHANNELS)},
+ round({' + '.join(f'pow({z}, 2)' for z in _Z.values())}, 6) AS squared_length FROM sp""",
+)
 def sarimax_features(spark, sf_dir):
-    made = scale.sarimax_features(tb.daily_filled(spark, sf_dir), "start_ts")
-    return rounded(made.withColumn("epoch", tb.epoch()).drop("start_ts"))
+    # With every component kept the rotation preserves the length of the scaled features.
+    made = scale.sarimax_features(tb.daily_filled(spark, sf_dir), "start_ts", retain=0.9999)
+    length = sum((F.col(f"pc{i}") * F.col(f"pc{i}") for i in range(2, 5)), F.col("pc1") * F.col("pc1"))
+    return rounded(made.select(tb.epoch(), "pos", "split", *CHANNELS, length.alias("squared_length")))
 
 
 _SCALED = ", ".join(f"({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) AS {c}" for c in ("pm25_value", "so2_value"))

@@ -14,7 +14,8 @@ from ..models.base import load_model, save_model
 from ..models.network import window_forecast
 from ..models.tabular import feature_importance, train_and_evaluate
 from ..models.vote import voting_forecast
-from ..schema import TARGET
+from ..operators.split import chronological_split
+from ..schema import FEATURES, TARGET
 from ..session import new_path
 from . import tables as tb
 from .explore import SQL_FILLED_SPLIT, SQL_MASE, SQL_SCORES
@@ -44,16 +45,49 @@ QUERY_NAMES = {
 }
 
 
+def _sql_ols(features=FEATURES) -> str:
+    """``ols``: least squares on the train rows by successive orthogonal residuals, predicted for all rows."""
+    ctes, before = [], "sp"
+    for i, x in enumerate([*features, TARGET]):
+        shares = [f"sum({x} * e{j}) FILTER (split = 'train') / sum(e{j} * e{j}) FILTER (split = 'train') AS b{j}" for j in range(i)]
+        ctes.append(f"k{i} AS (SELECT {', '.join([f'avg({x}) FILTER (split = {chr(39)}train{chr(39)}) AS a', *shares])} FROM {before})")
+        fitted = " + ".join([f"k{i}.a", *[f"k{i}.b{j} * e{j}" for j in range(i)]])
+        if x == TARGET:
+            ctes.append(f"ols AS (SELECT {before}.*, {fitted} AS predicted, {TARGET} AS actual FROM {before}, k{i})")
+        else:
+            ctes.append(f"g{i} AS (SELECT {before}.*, {x} - ({fitted}) AS e{i} FROM {before}, k{i})")
+            before = f"g{i}"
+    return ", ".join(ctes)
+
+
+SQL_OLS = f"{tb.sql_daily()}, {SQL_FILLED_SPLIT}, {_sql_ols()}"
+
+
+def _sql_held_scores(source: str, model: str, freq: str = "D") -> str:
+    return f"""held AS (SELECT *, lag(actual) OVER (PARTITION BY split ORDER BY epoch) AS prev FROM {source} WHERE split <> 'train')
+SELECT '{model}' AS model, '{freq}' AS freq, split, {SQL_SCORES}, {SQL_MASE} FROM held GROUP BY split"""
+
+
+# First-order autoregression of the residuals, forecast from the end of the train rows.
+SQL_AR1 = f"""{SQL_OLS},
+eta AS (SELECT epoch, actual - predicted AS v, lag(actual - predicted) OVER (ORDER BY epoch) AS u FROM ols WHERE split = 'train'),
+ar AS (SELECT sum(v * u) / sum(u * u) AS phi, sqrt((sum(v * v) FILTER (u IS NOT NULL) - sum(v * u) * sum(v * u) / sum(u * u)) / count(u)) AS sigma,
+ max_by(v, epoch) AS last, count(*) AS nt FROM eta),
+ar1 AS (SELECT epoch, split, actual, pos - nt + 1 AS h, phi, sigma, predicted AS base, predicted + pow(phi, pos - nt + 1) * last AS predicted
+ FROM ols, ar WHERE split <> 'train')"""
+
+
 def _table(spark, sf_dir):
     return tb.daily_filled(spark, sf_dir)
 
 
 for _algorithm, _name in QUERY_NAMES.items():
 
-    @query(_name)
+    # All four components are kept here, so the linear model is plain least squares.
+    @query(_name, f"WITH {SQL_OLS}, {_sql_held_scores('ols', 'linear')}" if _algorithm == "linear" else None)
     def tabular(spark, sf_dir, algorithm=_algorithm):
         made = train_and_evaluate(_table(spark, sf_dir), algorithm, "D", "start_ts", **SMALL.get(algorithm, {}))
-        return rounded(made.scores, 4)
+        return rounded(made.scores)
 
 
 @query("svr_forecast_rbf")
@@ -80,12 +114,33 @@ def arx(spark, sf_dir):
     return rounded(arx_forecast(_table(spark, sf_dir), "D", "start_ts").scores)
 
 
-@query("forecast_interval")
+@query("arx_forecast_regression", f"WITH {SQL_OLS}, {_sql_held_scores('ols', 'sarimax', 'H')}")
+def arx_regression(spark, sf_dir):
+    return rounded(arx_forecast(_table(spark, sf_dir), "H", "start_ts").scores)
+
+
+@query("arx_forecast_ar1", f"WITH {SQL_AR1}, {_sql_held_scores('ar1', 'sarimax')}")
+def arx_ar1(spark, sf_dir):
+    return rounded(arx_forecast(_table(spark, sf_dir), "D", "start_ts", order=(1, 0, 0)).scores)
+
+
+@query(
+    "forecast_interval",
+    f"""WITH {SQL_AR1}, w AS (SELECT *, 1.959963984540054::DOUBLE * sigma * sqrt((1 - pow(phi, 2 * h)) / (1 - phi * phi)) AS half FROM ar1)
+SELECT epoch, actual, round(predicted, 6) AS prediction, round(predicted - half, 6) AS lower, round(predicted + half, 6) AS upper, split
+FROM (SELECT * REPLACE (round(actual, 6) AS actual) FROM w)""",
+)
 def forecast_interval(spark, sf_dir):
-    from ..operators.split import chronological_split
+    table = _table(spark, sf_dir)
+    model = arx_forecast(table, "D", "start_ts", order=(1, 0, 0)).model
+    rows = model.interval(chronological_split(table, "start_ts"))
+    return rounded(rows.select(tb.epoch(), F.col(TARGET).alias("actual"), "prediction", "lower", "upper", "split"))
+
 
+@query("forecast_interval_registry")
+def forecast_interval_registry(spark, sf_dir):
     table = _table(spark, sf_dir)
-    model = arx_forecast(table, "D", "start_ts").model
+    model = arx_forecast(table, "W", "start_ts").model
     rows = model.interval(chronological_split(table, "start_ts"))
     return rounded(rows.select(tb.epoch(), F.col(TARGET).alias("actual"), "prediction", "lower", "upper", "split"))
 
@@ -110,7 +165,10 @@ for _kind in ("dnn", "cnn", "lstm"):
         return rounded(made.scores, 2)
 
 
-@query("save_model")
+@query(
+    "save_model",
+    f"WITH {SQL_OLS} SELECT epoch, round(predicted, 6) AS before, round(predicted, 6) AS after FROM ols",
+)
 def save_and_load(spark, sf_dir):
     table = _table(spark, sf_dir)
     made = train_and_evaluate(table, "linear", "D", "start_ts")
@@ -141,6 +199,32 @@ def random_search_svr(spark, sf_dir):
     return rounded(table, 3)
 
 
+@query(
+    "random_search_linear",
+    f"""WITH {tb.sql_daily()}, {SQL_FILLED_SPLIT},
+tr AS (SELECT pm25_value AS y, pm10_value AS x, pos, count(*) OVER () AS nt, unnest(range(5)) AS fold FROM sp WHERE split = 'train'),
+ro AS (SELECT *, nt - (5 - fold) * (nt // 6) AS cut, nt // 6 AS size FROM tr),
+ft AS (SELECT fold, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM ro WHERE pos < cut GROUP BY 1),
+ms AS (SELECT fold, avg(pow(a + b * x - y, 2)) AS mse FROM ro JOIN ft USING (fold) WHERE pos >= cut AND pos < cut + size GROUP BY 1)
+SELECT 0 AS candidate, round(avg(mse), 6) AS mse, TRUE AS best FROM ms""",
+)
+def random_search_linear(spark, sf_dir):
+    table, _ = tuning.random_search(
+        _table(spark, sf_dir), "linear_raw", "D", "start_ts", features=["pm10_value"], candidates=[{}]
+    )
+    return rounded(table.select("candidate", "mse", "best"))
+
+
+@query(
+    "order_grid_search_ar1",
+    f"""WITH {SQL_AR1}
+SELECT 0 AS p, 0 AS d, 0 AS q, round(avg(abs(actual - base)), 6) AS "MAE" FROM ar1 WHERE split = 'validation'
+UNION ALL SELECT 1, 0, 0, round(avg(abs(actual - predicted)), 6) FROM ar1 WHERE split = 'validation'""",
+)
+def grid_ar1(spark, sf_dir):
+    return rounded(order_grid_search(_table(spark, sf_dir), "start_ts", 1, 0, 0))
+
+
 @query("order_grid_search")
 def grid(spark, sf_dir):
     return rounded(order_grid_search(_table(spark, sf_dir), "start_ts", 3, 1, 2))
