@@ -221,6 +221,7 @@ def over_blocks(
     reach_ahead: int = 0,
     keys: Sequence[str] = (),
     prof: Profile | None = None,
+    position: str | None = None,
     block_rows: int | None = None,
 ) -> DataFrame:
     """Evaluate window columns whose frames reach a fixed number of rows.
@@ -228,12 +229,16 @@ def over_blocks(
     ``columns`` receives the window (partitioned and ordered) and returns the new
     columns. Long series are cut into blocks of positions; each block also gets
     the ``reach_back`` rows ahead of it and the ``reach_ahead`` rows behind it.
+    ``position`` names a column that holds the positions already.
     """
     prof = prof or profile(df, order_by)
     if prof.plain:
         return df.withColumns(dict(columns(Window.partitionBy(*keys).orderBy(order_by))))
     size = max(block_rows or BLOCK_ROWS, reach_back, reach_ahead, 1)
-    placed = with_position(df, order_by, keys, "__pos", prof=prof)
+    if position:
+        placed = df.withColumn("__pos", F.col(position))
+    else:
+        placed = with_position(df, order_by, keys, "__pos", prof=prof)
     block = (F.col("__pos") / size).cast("bigint")
     within = F.col("__pos") % size
     copies = [F.struct(block.alias("id"), F.lit(True).alias("own"))]

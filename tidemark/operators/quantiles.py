@@ -7,10 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import Profile, place
+from ..session import cut_lineage
+from .ordered import Profile, attach, place
 
 # Largest group that one task may hold as a value -> count map.
 GROUP_ROWS = 1 << 20
+# Accuracy of the bracketing sketch.
+SKETCH = 10_000
 
 
 def unpivot_numeric(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -39,34 +42,64 @@ def grouped_quantiles(
     """One row per group with an array of quantiles for every column (null if it has no value).
 
     Groups up to ``group_rows`` rows use the built-in exact aggregate. If any group
-    is larger, equal values are counted before the shuffle and the ranks come
-    from a distributed running total, so no task ever holds a group. ``largest`` is
-    the size of the biggest group where the caller knows it.
+    is larger, a sketch brackets every quantile, the rows below a bracket are counted
+    and only those inside are ranked, by a distributed running total; no task ever
+    holds a group. ``largest`` is the size of the biggest group where the caller
+    knows it.
     """
     limit = GROUP_ROWS if group_rows is None else group_rows
     if (largest_group(df, keys) if largest is None else largest) <= limit:
         aggs = [F.percentile(F.col(f"`{c}`").cast("double"), F.lit(list(probs))).alias(c) for c in columns]
         return df.groupBy(*keys).agg(*aggs)
 
+    match = [*keys, "column"]
+    rows = unpivot_numeric(df, columns, keys)
+    # A sketch (rank error at most n / SKETCH) brackets each quantile; small groups are kept whole.
+    wide = [min(1.0, max(0.0, p + side * 3.0 / SKETCH)) for p in probs for side in (-1, 1)]
+    size = F.count("value")
+    brackets = rows.groupBy(*match).agg(
+        size.alias("__n"),
+        F.when(size > SKETCH, F.percentile_approx("value", wide, SKETCH)).alias("__ends"),
+    )
+    bounded = attach(rows.filter(F.col("value").isNotNull()), brackets, ["__ends"], match)
+    value = F.col("value")
+    cells = []
+    for i in range(len(probs)):
+        low, high = F.get("__ends", F.lit(2 * i)), F.get("__ends", F.lit(2 * i + 1))
+        # Rows below a bracket are only counted: they share the null value, which sorts first.
+        inside = F.struct(F.lit(i).alias("i"), F.when(low.isNull() | (value >= low), value).alias("v"))
+        cells.append(F.when(high.isNull() | (value <= high), inside))
     counts = (
-        unpivot_numeric(df, columns, keys)
-        .groupBy(*keys, "column", "value")
+        bounded.select(*match, F.explode(F.array(*cells)).alias("__cell"))
+        .filter(F.col("__cell").isNotNull())
+        .groupBy(*match, "__cell.i", "__cell.v")
         .agg(F.count(F.lit(1)).alias("__c"))
-        .withColumn("__w", F.when(F.col("value").isNull(), 0).otherwise(F.col("__c")))
     )
-    ranked = place(counts, "value", [*keys, "column"], start="__from", total="__total", weight="__w", prof=prof)
-    holds = []
-    for i, p in enumerate(probs):
-        rank = F.lit(float(p)) * (F.col("__total") - 1)
-        for side, at in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
-            inside = (at >= F.col("__from")) & (at < F.col("__from") + F.col("__w"))
-            holds.append(F.max(F.when(inside, F.col("value"))).alias(f"__{side}{i}"))
-        holds.append(F.max(rank - F.floor(rank)).alias(f"__f{i}"))
-    picked = ranked.groupBy(*keys, "column").agg(*holds)
-    between = [
-        F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * F.col(f"__f{i}") for i in range(len(probs))
-    ]
-    arrays = picked.select(*keys, "column", F.when(F.col("__lo0").isNotNull(), F.array(*between)).alias("__q"))
-    return arrays.groupBy(*keys).agg(
+    # What is left is small beside the data; stored once, it is read three times.
+    counts = cut_lineage(counts)
+    ranked = place(counts, "v", [*match, "i"], start="__from", weight="__c", prof=prof)
+    sized = attach(ranked, brackets.select(*match, "__n"), ["__n"], match)
+    prob = F.element_at(F.lit([float(p) for p in probs]), F.col("i") + 1)
+    rank = prob * (F.col("__n") - 1)
+    holds = lambda at: (at >= F.col("__from")) & (at < F.col("__from") + F.col("__c"))
+    picked = sized.groupBy(*match, "i").agg(
+        F.max(F.when(holds(F.floor(rank)), F.col("v"))).alias("__lo"),
+        F.max(F.when(holds(F.ceil(rank)), F.col("v"))).alias("__hi"),
+        F.max(rank - F.floor(rank)).alias("__part"),
+    )
+    answer = F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__part")
+    lost = F.raise_error(F.lit("a quantile fell outside its bracket"))
+    checked = F.when(F.col("__lo").isNull() | F.col("__hi").isNull(), lost.cast("double")).otherwise(answer)
+    parts = picked.select(*match, F.struct("i", checked.alias("q")).alias("__q"))
+    arrays = parts.groupBy(*match).agg(F.transform(F.sort_array(F.collect_list("__q")), lambda c: c["q"]).alias("__q"))
+    found = arrays.groupBy(*keys).agg(
         *[F.max(F.when(F.col("column") == c, F.col("__q"))).alias(c) for c in columns]
     )
+    if not keys:
+        return found
+    # Groups without any value keep their row.
+    empty = df.groupBy(F.struct(*keys).alias("__gk")).agg(F.lit(None).alias("__none")).drop("__none")
+    filled = found.select(F.struct(*keys).alias("__fk"), *[F.col(f"`{c}`") for c in columns])
+    return empty.join(filled, F.col("__gk") == F.col("__fk"), "left").select(
+        *[F.col(f"__gk.{k}").alias(k) for k in keys], *[F.col(f"`{c}`") for c in columns]
+    )

@@ -108,15 +108,17 @@ def seasonal_decompose(
 
     def columns(w):
         x = F.col("__x")
-        rows = F.count(F.lit(1)).over(w.rowsBetween(-half, half))
+        whole = (F.col("__t") >= half) & (F.col("__t") < F.col("__n") - half)
         if even:
             ends = F.sum(x).over(w.rowsBetween(-half, half - 1)) + F.sum(x).over(w.rowsBetween(-half + 1, half))
             centred = ends / (2.0 * period)
         else:
             centred = F.avg(x).over(w.rowsBetween(-half, half))
-        return {"trend": F.when(rows == 2 * half + 1, centred)}
+        return {"trend": F.when(whole, centred)}
 
-    trended = over_blocks(series, time_col, columns, reach_back=half, reach_ahead=half, keys=keys, prof=prof)
+    trended = over_blocks(
+        series, time_col, columns, reach_back=half, reach_ahead=half, keys=keys, prof=prof, position="__t"
+    )
     slot = F.col("__t") % period
     means = trended.groupBy(*keys, slot.alias("__slot")).agg(F.avg(F.col("__x") - F.col("trend")).alias("__m"))
     # At most ``period`` rows per series.
@@ -157,7 +159,7 @@ def create_windows(
         }
 
     narrow = placed.select(*keys, time_col, "pos", "__n", row.alias("__row"))
-    wide = over_blocks(narrow, time_col, columns, reach_ahead=window, keys=keys, prof=prof)
+    wide = over_blocks(narrow, time_col, columns, reach_ahead=window, keys=keys, prof=prof, position="pos")
     return wide.filter(F.col("pos") <= F.col("__n") - window - 2).select(
         *keys, "pos", (F.col("__n") - window - 1).alias("n_windows"), "y_time", "x", "y"
     )

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ordered import Profile, attach, over_blocks, profile, with_group_stats, with_position
+from .ordered import Profile, over_blocks, profile, with_group_stats, with_position
 from .resample import as_frequency
 from .sequence import seasonal_decompose
 
@@ -119,74 +119,70 @@ def adf_max_lag(n: int) -> int:
     return max(0, min(n // 2 - 2, math.ceil(12.0 * (n / 100.0) ** 0.25)))
 
 
-def _lag_rows(history: np.ndarray) -> np.ndarray:
-    """Regression rows ``level, 1, lagged differences…, difference`` from value histories, oldest first."""
-    steps = np.diff(history, axis=1)
-    ones = np.ones((len(history), 1))
-    return np.hstack([history[:, -2:-1], ones, steps[:, -2::-1], steps[:, -1:]])
+def _adf_gram(sums: dict, head: np.ndarray, tail: np.ndarray, n: int, lags: int) -> tuple[np.ndarray, int]:
+    """Cross products of ``level, 1, difference lags 1..lags, difference`` over the rows lags+1 .. n-1.
 
-
-def _adf_solve(gram: np.ndarray, rows: int, head: np.ndarray, max_lag: int) -> tuple:
-    """Choose the lag by AIC on the common sample, refit on its own sample; returns stat, lag, rows."""
-
-    def fit(g, n, lags):
-        cols = [0, 1, *range(2, 2 + lags)]
-        a, b, yy = g[np.ix_(cols, cols)], g[cols, -1], g[-1, -1]
-        scale = 1.0 / np.sqrt(np.where(np.diag(a) > 0, np.diag(a), 1.0))
-        inverse = np.linalg.pinv(a * np.outer(scale, scale), hermitian=True) * np.outer(scale, scale)
-        beta = inverse @ b
-        ssr = max(yy - beta @ b, 0.0)
-        return beta, ssr, inverse, n - len(cols)
-
-    best, best_aic = 0, math.inf
+    Sums over the whole series minus the terms at both ends that these rows leave out.
+    """
+    x = {**dict(enumerate(head)), **{n - len(tail) + i: v for i, v in enumerate(tail)}}
+    step = lambda s: x[s] - x[s - 1]
+    size, last = lags + 3, n - 1
+    # Position of each regressor: 0 level, 1 constant, 2..lags+1 lagged differences, lags+2 difference.
+    column = lambda j: lags + 2 if j == 0 else 1 + j
+    gram = np.zeros((size, size))
+    rows = last - lags
+    gram[1, 1] = rows
+    gram[0, 1] = sums["x"] - sum(x[s] for s in range(lags)) - x[last]
+    gram[0, 0] = sums["xx"] - sum(x[s] ** 2 for s in range(lags)) - x[last] ** 2
+    for j in range(lags + 1):
+        # Sum of the difference from position lags+1-j to last-j telescopes.
+        gram[1, column(j)] = x[last - j] - x[lags - j]
+        for i in range(j + 1):
+            h = j - i
+            total = sums["d"][h]
+            total -= sum(step(s) * step(s + h) for s in range(1, lags + 1 - j))
+            total -= sum(step(s) * step(s + h) for s in range(last - j + 1, last - h + 1))
+            gram[column(i), column(j)] = gram[column(j), column(i)] = total
+    # level(t-1) * difference(t-j) by running sums E_g = sum of difference(s) * x(s+g).
+    run = sums["dx"]
+    gram[0, column(0)] = run - sums["d"][0] - sum(step(s) * x[s - 1] for s in range(1, lags + 1))
+    for j in range(1, lags + 1):
+        g = j - 1
+        if g:
+            run = run - step(n - g) * x[last] + sums["d"][g]
+        gram[0, column(j)] = (
+            run - sum(step(s) * x[s + g] for s in range(1, lags + 1 - j)) - step(n - j) * x[last]
+        )
+    low = np.tril_indices(size, -1)
+    gram[low] = gram.T[low]
+    return gram, rows
+
+
+def _adf_fit(gram: np.ndarray, rows: int, lags: int) -> tuple[float, float]:
+    """Squared residuals and t-ratio of the level with the first ``lags`` lagged differences."""
+    cols = [*range(2 + lags)]
+    a, b, yy = gram[np.ix_(cols, cols)], gram[cols, -1], gram[-1, -1]
+    scale = 1.0 / np.sqrt(np.where(np.diag(a) > 0, np.diag(a), 1.0))
+    inverse = np.linalg.pinv(a * np.outer(scale, scale), hermitian=True) * np.outer(scale, scale)
+    beta = inverse @ b
+    ssr, free = max(yy - beta @ b, 0.0), rows - len(cols)
+    if free <= 0 or ssr <= 1e-14 * yy or inverse[0, 0] <= 0:
+        return math.nan, math.nan
+    return ssr, beta[0] / math.sqrt(ssr / free * inverse[0, 0])
+
+
+def adf_solve(sums: dict, head: np.ndarray, tail: np.ndarray, n: int, max_lag: int) -> tuple[float, int, int]:
+    """Lag by AIC on the common sample, then the t-ratio on the own sample of that lag."""
+    gram, rows = _adf_gram(sums, head, tail, n, max_lag)
+    best, best_aic = None, math.inf
     for lags in range(max_lag + 1):
-        _, ssr, _, free = fit(gram, rows, lags)
-        if ssr <= 0 or free <= 0:
-            continue
-        aic = rows * math.log(ssr / rows) + 2 * (lags + 2)
-        if aic < best_aic:
-            best, best_aic = lags, aic
-    # The rows before the common sample that the chosen lag can also use.
-    width = gram.shape[0]
-    own, n = gram.copy(), rows
-    for t in range(best + 1, min(max_lag + 1, len(head))):
-        row = np.zeros(width)
-        short = _lag_rows(head[None, t - best - 1 : t + 1])[0]
-        row[: best + 2], row[-1] = short[:-1], short[-1]
-        own += np.outer(row, row)
-        n += 1
-    beta, ssr, inverse, free = fit(own, n, best)
-    if free <= 0 or ssr <= 0 or inverse[0, 0] <= 0:
-        return math.nan, best, n
-    return beta[0] / math.sqrt(ssr / free * inverse[0, 0]), best, n
-
-
-def _gram_partials(keys: Sequence[str], width: int, slice_rows: int = 4096, flush_keys: int = 512):
-    """Partition function: cross products of the regression rows, one output row per series."""
-
-    def run(batches):
-        sums: dict = {}
-
-        def flush():
-            table = [[*k, g.ravel(), n] for k, (g, n) in sums.items()]
-            sums.clear()
-            return pd.DataFrame(table, columns=[*keys, "gram", "rows"])
-
-        for pdf in batches:
-            groups = pdf.groupby(list(keys), dropna=False) if keys else [((), pdf)]
-            for key, part in groups:
-                key = key if isinstance(key, tuple) else (key,)
-                gram, n = sums.get(key, (np.zeros((width, width)), 0))
-                for i in range(0, len(part), slice_rows):
-                    rows = _lag_rows(np.stack(part["history"].to_numpy()[i : i + slice_rows]))
-                    gram = gram + rows.T @ rows
-                    n += len(rows)
-                sums[key] = (gram, n)
-                if len(sums) > flush_keys:
-                    yield flush()
-        yield flush()
-
-    return run
+        ssr, _ = _adf_fit(gram, rows, lags)
+        if math.isfinite(ssr) and rows * math.log(ssr / rows) + 2 * (lags + 2) < best_aic:
+            best, best_aic = lags, rows * math.log(ssr / rows) + 2 * (lags + 2)
+    if best is None:
+        return math.nan, 0, n - 1
+    own, rows = _adf_gram(sums, head, tail, n, best)
+    return _adf_fit(own, rows, best)[1], best, rows
 
 
 def adf_test(
@@ -199,54 +195,48 @@ def adf_test(
 ) -> DataFrame:
     """Augmented Dickey-Fuller test with constant and lag choice by AIC, one row per series.
 
-    Every row contributes to one cross-product matrix per task; matrices are summed
-    by Spark and only ``(max_lag + 3)^2`` numbers per series reach the solver. All
-    series share the largest lag, that of the longest series unless given.
+    The regression matrix is made of lagged products of the differences, so one
+    aggregate with a sum per lag, plus the first and last values of each series, is
+    all that leaves the data; the small solve runs per series. ``max_lag`` limits the
+    lags tried; the length of a series limits them too.
     """
     prof = prof or profile(df, time_col)
-    if max_lag is None:
-        longest = prof.rows
-        if keys:
-            longest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-        max_lag = adf_max_lag(longest)
-    width, depth = max_lag + 3, max_lag + 2
+    longest = prof.rows
+    if keys:
+        longest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    limit = adf_max_lag(longest)
+    limit = limit if max_lag is None else min(limit, max_lag)
     value = F.col(f"`{column}`").cast("double")
     base = with_group_stats(df.select(*keys, time_col, value.alias("__v")), {"__mean": F.avg("__v")}, keys)
     base = base.select(*keys, time_col, (F.col("__v") - F.col("__mean")).alias("__x"))
-    placed = with_position(base, time_col, keys, "__t", prof=prof)
-    histories = over_blocks(
-        placed,
-        time_col,
-        lambda w: {"history": F.collect_list("__x").over(w.rowsBetween(-(depth - 1), 0))},
-        reach_back=depth - 1,
-        keys=keys,
-        prof=prof,
-    )
-    key_fields = [df.schema[k] for k in keys]
-    partial_schema = T.StructType(
-        key_fields + [T.StructField("gram", T.ArrayType(T.DoubleType())), T.StructField("rows", T.LongType())]
-    )
-    full = histories.filter(F.size("history") == depth).select(*keys, "history")
-    partials = full.mapInPandas(_gram_partials(list(keys), width), partial_schema)
-    cells = partials.select(*keys, F.posexplode("gram").alias("__i", "__g"))
-    summed = cells.groupBy(*keys, "__i").agg(F.sum("__g").alias("__g"))
-    # Bounded per series: width^2 sums and the first max_lag + 1 values.
-    matrix = summed.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__i", "__g"))).alias("cells"))
-    counted = partials.groupBy(*keys).agg(F.sum("rows").alias("rows"))
-    heads = (
-        placed.filter(F.col("__t") <= max_lag)
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(F.struct("__t", "__x"))).alias("head"))
+    placed = with_position(base, time_col, keys, "__t", total="__n", prof=prof)
+    x = F.col("__x")
+
+    def columns(w):
+        around = {"__l0": x - F.lag(x).over(w)}
+        around.update({f"__l{h}": F.lead(x, h).over(w) - (F.lead(x, h - 1).over(w) if h > 1 else x) for h in range(1, limit + 1)})
+        return around
+
+    steps = over_blocks(
+        placed, time_col, columns, reach_back=1, reach_ahead=limit, keys=keys, prof=prof, position="__t"
     )
-    ready = attach(attach(matrix, counted, ["rows"], keys), heads, ["head"], keys).select(
-        *keys,
-        F.transform("cells", lambda c: c["__g"]).alias("gram"),
-        "rows",
-        F.transform("head", lambda c: c["__x"]).alias("head"),
+    first = F.col("__l0")
+    edge = F.struct(F.col("__t").alias("t"), x.alias("x"))
+    sums = steps.groupBy(*keys).agg(
+        F.first("__n").alias("n"),
+        F.sum(x).alias("sx"),
+        F.sum(x * x).alias("sxx"),
+        F.sum(first * x).alias("sdx"),
+        F.array(*[F.coalesce(F.sum(first * F.col(f"__l{h}")), F.lit(0.0)) for h in range(limit + 1)]).alias("sd"),
+        # At most limit + 2 values from either end.
+        F.sort_array(F.collect_list(F.when(F.col("__t") <= limit + 1, edge))).alias("head"),
+        F.sort_array(F.collect_list(F.when(F.col("__t") >= F.col("__n") - limit - 2, edge))).alias("tail"),
     )
+    values = lambda c: F.transform(c, lambda e: e["x"]).alias(c)
+    ready = sums.select(*keys, "n", "sx", "sxx", "sdx", "sd", values("head"), values("tail"))
     names = ["statistic", "p_value", "critical_1", "critical_5", "critical_10"]
     out_schema = T.StructType(
-        key_fields
+        [df.schema[k] for k in keys]
         + [T.StructField(n, T.DoubleType()) for n in names]
         + [T.StructField("used_lag", T.LongType()), T.StructField("n_obs", T.LongType()), T.StructField("verdict", T.StringType())]
     )
@@ -255,13 +245,15 @@ def adf_test(
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
-                gram = np.asarray(r.gram, dtype=float).reshape(width, width)
-                stat, lag, n = _adf_solve(gram, int(r.rows), np.asarray(r.head, dtype=float), max_lag)
+                stat, lag, n = math.nan, 0, int(r.n) - 1
+                if r.n >= 4:
+                    found = {"x": r.sx, "xx": r.sxx, "dx": r.sdx, "d": r.sd}
+                    tried = min(limit, adf_max_lag(int(r.n)))
+                    stat, lag, n = adf_solve(found, np.asarray(r.head), np.asarray(r.tail), int(r.n), tried)
                 p = adf_p_value(stat) if math.isfinite(stat) else None
-                crit = [sum(c / n**i for i, c in enumerate(b)) for b in ADF_CRITICAL.values()]
+                crit = [sum(c / n**i for i, c in enumerate(b)) if n else None for b in ADF_CRITICAL.values()]
                 verdict = None if p is None else ("Stationary" if p < 0.05 else "Non-Stationary")
-                key = [getattr(r, k) for k in keys]
-                rows.append([*key, stat if p is not None else None, p, *crit, lag, n, verdict])
+                rows.append([*[getattr(r, k) for k in keys], stat if p is not None else None, p, *crit, lag, n, verdict])
             yield pd.DataFrame(rows, columns=out_schema.names)
 
     return ready.mapInPandas(solve, out_schema)
