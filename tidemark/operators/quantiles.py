@@ -49,9 +49,34 @@ def grouped_quantiles(
     """
     limit = GROUP_ROWS if group_rows is None else group_rows
     if (largest_group(df, keys) if largest is None else largest) <= limit:
-        aggs = [F.percentile(F.col(f"`{c}`").cast("double"), F.lit(list(probs))).alias(c) for c in columns]
-        return df.groupBy(*keys).agg(*aggs)
+        return _small_groups(df, columns, probs, keys)
+    if not keys:
+        return _large_groups(df, columns, probs, keys, prof)
+    # The large groups are few (their number times ``limit`` is at most the table) and
+    # stored once; every other group takes the plain aggregate.
+    sizes = df.groupBy(F.struct(*keys).alias("__large")).agg(F.count(F.lit(1)).alias("__size"))
+    large = cut_lineage(sizes.filter(F.col("__size") > limit).select("__large"))
+    tagged = df.withColumn("__gk", F.struct(*keys))
+    same = F.col("__gk") == F.col("__large")
+    small = _small_groups(tagged.join(large, same, "left_anti"), columns, probs, keys)
+    found = _large_groups(tagged.join(large, same, "left_semi"), columns, probs, keys, prof)
+    # A large group without any value keeps its row.
+    named = found.select(F.struct(*keys).alias("__fk"), *[F.col(f"`{c}`") for c in columns])
+    every = large.join(named, F.col("__large") == F.col("__fk"), "left")
+    return small.unionByName(
+        every.select(*[F.col(f"__large.{k}").alias(k) for k in keys], *[F.col(f"`{c}`") for c in columns])
+    )
+
+
+def _small_groups(df: DataFrame, columns: Sequence[str], probs: Sequence[float], keys: Sequence[str]) -> DataFrame:
+    aggs = [F.percentile(F.col(f"`{c}`").cast("double"), F.lit(list(probs))).alias(c) for c in columns]
+    return df.groupBy(*keys).agg(*aggs)
 
+
+def _large_groups(
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], keys: Sequence[str], prof: Profile | None
+) -> DataFrame:
+    """Quantiles of groups that no task may hold; groups without any value are left out."""
     match = [*keys, "column"]
     rows = unpivot_numeric(df, columns, keys)
     # A sketch (rank error at most n / SKETCH) brackets each quantile; small groups are kept whole.
@@ -92,14 +117,6 @@ def grouped_quantiles(
     checked = F.when(F.col("__lo").isNull() | F.col("__hi").isNull(), lost.cast("double")).otherwise(answer)
     parts = picked.select(*match, F.struct("i", checked.alias("q")).alias("__q"))
     arrays = parts.groupBy(*match).agg(F.transform(F.sort_array(F.collect_list("__q")), lambda c: c["q"]).alias("__q"))
-    found = arrays.groupBy(*keys).agg(
+    return arrays.groupBy(*keys).agg(
         *[F.max(F.when(F.col("column") == c, F.col("__q"))).alias(c) for c in columns]
     )
-    if not keys:
-        return found
-    # Groups without any value keep their row.
-    empty = df.groupBy(F.struct(*keys).alias("__gk")).agg(F.lit(None).alias("__none")).drop("__none")
-    filled = found.select(F.struct(*keys).alias("__fk"), *[F.col(f"`{c}`") for c in columns])
-    return empty.join(filled, F.col("__gk") == F.col("__fk"), "left").select(
-        *[F.col(f"__gk.{k}").alias(k) for k in keys], *[F.col(f"`{c}`") for c in columns]
-    )
