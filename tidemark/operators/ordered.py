@@ -138,6 +138,7 @@ def place(
     if before:
         picks.append(F.max_by(F.struct(*[F.col(f"`{c}`").alias(n) for n, c in before.items()]), order).alias("__last"))
     if after:
+        picks.append(F.count(F.lit(1)).alias("__rows"))
         picks.append(F.min_by(F.struct(*[F.col(f"`{c}`").alias(n) for n, c in after.items()]), order).alias("__first"))
     # One row per (series, bucket): at most MAX_BUCKETS rows in a window here.
     along = Window.partitionBy("__k").orderBy("__b")
@@ -152,6 +153,7 @@ def place(
         edge_cols.append(F.lag("__last").over(along).alias("__prev"))
     if after:
         edge_cols.append(F.lead("__first").over(along).alias("__next"))
+        edge_cols.append(F.col("__rows"))
     edges = edges.select(*edge_cols)
 
     inside = Window.partitionBy("__k", "__b").orderBy(order_by)
@@ -162,8 +164,6 @@ def place(
         cols[f"__p_{name}"] = F.lag(F.col(f"`{c}`")).over(inside)
     for name, c in after.items():
         cols[f"__f_{name}"] = F.lead(F.col(f"`{c}`")).over(inside)
-    if after:
-        cols["__back"] = F.row_number().over(Window.partitionBy("__k", "__b").orderBy(F.col(order_by).desc()))
     placed = tagged.withColumns(cols).join(
         edges, (F.col("__k") == F.col("__ek")) & (F.col("__b") == F.col("__eb"))
     )
@@ -179,7 +179,7 @@ def place(
         )
     for name in after:
         out.append(
-            F.when(F.col("__back") == 1, F.col(f"__next.{name}")).otherwise(F.col(f"__f_{name}")).alias(name)
+            F.when(F.col("__rn") == F.col("__rows"), F.col(f"__next.{name}")).otherwise(F.col(f"__f_{name}")).alias(name)
         )
     return placed.select(*out)
 
