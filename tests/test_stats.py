@@ -139,6 +139,15 @@ def test_seasonality_report(spark, frame):
     assert got.seasonal_variance > 50 * got.resid_variance
 
 
+def test_reports(spark, frame):
+    x = ar1(0.5, 120)
+    df = frame(series(120, fn=lambda i: x[i])).withColumn("other", F.col("value") * 2)
+    got = stats.summary_report(df, "value", "ts", 3, features=["other"]).toPandas()
+    assert {"importance", "adf_p_value", "acf", "correlation", "pct_outliers"} <= set(got.metric)
+    both = stats.frequency_report({"H": df, "D": df}, "value", "ts", 2)
+    assert {r.freq for r in both.select("freq").distinct().collect()} == {"H", "D"}
+
+
 def test_standard_scale_uses_train_only(spark, frame):
     df = split.chronological_split(frame(series(50, fn=lambda i: i if i < 30 else 1000)), "ts")
     got = scale.standard_scale(df, ["value"]).filter("split = 'train'").toPandas().value

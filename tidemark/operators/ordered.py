@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Up to this many rows in the whole table a plain window is bounded by itself.
+# A series of up to this many rows may be sorted by one task.
 PLAIN_ROWS = 1 << 18
 BUCKET_ROWS = 1 << 19
 MAX_BUCKETS = 1 << 12
@@ -32,10 +32,14 @@ BLOCK_ROWS = 1 << 16
 
 @dataclass(frozen=True)
 class Profile:
-    """Row count and bucket cut points of a table along its order column."""
+    """Row count of a table, of its longest series, and its bucket cut points.
+
+    Without cut points every series is short and a plain window per series will do.
+    """
 
     rows: int
     cuts: tuple = ()
+    longest: int = 0
 
     @property
     def plain(self) -> bool:
@@ -56,26 +60,19 @@ def order_value(df: DataFrame, column: str) -> Column:
     return F.col(f"`{column}`")
 
 
-def profile(
-    df: DataFrame,
-    order_by: str,
-    plain_rows: int | None = None,
-    bucket_rows: int | None = None,
-) -> Profile:
-    """One pass over the order column alone; the result has at most ``MAX_BUCKETS`` numbers."""
-    return profile_with(df, order_by, F.lit(None), plain_rows, bucket_rows)[0]
+def profile(df: DataFrame, order_by: str, keys: Sequence[str] = ()) -> Profile:
+    """Passes over the order column and the keys alone; the result has at most ``MAX_BUCKETS`` numbers."""
+    return profile_with(df, order_by, F.lit(None), keys)[0]
 
 
-def profile_with(
-    df: DataFrame,
-    order_by: str,
-    extra: Column,
-    plain_rows: int | None = None,
-    bucket_rows: int | None = None,
-) -> tuple[Profile, object]:
+def longest_series(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the biggest group; counts are combined before the shuffle."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.max("n")).first()[0] or 0
+
+
+def profile_with(df: DataFrame, order_by: str, extra: Column, keys: Sequence[str] = ()) -> tuple[Profile, object]:
     """The profile and one more aggregate from the same pass."""
-    plain_rows = PLAIN_ROWS if plain_rows is None else plain_rows
-    bucket_rows = BUCKET_ROWS if bucket_rows is None else bucket_rows
     # As SQL text: thousands of literals are slow to hand over one by one.
     probs = ", ".join(f"{i / MAX_BUCKETS}D" for i in range(1, MAX_BUCKETS))
     row = df.withColumn("__o", order_value(df, order_by)).agg(
@@ -83,12 +80,16 @@ def profile_with(
         F.expr(f"percentile_approx(__o, array({probs}), {4 * MAX_BUCKETS})").alias("cuts"),
         extra.alias("extra"),
     ).first()
-    if row["n"] <= plain_rows or not row["cuts"]:
-        return Profile(row["n"]), row["extra"]
-    buckets = min(MAX_BUCKETS, max(2, -(-row["n"] // bucket_rows)))
+    rows = row["n"]
+    if rows <= PLAIN_ROWS or not row["cuts"]:
+        return Profile(rows, (), rows), row["extra"]
+    longest = longest_series(df, keys) if keys else rows
+    if longest <= PLAIN_ROWS:
+        return Profile(rows, (), longest), row["extra"]
+    buckets = min(MAX_BUCKETS, max(2, -(-rows // BUCKET_ROWS)))
     cuts = [row["cuts"][i * MAX_BUCKETS // buckets - 1] for i in range(1, buckets)]
     finite = {c for c in cuts if not (isinstance(c, float) and not math.isfinite(c))}
-    return Profile(row["n"], tuple(sorted(finite))), row["extra"]
+    return Profile(rows, tuple(sorted(finite)), longest), row["extra"]
 
 
 def _bucket(order: Column, cuts: Sequence) -> Column:
@@ -124,7 +125,7 @@ def place(
     same over the series; ``before``/``after``: new column -> column taken from
     the previous/next row. The data is shuffled once.
     """
-    prof = prof or profile(df, order_by)
+    prof = prof or profile(df, order_by, keys)
     before, after = dict(before or {}), dict(after or {})
     if prof.plain:
         return _place_plain(df, order_by, keys, start, total, weight, before, after)
@@ -231,7 +232,7 @@ def over_blocks(
     the ``reach_back`` rows ahead of it and the ``reach_ahead`` rows behind it.
     ``position`` names a column that holds the positions already.
     """
-    prof = prof or profile(df, order_by)
+    prof = prof or profile(df, order_by, keys)
     if prof.plain:
         return df.withColumns(dict(columns(Window.partitionBy(*keys).orderBy(order_by))))
     size = max(block_rows or BLOCK_ROWS, reach_back, reach_ahead, 1)

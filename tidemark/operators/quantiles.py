@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .ordered import Profile, attach, place
+from .ordered import Profile, attach, longest_series, place
 
 # Largest group that one task may hold as a value -> count map.
 GROUP_ROWS = 1 << 20
@@ -24,12 +24,6 @@ def unpivot_numeric(df: DataFrame, columns: Sequence[str], keys: Sequence[str] =
     )
 
 
-def largest_group(df: DataFrame, keys: Sequence[str | Column]) -> int:
-    """Row count of the biggest group; counts are combined before the shuffle."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.max("n")).first()[0] or 0
-
-
 def grouped_quantiles(
     df: DataFrame,
     columns: Sequence[str],
@@ -48,7 +42,7 @@ def grouped_quantiles(
     knows it.
     """
     limit = GROUP_ROWS if group_rows is None else group_rows
-    if (largest_group(df, keys) if largest is None else largest) <= limit:
+    if (longest_series(df, keys) if largest is None else largest) <= limit:
         return _small_groups(df, columns, probs, keys)
     if not keys:
         return _large_groups(df, columns, probs, keys, prof)

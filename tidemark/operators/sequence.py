@@ -99,7 +99,7 @@ def seasonal_decompose(
     """
     if period < 1:
         raise ValueError("period must be positive")
-    prof = prof or profile(df, time_col)
+    prof = prof or profile(df, time_col, keys)
     series = with_position(df, time_col, keys, "__t", total="__n", prof=prof)
     short = F.raise_error(F.lit(f"a series needs at least {2 * period} values"))
     series = series.withColumn("__x", F.when(F.col("__n") < 2 * period, short).otherwise(F.col(f"`{column}`").cast("double")))
@@ -147,7 +147,7 @@ def create_windows(
     Positions run from 0 to ``n - window - 2``; the last possible window is left out.
     ``n_windows`` is their number in the series.
     """
-    prof = prof or profile(df, time_col)
+    prof = prof or profile(df, time_col, keys)
     placed = with_position(df, time_col, keys, "pos", total="__n", prof=prof)
     row = F.array(*[F.col(f"`{c}`").cast("double") for c in channels])
 

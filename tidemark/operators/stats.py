@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from itertools import combinations
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import numeric_columns
 from .clean import outlier_share, with_iqr_bounds
 from .ordered import attach, with_group_stats
-from .quantiles import grouped_quantiles, unpivot_numeric
+from .quantiles import grouped_quantiles
 
 
 def _numeric(df: DataFrame, columns: Sequence[str] | None, keys: Sequence[str]) -> list[str]:
@@ -112,10 +112,6 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, keys
     return _melt(df.groupBy(*keys).agg(*aggs), keys, cells)
 
 
-def _bounds(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.groupBy(*keys, "column").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-
-
 def bin_index(value: Column, lo: Column, hi: Column, bins: int) -> Column:
     """0-based equal-width bin; the top edge belongs to the last bin and a flat column to bin 0."""
     at = F.floor((value - lo) * bins / F.when(hi > lo, hi - lo).otherwise(1.0))
@@ -125,25 +121,28 @@ def bin_index(value: Column, lo: Column, hi: Column, bins: int) -> Column:
 def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 15, keys: Sequence[str] = ()) -> DataFrame:
     """Counts in equal-width bins for each numeric column, empty bins included."""
     columns = _numeric(df, columns, keys)
-    long = unpivot_numeric(df, columns, keys).filter(F.col("value").isNotNull())
-    match = [*keys, "column"]
-    bounds = _bounds(long, keys)
-    edges = bounds.select(F.struct(*match).alias("__bk"), "lo", "hi")
-    placed = long.withColumn("__k", F.struct(*match)).join(edges, F.col("__k") == F.col("__bk"))
-    counts = placed.groupBy("__k", bin_index(F.col("value"), F.col("lo"), F.col("hi"), bins).alias("bin")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    stats, cells, ranges = {}, [], []
+    for i, c in enumerate(columns):
+        value = F.col(f"`{c}`").cast("double")
+        stats[f"__lo{i}"], stats[f"__hi{i}"] = F.min(value), F.max(value)
+        at = bin_index(value, F.col(f"__lo{i}"), F.col(f"__hi{i}"), bins)
+        cells.append(F.struct(F.lit(c).alias("column"), at.alias("bin")))
+        ranges.append(F.struct(F.lit(c).alias("column"), F.col(f"__lo{i}").alias("lo"), F.col(f"__hi{i}").alias("hi")))
+    placed = with_group_stats(df.select(*keys, *[f"`{c}`" for c in columns]), stats, keys)
+    # Combined before the shuffle: at most ``bins`` rows per column, series and task.
+    counts = _melt(placed, keys, cells).filter(F.col("bin").isNotNull()).groupBy(
+        F.struct(*keys, "column", "bin").alias("__k")
+    ).agg(F.count(F.lit(1)).alias("n"))
+    slots = F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))
+    edges = _melt(df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()]), keys, ranges)
+    grid = edges.filter(F.col("lo").isNotNull()).withColumn("bin", F.explode(slots))
     width = (F.col("hi") - F.col("lo")) / bins
-    grid = bounds.select(
-        *match, F.struct(*match).alias("__gk"), "lo", width.alias("width"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))).alias("slot"),
-    )
-    full = grid.join(counts, (F.col("__gk") == F.col("__k")) & (F.col("slot") == F.col("bin")), "left")
-    return full.select(
-        *match,
-        F.col("slot").alias("bin"),
-        (F.col("lo") + F.col("slot") * F.col("width")).alias("bin_start"),
-        (F.col("lo") + (F.col("slot") + 1) * F.col("width")).alias("bin_end"),
+    return grid.join(counts, F.struct(*keys, "column", "bin") == F.col("__k"), "left").select(
+        *keys,
+        "column",
+        "bin",
+        (F.col("lo") + F.col("bin") * width).alias("bin_start"),
+        (F.col("lo") + (F.col("bin") + 1) * width).alias("bin_end"),
         F.coalesce("n", F.lit(0)).alias("count"),
     )
 
@@ -248,38 +247,55 @@ def pair_bins(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 1
     )
 
 
-def summary_report(df: DataFrame, target: str, time_col: str, max_lag: int = 10) -> DataFrame:
-    """Long-form report ``metric, item, value`` of one table: shape, skew, outliers, correlation, ACF, ADF."""
+def residual_report(predictions: DataFrame, keys: Sequence[str] = (), **kw) -> DataFrame:
+    """Describe table of ``actual - predicted``."""
+    residual = F.col("actual") - F.col("predicted")
+    return describe(predictions.select(*keys, residual.alias("residual")), ["residual"], keys, **kw)
+
+
+def _metric_rows(df: DataFrame, metric: str, item, value) -> DataFrame:
+    return df.select(F.lit(metric).alias("metric"), item.cast("string").alias("item"), value.cast("double").alias("value"))
+
+
+def summary_report(
+    df: DataFrame,
+    target: str,
+    time_col: str,
+    max_lag: int = 10,
+    features: Sequence[str] | None = None,
+) -> DataFrame:
+    """Long-form report ``metric, item, value`` of one table.
+
+    Shape and correlation of every numeric column; skew, outliers, autocorrelation and
+    stationarity of the target; with ``features`` also their importance in a forest.
+    """
     from .timestats import acf, adf_test
 
     columns = numeric_columns(df)
-    table = describe(df, columns)
-    shape = _melt(
-        table,
-        ["column"],
-        [
-            F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
-            for m in ("count", "mean", "std", "min", "p25", "p50", "p75", "max")
-        ],
-    ).select("metric", F.col("column").alias("item"), "value")
-    skew = skewness(df, target).select(F.lit("skewness").alias("metric"), F.lit(target).alias("item"), F.col("skewness").alias("value"))
+    names = ("count", "mean", "std", "min", "p25", "p50", "p75", "max")
+    shape = [F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in names]
     share = outlier_share(df, target)
-    outliers = _melt(
-        share,
-        [],
-        [
-            F.struct(F.lit(m).alias("metric"), F.lit(target).alias("item"), F.col(m).cast("double").alias("value"))
-            for m in ("n_outliers", "pct_outliers")
-        ],
-    )
-    corr = correlation_matrix(df, columns).select(
-        F.lit("correlation").alias("metric"), F.concat_ws("~", "col_a", "col_b").alias("item"), F.col("r").alias("value")
-    )
     series = df.select(time_col, target).filter(F.col(target).isNotNull())
-    lags = acf(series, target, time_col, max_lag).select(
-        F.lit("acf").alias("metric"), F.col("lag").cast("string").alias("item"), F.col("acf").alias("value")
-    )
-    adf = adf_test(series, target, time_col).select(
-        F.lit("adf_p_value").alias("metric"), F.lit(target).alias("item"), F.col("p_value").alias("value")
-    )
-    return reduce(DataFrame.unionByName, [shape, skew, outliers, corr, lags, adf])
+    on_target = F.lit(target)
+    parts = [
+        _melt(describe(df, columns), ["column"], shape).select("metric", F.col("column").alias("item"), "value"),
+        _metric_rows(skewness(df, target), "skewness", on_target, F.col("skewness")),
+        _metric_rows(share, "n_outliers", on_target, F.col("n_outliers")),
+        _metric_rows(share, "pct_outliers", on_target, F.col("pct_outliers")),
+        _metric_rows(correlation_matrix(df, columns), "correlation", F.concat_ws("~", "col_a", "col_b"), F.col("r")),
+        _metric_rows(acf(series, target, time_col, max_lag), "acf", F.col("lag"), F.col("acf")),
+        _metric_rows(adf_test(series, target, time_col), "adf_p_value", on_target, F.col("p_value")),
+    ]
+    if features:
+        from ..models.tabular import feature_importance
+
+        complete = df.dropna(subset=[target, *features])
+        ranked = feature_importance(complete, time_col, features, target)
+        parts.append(_metric_rows(ranked, "importance", F.col("feature"), F.col("importance")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def frequency_report(tables: Mapping[str, DataFrame], target: str, time_col: str, max_lag: int = 10) -> DataFrame:
+    """The report of every table of a frequency family, with its frequency."""
+    parts = [summary_report(df, target, time_col, max_lag).withColumn("freq", F.lit(f)) for f, df in tables.items()]
+    return reduce(DataFrame.unionByName, parts)

@@ -200,11 +200,8 @@ def adf_test(
     all that leaves the data; the small solve runs per series. ``max_lag`` limits the
     lags tried; the length of a series limits them too.
     """
-    prof = prof or profile(df, time_col)
-    longest = prof.rows
-    if keys:
-        longest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    limit = adf_max_lag(longest)
+    prof = prof or profile(df, time_col, keys)
+    limit = adf_max_lag(prof.longest)
     limit = limit if max_lag is None else min(limit, max_lag)
     value = F.col(f"`{column}`").cast("double")
     base = with_group_stats(df.select(*keys, time_col, value.alias("__v")), {"__mean": F.avg("__v")}, keys)

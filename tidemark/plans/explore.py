@@ -593,8 +593,7 @@ def actual_vs_predicted(spark, sf_dir):
     f"""WITH {SQL_DAILY_NAIVE}, e AS (SELECT actual - predicted AS residual FROM ns) """ + _sql_describe("e", ["residual"]),
 )
 def residual_report_query(spark, sf_dir):
-    rows = _daily_naive(spark, sf_dir).withColumn("residual", F.col("actual") - F.col("predicted"))
-    return rounded(stats.describe(rows, ["residual"]))
+    return rounded(stats.residual_report(_daily_naive(spark, sf_dir)))
 
 
 def _lag_forecasts(spark, sf_dir) -> DataFrame:
