@@ -60,7 +60,7 @@ def force_split():
     from tidemark.operators import ordered, quantiles
 
     ordered.PLAIN_ROWS, ordered.BUCKET_ROWS, ordered.BLOCK_ROWS = 0, 100, 64
-    quantiles.GROUP_ROWS, quantiles.SKETCH = 8, 200
+    quantiles.GROUP_CELLS, quantiles.SKETCH = 8, 200
 
 
 def main():

@@ -31,7 +31,7 @@ def path(request, monkeypatch):
         monkeypatch.setattr(ordered, "PLAIN_ROWS", 0)
         monkeypatch.setattr(ordered, "BUCKET_ROWS", 17)
         monkeypatch.setattr(ordered, "BLOCK_ROWS", 16)
-        monkeypatch.setattr(quantiles, "GROUP_ROWS", 8)
+        monkeypatch.setattr(quantiles, "GROUP_CELLS", 8)
         monkeypatch.setattr(quantiles, "SKETCH", 100)
     return request.param
 

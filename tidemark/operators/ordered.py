@@ -32,14 +32,13 @@ BLOCK_ROWS = 1 << 16
 
 @dataclass(frozen=True)
 class Profile:
-    """Row count of a table, of its longest series, and its bucket cut points.
+    """Row count of a table and its bucket cut points along the order column.
 
     Without cut points every series is short and a plain window per series will do.
     """
 
     rows: int
     cuts: tuple = ()
-    longest: int = 0
 
     @property
     def plain(self) -> bool:
@@ -82,14 +81,13 @@ def profile_with(df: DataFrame, order_by: str, extra: Column, keys: Sequence[str
     ).first()
     rows = row["n"]
     if rows <= PLAIN_ROWS or not row["cuts"]:
-        return Profile(rows, (), rows), row["extra"]
-    longest = longest_series(df, keys) if keys else rows
-    if longest <= PLAIN_ROWS:
-        return Profile(rows, (), longest), row["extra"]
+        return Profile(rows), row["extra"]
+    if keys and longest_series(df, keys) <= PLAIN_ROWS:
+        return Profile(rows), row["extra"]
     buckets = min(MAX_BUCKETS, max(2, -(-rows // BUCKET_ROWS)))
     cuts = [row["cuts"][i * MAX_BUCKETS // buckets - 1] for i in range(1, buckets)]
     finite = {c for c in cuts if not (isinstance(c, float) and not math.isfinite(c))}
-    return Profile(rows, tuple(sorted(finite)), longest), row["extra"]
+    return Profile(rows, tuple(sorted(finite))), row["extra"]
 
 
 def _bucket(order: Column, cuts: Sequence) -> Column:
@@ -100,11 +98,13 @@ def _bucket(order: Column, cuts: Sequence) -> Column:
         step *= 2
     suffix = "D" if isinstance(cuts[0], float) else "L"
     points = F.expr("array(" + ", ".join(f"{c!r}{suffix}" for c in cuts) + ")")
-    return F.aggregate(
+    found = F.aggregate(
         F.lit(steps),
         F.lit(0),
         lambda at, by: F.when(order >= F.get(points, at + by - 1), at + by).otherwise(at),
     )
+    # Never null; said in a way the optimizer sees, or a join would test it row by row.
+    return F.coalesce(found, F.lit(0))
 
 
 def place(
@@ -136,11 +136,11 @@ def place(
     size = F.sum(weight) if weight else F.count(F.lit(1))
     picks = [size.alias("__n")]
     order = F.col(f"`{order_by}`")
-    if before:
-        picks.append(F.max_by(F.struct(*[F.col(f"`{c}`").alias(n) for n, c in before.items()]), order).alias("__last"))
+    # One aggregate per column: plain values stay in a hash aggregate, structs would be sorted.
+    picks += [F.max_by(F.col(f"`{c}`"), order).alias(f"__last_{n}") for n, c in before.items()]
     if after:
         picks.append(F.count(F.lit(1)).alias("__rows"))
-        picks.append(F.min_by(F.struct(*[F.col(f"`{c}`").alias(n) for n, c in after.items()]), order).alias("__first"))
+        picks += [F.min_by(F.col(f"`{c}`"), order).alias(f"__first_{n}") for n, c in after.items()]
     # One row per (series, bucket): at most MAX_BUCKETS rows in a window here.
     along = Window.partitionBy("__k").orderBy("__b")
     edges = tagged.groupBy("__k", "__b").agg(*picks)
@@ -150,10 +150,9 @@ def place(
         F.coalesce(F.sum("__n").over(along.rowsBetween(Window.unboundedPreceding, -1)), zero).alias("__off")
     )
     edge_cols.append(F.sum("__n").over(Window.partitionBy("__k")).alias("__total"))
-    if before:
-        edge_cols.append(F.lag("__last").over(along).alias("__prev"))
+    edge_cols += [F.lag(f"__last_{n}").over(along).alias(f"__prev_{n}") for n in before]
+    edge_cols += [F.lead(f"__first_{n}").over(along).alias(f"__next_{n}") for n in after]
     if after:
-        edge_cols.append(F.lead("__first").over(along).alias("__next"))
         edge_cols.append(F.col("__rows"))
     edges = edges.select(*edge_cols)
 
@@ -176,11 +175,11 @@ def place(
         out.append(F.col("__total").alias(total))
     for name in before:
         out.append(
-            F.when(F.col("__rn") == 1, F.col(f"__prev.{name}")).otherwise(F.col(f"__p_{name}")).alias(name)
+            F.when(F.col("__rn") == 1, F.col(f"__prev_{name}")).otherwise(F.col(f"__p_{name}")).alias(name)
         )
     for name in after:
         out.append(
-            F.when(F.col("__rn") == F.col("__rows"), F.col(f"__next.{name}")).otherwise(F.col(f"__f_{name}")).alias(name)
+            F.when(F.col("__rn") == F.col("__rows"), F.col(f"__next_{name}")).otherwise(F.col(f"__f_{name}")).alias(name)
         )
     return placed.select(*out)
 
@@ -240,7 +239,7 @@ def over_blocks(
         placed = df.withColumn("__pos", F.col(position))
     else:
         placed = with_position(df, order_by, keys, "__pos", prof=prof)
-    block = (F.col("__pos") / size).cast("bigint")
+    block = F.expr(f"__pos div {size}")
     within = F.col("__pos") % size
     copies = [F.struct(block.alias("id"), F.lit(True).alias("own"))]
     if reach_back:

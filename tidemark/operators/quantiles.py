@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .ordered import Profile, attach, longest_series, place
 
-# Largest group that one task may hold as a value -> count map.
-GROUP_ROWS = 1 << 20
+# Values (rows x columns) of a group that one task may hold as value -> count maps: some 200 MB.
+GROUP_CELLS = 1 << 22
 # Accuracy of the bracketing sketch.
 SKETCH = 10_000
 
@@ -41,7 +41,7 @@ def grouped_quantiles(
     holds a group. ``largest`` is the size of the biggest group where the caller
     knows it.
     """
-    limit = GROUP_ROWS if group_rows is None else group_rows
+    limit = max(1, GROUP_CELLS // len(columns)) if group_rows is None else group_rows
     if (longest_series(df, keys) if largest is None else largest) <= limit:
         return _small_groups(df, columns, probs, keys)
     if not keys:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ordered import Profile, over_blocks, profile, with_group_stats, with_position
+from .ordered import Profile, longest_series, over_blocks, profile, with_group_stats, with_position
 from .resample import as_frequency
 from .sequence import seasonal_decompose
 
@@ -124,65 +124,75 @@ def _adf_gram(sums: dict, head: np.ndarray, tail: np.ndarray, n: int, lags: int)
 
     Sums over the whole series minus the terms at both ends that these rows leave out.
     """
-    x = {**dict(enumerate(head)), **{n - len(tail) + i: v for i, v in enumerate(tail)}}
-    step = lambda s: x[s] - x[s - 1]
-    size, last = lags + 3, n - 1
-    # Position of each regressor: 0 level, 1 constant, 2..lags+1 lagged differences, lags+2 difference.
-    column = lambda j: lags + 2 if j == 0 else 1 + j
+    first = np.diff(head)  # first[s - 1] is the difference at position s
+    final = np.diff(tail)[::-1]  # final[k] is the difference at position n - 1 - k
+    end, size = tail[-1], lags + 3
+    # Place of each regressor: 0 level, 1 constant, 2..lags+1 lagged differences, lags+2 difference.
+    places = [lags + 2, *range(2, lags + 2)]
     gram = np.zeros((size, size))
-    rows = last - lags
-    gram[1, 1] = rows
-    gram[0, 1] = sums["x"] - sum(x[s] for s in range(lags)) - x[last]
-    gram[0, 0] = sums["xx"] - sum(x[s] ** 2 for s in range(lags)) - x[last] ** 2
-    for j in range(lags + 1):
-        # Sum of the difference from position lags+1-j to last-j telescopes.
-        gram[1, column(j)] = x[last - j] - x[lags - j]
+    gram[1, 1] = rows = n - 1 - lags
+    gram[0, 1] = sums["x"] - head[:lags].sum() - end
+    gram[0, 0] = sums["xx"] - head[:lags] @ head[:lags] - end**2
+    # level(t-1) * difference(t-j) from running sums of difference(s) * x(s+j-1).
+    run = sums["dx"]
+    gram[0, lags + 2] = run - sums["d"][0] - first[:lags] @ head[:lags]
+    for j, at in enumerate(places):
+        left = lags - j
+        # The sum of the differences telescopes.
+        gram[1, at] = tail[-1 - j] - head[left]
+        if j:
+            if j > 1:
+                run = run - final[j - 2] * end + sums["d"][j - 1]
+            gram[0, at] = run - first[:left] @ head[j : j + left] - final[j - 1] * end
         for i in range(j + 1):
             h = j - i
-            total = sums["d"][h]
-            total -= sum(step(s) * step(s + h) for s in range(1, lags + 1 - j))
-            total -= sum(step(s) * step(s + h) for s in range(last - j + 1, last - h + 1))
-            gram[column(i), column(j)] = gram[column(j), column(i)] = total
-    # level(t-1) * difference(t-j) by running sums E_g = sum of difference(s) * x(s+g).
-    run = sums["dx"]
-    gram[0, column(0)] = run - sums["d"][0] - sum(step(s) * x[s - 1] for s in range(1, lags + 1))
-    for j in range(1, lags + 1):
-        g = j - 1
-        if g:
-            run = run - step(n - g) * x[last] + sums["d"][g]
-        gram[0, column(j)] = (
-            run - sum(step(s) * x[s + g] for s in range(1, lags + 1 - j)) - step(n - j) * x[last]
-        )
-    low = np.tril_indices(size, -1)
-    gram[low] = gram.T[low]
+            inner = sums["d"][h] - first[:left] @ first[h : h + left] - final[h:j] @ final[: j - h]
+            gram[places[i], at] = gram[at, places[i]] = inner
+    gram[:, 0], gram[1:, 1] = gram[0], gram[1, 1:]
     return gram, rows
 
 
-def _adf_fit(gram: np.ndarray, rows: int, lags: int) -> tuple[float, float]:
-    """Squared residuals and t-ratio of the level with the first ``lags`` lagged differences."""
-    cols = [*range(2 + lags)]
-    a, b, yy = gram[np.ix_(cols, cols)], gram[cols, -1], gram[-1, -1]
-    scale = 1.0 / np.sqrt(np.where(np.diag(a) > 0, np.diag(a), 1.0))
-    inverse = np.linalg.pinv(a * np.outer(scale, scale), hermitian=True) * np.outer(scale, scale)
-    beta = inverse @ b
-    ssr, free = max(yy - beta @ b, 0.0), rows - len(cols)
-    if free <= 0 or ssr <= 1e-14 * yy or inverse[0, 0] <= 0:
-        return math.nan, math.nan
-    return ssr, beta[0] / math.sqrt(ssr / free * inverse[0, 0])
+def _adf_parts(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scaled regressor products, scaled products with the difference, and the scale."""
+    diagonal = np.diag(gram)[:-1]
+    scale = 1.0 / np.sqrt(np.where(diagonal > 0, diagonal, 1.0))
+    return gram[:-1, :-1] * np.outer(scale, scale), gram[:-1, -1] * scale, scale
+
+
+def _adf_squares(gram: np.ndarray) -> np.ndarray:
+    """Squared residuals of the nested regressions with 0, 1, … lagged differences."""
+    products, with_step, _ = _adf_parts(gram)
+    try:
+        # One factorisation serves all: each column adds its own explained square.
+        explained = np.cumsum(np.linalg.solve(np.linalg.cholesky(products), with_step) ** 2)
+        return gram[-1, -1] - explained[1:]
+    except np.linalg.LinAlgError:
+        left = []
+        for k in range(2, len(products) + 1):
+            beta = np.linalg.pinv(products[:k, :k], hermitian=True) @ with_step[:k]
+            left.append(gram[-1, -1] - beta @ with_step[:k])
+        return np.asarray(left)
 
 
 def adf_solve(sums: dict, head: np.ndarray, tail: np.ndarray, n: int, max_lag: int) -> tuple[float, int, int]:
     """Lag by AIC on the common sample, then the t-ratio on the own sample of that lag."""
     gram, rows = _adf_gram(sums, head, tail, n, max_lag)
-    best, best_aic = None, math.inf
-    for lags in range(max_lag + 1):
-        ssr, _ = _adf_fit(gram, rows, lags)
-        if math.isfinite(ssr) and rows * math.log(ssr / rows) + 2 * (lags + 2) < best_aic:
-            best, best_aic = lags, rows * math.log(ssr / rows) + 2 * (lags + 2)
-    if best is None:
+    squares = _adf_squares(gram)
+    lags = np.arange(max_lag + 1)
+    usable = (squares > 1e-14 * gram[-1, -1]) & (rows > lags + 2)
+    if not usable.any():
         return math.nan, 0, n - 1
+    with np.errstate(invalid="ignore", divide="ignore"):
+        aic = np.where(usable, rows * np.log(squares / rows) + 2 * (lags + 2), np.inf)
+    best = int(np.argmin(aic))
     own, rows = _adf_gram(sums, head, tail, n, best)
-    return _adf_fit(own, rows, best)[1], best, rows
+    products, with_step, scale = _adf_parts(own)
+    inverse = np.linalg.pinv(products, hermitian=True)
+    beta = inverse @ with_step
+    left, free = own[-1, -1] - beta @ with_step, rows - len(with_step)
+    if free <= 0 or left <= 1e-14 * own[-1, -1] or inverse[0, 0] <= 0:
+        return math.nan, best, rows
+    return beta[0] / math.sqrt(left / free * inverse[0, 0]), best, rows
 
 
 def adf_test(
@@ -201,7 +211,7 @@ def adf_test(
     lags tried; the length of a series limits them too.
     """
     prof = prof or profile(df, time_col, keys)
-    limit = adf_max_lag(prof.longest)
+    limit = adf_max_lag(longest_series(df, keys) if keys else prof.rows)
     limit = limit if max_lag is None else min(limit, max_lag)
     value = F.col(f"`{column}`").cast("double")
     base = with_group_stats(df.select(*keys, time_col, value.alias("__v")), {"__mean": F.avg("__v")}, keys)
@@ -231,6 +241,9 @@ def adf_test(
     )
     values = lambda c: F.transform(c, lambda e: e["x"]).alias(c)
     ready = sums.select(*keys, "n", "sx", "sxx", "sdx", "sd", values("head"), values("tail"))
+    if keys:
+        # Many short rows: spread the solves, whose cost the byte size does not show.
+        ready = ready.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
     names = ["statistic", "p_value", "critical_1", "critical_5", "critical_10"]
     out_schema = T.StructType(
         [df.schema[k] for k in keys]
