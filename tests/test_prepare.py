@@ -152,6 +152,16 @@ def test_flavours_round_trip(spark, frame):
         writers.write_flavours(df, 3, "H")
 
 
+def test_times_in_text_are_plain(spark, frame):
+    base = new_path(spark, "t")
+    df = frame(series(2, start="2013-01-31")).withColumnRenamed("ts", "Start")
+    paths = writers.write_flavours(df, base, "H")
+    lines = {r.value for r in spark.read.text(paths["datetime"]).collect()}
+    assert "2013-01-31 01:00:00,1.0" in lines
+    back = readers.read_table(spark, paths["datetime"], df.schema)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
 def test_convert_reports_broken_files(spark):
     source, target = new_path(spark, "in"), new_path(spark, "out")
     spark.range(3).write.parquet(f"{source}/good.parquet")

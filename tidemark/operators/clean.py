@@ -79,6 +79,6 @@ def outlier_share(df: DataFrame, column: str, keys: Sequence[str] = (), **kw) ->
         .groupBy(*keys)
         .agg(
             F.count(F.when(out, 1)).alias("n_outliers"),
-            (100.0 * F.count(F.when(out, 1)) / F.count(F.lit(1))).alias("pct_outliers"),
+            F.try_divide(100.0 * F.count(F.when(out, 1)), F.count(F.lit(1))).alias("pct_outliers"),
         )
     )

@@ -39,8 +39,9 @@ def acf(
     keys: Sequence[str] = (),
     prof: Profile | None = None,
 ) -> DataFrame:
-    """Autocorrelation for lags 0..``max_lag`` with 95 % and 99 % bands; the series has no nulls."""
+    """Autocorrelation for lags 0..``max_lag`` with 95 % and 99 % bands; nulls are dropped."""
     value = F.col(f"`{column}`").cast("double")
+    df = df.filter(value.isNotNull())
     centred = with_group_stats(df.select(*keys, time_col, value.alias("__v")), {"__mean": F.avg("__v")}, keys)
     centred = centred.select(*keys, time_col, (F.col("__v") - F.col("__mean")).alias("__x"))
     x = F.col("__x")
@@ -208,8 +209,9 @@ def adf_test(
     The regression matrix is made of lagged products of the differences, so one
     aggregate with a sum per lag, plus the first and last values of each series, is
     all that leaves the data; the small solve runs per series. ``max_lag`` limits the
-    lags tried; the length of a series limits them too.
+    lags tried; the length of a series limits them too. Nulls are dropped.
     """
+    df = df.filter(F.col(f"`{column}`").isNotNull())
     prof = prof or profile(df, time_col, keys)
     limit = adf_max_lag(longest_series(df, keys) if keys else prof.rows)
     limit = limit if max_lag is None else min(limit, max_lag)
@@ -240,7 +242,7 @@ def adf_test(
         F.sort_array(F.collect_list(F.when(F.col("__t") >= F.col("__n") - limit - 2, edge))).alias("tail"),
     )
     values = lambda c: F.transform(c, lambda e: e["x"]).alias(c)
-    ready = sums.select(*keys, "n", "sx", "sxx", "sdx", "sd", values("head"), values("tail"))
+    ready = sums.filter(F.col("n").isNotNull()).select(*keys, "n", "sx", "sxx", "sdx", "sd", values("head"), values("tail"))
     if keys:
         # Many short rows: spread the solves, whose cost the byte size does not show.
         ready = ready.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -8,12 +8,16 @@ from multiprocessing.pool import ThreadPool
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..functions.time import HOUR_FORMAT
 from .readers import frequency_path
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "csv") -> None:
+def write_table(df: DataFrame, path: str, fmt: str = "csv", time_format: str | None = None) -> None:
+    """Write a table; ``time_format`` is the text form of times in CSV (by default ISO with all digits)."""
     writer = df.write.mode("overwrite")
     if fmt == "csv":
+        if time_format:
+            writer = writer.option("timestampFormat", time_format).option("timestampNTZFormat", time_format)
         writer.option("header", True).csv(path)
     elif fmt == "parquet":
         writer.parquet(path)
@@ -26,8 +30,8 @@ def write_flavours(df: DataFrame, base: str, freq: str, time_col: str = "Start",
     if not isinstance(base, str):
         raise TypeError("base must be a path")
     paths = {flavour: frequency_path(base, freq, flavour) for flavour in ("datetime", "timestamp")}
-    write_table(df, paths["datetime"], fmt)
-    write_table(df.drop(time_col), paths["timestamp"], fmt)
+    write_table(df, paths["datetime"], fmt, HOUR_FORMAT)
+    write_table(df.drop(time_col), paths["timestamp"], fmt, HOUR_FORMAT)
     return paths
 
 
