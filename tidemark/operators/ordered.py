@@ -103,8 +103,9 @@ def _bucket(order: Column, cuts: Sequence) -> Column:
         F.lit(0),
         lambda at, by: F.when(order >= F.get(points, at + by - 1), at + by).otherwise(at),
     )
-    # Never null; said in a way the optimizer sees, or a join would test it row by row.
-    return F.coalesce(found, F.lit(0))
+    # As a generated column, the bucket is a plain value to the optimizer, which would
+    # otherwise derive filters from the search on either side of the stitching join.
+    return F.explode(F.array(F.coalesce(found, F.lit(0))))
 
 
 def place(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import Profile, over_blocks, place, profile, with_group_stats, with_position
+from .ordered import Profile, attach, over_blocks, place, profile, with_group_stats, with_position
 
 
 def rolling_mean_std(
@@ -120,17 +120,21 @@ def seasonal_decompose(
         series, time_col, columns, reach_back=half, reach_ahead=half, keys=keys, prof=prof, position="__t"
     )
     slot = F.col("__t") % period
-    means = trended.groupBy(*keys, slot.alias("__slot")).agg(F.avg(F.col("__x") - F.col("trend")).alias("__m"))
-    # At most ``period`` rows per series.
-    index = with_group_stats(means, {"__mm": F.avg("__m")}, keys).select(
-        F.struct(*keys, "__slot").alias("__ik"), (F.col("__m") - F.col("__mm")).alias("seasonal")
+    # Reads the same columns as the result below, so that Spark shuffles the blocks once for both.
+    present = F.col(f"`{time_col}`").isNotNull() & F.col(f"`{column}`").isNotNull()
+    detrended = F.when(present, F.col("__x") - F.col("trend"))
+    means = trended.groupBy(*keys, slot.alias("__slot")).agg(F.avg(detrended).alias("__m"))
+    # One array of ``period`` numbers per series: looked up by slot, so rows are not shuffled by it.
+    pairs = with_group_stats(means, {"__mm": F.avg("__m")}, keys).select(
+        *keys, F.struct("__slot", (F.col("__m") - F.col("__mm")).alias("__s")).alias("__pair")
     )
-    joined = trended.withColumn("__slot", slot).withColumn("__k", F.struct(*keys, "__slot"))
-    return joined.join(index, F.col("__k") == F.col("__ik")).select(
-        *df.columns,
+    index = pairs.groupBy(*keys).agg(F.sort_array(F.collect_list("__pair")).alias("__index"))
+    seasonal = F.get("__index", slot.cast("int"))["__s"]
+    return attach(trended, index, ["__index"], keys).select(
+        *[F.col(f"`{c}`") for c in df.columns],
         "trend",
-        "seasonal",
-        (F.col("__x") - F.col("trend") - F.col("seasonal")).alias("resid"),
+        seasonal.alias("seasonal"),
+        (F.col("__x") - F.col("trend") - seasonal).alias("resid"),
     )
 
 
