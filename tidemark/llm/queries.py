@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, simhash, token_files, toxicity, warc
+from . import bpe, chat, decontam, grid, html, lines, simhash, token_files, toxicity, warc
 from .shared import table
 
 QUERIES = {}
@@ -33,6 +33,34 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_html")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+OP2_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    AND len([x FOR x IN embedding IF x <> 0]) > 0
+), l AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b
+  ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98
+), r AS (
+  SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x
+), c AS (SELECT x, min(y) AS y FROM r GROUP BY x), n AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(c.y, vec_id)) AS component_id,
+  vec_id <= coalesce(c.y, vec_id) AS kept
+FROM embeddings LEFT JOIN c ON vec_id = c.x LEFT JOIN n ON vec_id = n.x
+"""
+
+
+@query("op2_vectors", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query("op3_warc")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_digests(table(spark, sf_dir, "pages"))
@@ -58,6 +86,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
 
 
+@query("op8_lines")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 OP9_SQL = r"""
 WITH added AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -80,3 +113,30 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     asked = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], rows.schema)
     return chat.formatted_digests(rows.unionByName(asked), tokenizer_path("byte_bpe_50k.json"))
+
+
+OP10_SQL = r"""
+WITH i AS (
+  SELECT CAST(item_id AS VARCHAR) AS item,
+    [x FOR x IN regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS w
+  FROM benchmark WHERE text IS NOT NULL
+), s AS (SELECT item, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS p FROM i WHERE len(w) > 0),
+g AS (SELECT DISTINCT item, least(len(w), 13) AS size, array_to_string(w[p:p + 12], ' ') AS gram FROM s),
+d AS (
+  SELECT row_number() OVER () AS row, doc_id,
+    [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS w
+  FROM documents
+), z AS (SELECT DISTINCT size FROM g),
+p AS (SELECT row, w, size, unnest(range(1, len(w) - size + 2)) AS p FROM d, z WHERE len(w) >= size),
+h AS (SELECT row, p, p.size, item FROM p JOIN g ON p.size = g.size AND array_to_string(w[p:p + p.size - 1], ' ') = gram),
+c AS (SELECT row, count(DISTINCT q) AS n FROM (SELECT row, unnest(range(p, p + size)) AS q FROM h) GROUP BY row),
+m AS (SELECT row, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, item FROM h) GROUP BY row)
+SELECT doc_id, len(w) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(m.n, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(c.n, 0) > 0 AND 20 * coalesce(c.n, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN c USING (row) LEFT JOIN m USING (row)
+"""
+
+
+@query("op10_decontamination", OP10_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
