@@ -30,6 +30,8 @@ from .registry import best_params
 
 # Largest modulus of the autoregressive part; beyond it a long forecast would explode.
 MAX_MODULUS = 0.999
+# Impulse responses that are computed at once.
+RESPONSES = 1024
 
 
 def difference_weights(d: int) -> list[float]:
@@ -98,28 +100,25 @@ class ErrorModel:
     def forecast(self, horizon: np.ndarray) -> np.ndarray:
         """Error forecast for horizons >= 1 in any order."""
         step, level, _ = self.system()
-        wanted, back = np.unique(horizon, return_inverse=True)
-        out, at, state = np.empty(len(wanted)), 1, np.asarray(self.state)
-        for i, h in enumerate(wanted):
-            if h > at:
-                state = (np.linalg.matrix_power(step, int(h - at)) if h > at + 1 else step) @ state
-            at = h
-            out[i] = level @ state
+        wanted, back = np.unique(np.asarray(horizon, dtype=np.int64), return_inverse=True)
+        out = np.empty(len(wanted))
+        for begin, end, at, columns in _blocks(step, np.asarray(self.state, dtype=float), wanted):
+            out[begin:end] = (level @ columns)[wanted[begin:end] - at]
         return out[back]
 
     def variance(self, horizon: np.ndarray) -> np.ndarray:
-        """Forecast variance for horizons >= 1: sigma^2 times the squared impulse responses."""
+        """Forecast variance for horizons >= 1: sigma^2 times the sum of squared impulse responses."""
         step, level, enters = self.system()
-        wanted, back = np.unique(horizon, return_inverse=True)
-        out, at, cover = np.empty(len(wanted)), 1, np.zeros(step.shape)
-        for i, h in enumerate(wanted):
-            if h - at == 1:
-                cover = step @ cover @ step.T + np.outer(enters, enters)
-            elif h > at:
-                cover = self._advance(step, enters, cover, int(h - at))
-            at = h
-            out[i] = self.sigma**2 * (1.0 + level @ cover @ level)
-        return out[back]
+        wanted, back = np.unique(np.asarray(horizon, dtype=np.int64), return_inverse=True)
+        out, reached, spread = np.empty(len(wanted)), 1, 1.0
+        for begin, end, at, columns in _blocks(step, enters, wanted):
+            if at > reached:
+                cover = self._advance(step, enters, np.zeros(step.shape), at - 1)
+                spread = 1.0 + float(level @ cover @ level)
+            totals = spread + np.concatenate([[0.0], np.cumsum((level @ columns) ** 2)])
+            out[begin:end] = totals[wanted[begin:end] - at]
+            reached, spread = at + columns.shape[1], totals[-1]
+        return self.sigma**2 * out[back]
 
     @staticmethod
     def _advance(step, enters, cover, count):
@@ -133,6 +132,32 @@ class ErrorModel:
         return cover
 
 
+def _krylov(step: np.ndarray, state: np.ndarray, count: int) -> np.ndarray:
+    """Columns state, step @ state, … , doubled until there are ``count``."""
+    columns = state[:, None]
+    while columns.shape[1] < count:
+        columns = np.concatenate([columns, step @ columns], axis=1)
+        step = step @ step
+    return columns[:, :count]
+
+
+def _blocks(step: np.ndarray, state: np.ndarray, wanted: np.ndarray):
+    """The states at sorted horizons, RESPONSES steps at once.
+
+    Yields the range of ``wanted`` that a block covers, the block's first horizon and its
+    states as columns. Gaps are crossed by a matrix power.
+    """
+    begin, at = 0, 1
+    while begin < len(wanted):
+        if wanted[begin] >= at + RESPONSES:
+            state = np.linalg.matrix_power(step, int(wanted[begin] - at)) @ state
+            at = int(wanted[begin])
+        columns = _krylov(step, state, RESPONSES)
+        end = int(np.searchsorted(wanted, at + RESPONSES))
+        yield begin, end, at, columns
+        begin, at, state = end, at + RESPONSES, step @ columns[:, -1]
+
+
 class ArxForecaster(Forecaster):
     """Linear regression plus the forecast of its error; rows need their position ``pos``."""
 
@@ -231,7 +256,7 @@ def _cross_products(long_ar: np.ndarray, p: int, q: int):
             rows = np.column_stack(cols)
             total += rows.T @ rows
             n += len(rows)
-        yield pd.DataFrame({"cells": [total.ravel()], "n": [n]})
+        yield pd.DataFrame({"cells": [np.append(total.ravel(), n)]})
 
     return run
 
@@ -261,13 +286,13 @@ def _fit_stage(
         reach_back=depth - 1,
         prof=prof,
     ).filter(F.size("history") == depth)
-    partials = histories.select("history").mapInPandas(_cross_products(long_ar, max_p, max_q), "cells array<double>, n long")
+    partials = histories.select("history").mapInPandas(_cross_products(long_ar, max_p, max_q), "cells array<double>")
     width = max_p + max_q + 1
     sums = partials.select(F.posexplode("cells").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
-    used = partials.agg(F.sum("n")).first()[0] or 0
-    gram = np.zeros(width * width)
-    for row in sums:  # (max_p + max_q + 1)^2 numbers
+    gram = np.zeros(width * width + 1)
+    for row in sums:  # (max_p + max_q + 1)^2 numbers and the number of rows
         gram[row["i"]] = row["v"]
+    gram, used = gram[:-1], int(gram[-1])
     recent = eta.orderBy(F.col(time_col).desc()).limit(depth).collect()
     undiff = train.select(time_col, (F.col(target) - fitted).alias("v")).orderBy(F.col(time_col).desc()).limit(d).collect()
     return _Stage(
