@@ -139,3 +139,57 @@ def test_quantiles_with_one_dominant_value(spark, frame, path):
     rows = series(300, fn=lambda i: 7 if i % 3 else i)
     got = grouped_quantiles(frame(rows), ["value"], [0.25, 0.5, 0.75]).first()["value"]
     assert np.allclose(got, np.quantile([v for _, v in rows], [0.25, 0.5, 0.75]))
+
+
+def awkward(n=600):
+    """Null times, NaN-free ties and a time that nine rows in ten share."""
+    import datetime
+
+    day = datetime.datetime(2024, 1, 1)
+    rows = []
+    for i in range(n):
+        at = None if i % 41 == 0 else day if i % 10 else day + datetime.timedelta(hours=int(NOISE[i % 400] * 50) - 20)
+        rows.append((["a", "b"][i % 3 == 0], at, None if i % 17 == 0 else float(i)))
+    return rows
+
+
+def sorted_rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("most", [1 << 12, 4])
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_paths_agree_on_nulls_and_ties(spark, frame, monkeypatch, keys, most):
+    df = frame(awkward(), SCHEMA).repartition(5)
+    placed = lambda: ordered.place(df, "ts", keys, start="s", total="t", before={"p": "value"}, after={"f": "value"})
+    rolled = lambda: sequence.lag(df, "value", "ts", 3, keys)
+    plain = sorted_rows(placed()), sorted_rows(rolled())
+    monkeypatch.setattr(ordered, "PLAIN_ROWS", 0)
+    monkeypatch.setattr(ordered, "BUCKET_ROWS", 17)
+    monkeypatch.setattr(ordered, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(ordered, "MAX_BUCKETS", most)
+    assert (ordered.profile(df, "ts", keys).finer is None) == (most > 4)
+    assert (sorted_rows(placed()), sorted_rows(rolled())) == plain
+
+
+def test_a_hot_time_is_split(spark, frame, monkeypatch):
+    df = frame(awkward(2000), SCHEMA)
+    monkeypatch.setattr(ordered, "PLAIN_ROWS", 0)
+    monkeypatch.setattr(ordered, "BUCKET_ROWS", 100)
+    sizes = ordered._with_bucket(df, "ts", ordered.profile(df, "ts")).groupBy("__b").count().toPandas()["count"]
+    assert sizes.max() < 300 and len(sizes) > 12
+
+
+@pytest.mark.parametrize("kind", ["double", "decimal(10,2)", "int", "date"])
+def test_order_of_other_types(spark, frame, path, kind):
+    if kind == "date":
+        value = F.expr("date_add(date'2000-01-01', cast(value as int))")
+    else:
+        value = F.col("value").cast(kind)
+    df = frame(series(90, fn=lambda i: None if i == 7 else (i * 37 % 90) / (4 if kind in ("double", "decimal(10,2)") else 1))).select(value.alias("o"))
+    if kind == "double":
+        df = df.unionAll(spark.sql("select explode(array(double('nan'), double('-infinity'), double('infinity')))"))
+    got = ordered.with_position(df, "o").orderBy("pos").toPandas()["o"]
+    want = df.orderBy(F.col("o").asc_nulls_first()).toPandas()["o"]
+    known = [x for x in want if x is not None and x == x and abs(x if kind != "date" else 0) != float("inf")]
+    assert [x for x in got if x is not None and x == x and abs(x if kind != "date" else 0) != float("inf")] == known

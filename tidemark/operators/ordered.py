@@ -8,9 +8,13 @@ Positions, running totals and neighbours are then stitched together through one
 small row per ``(key, bucket)``. Frames that reach further use blocks of
 positions with copies of the bordering rows (``over_blocks``).
 
-Cut points are computed once, eagerly, and enter the plan as constants; both
-sides of the stitching join and any recomputation after a lost executor see the
-same buckets.
+Rows have one total order on every path: by the order column, nulls first and NaN
+with infinity last, then by a hash of the whole row. A value that fills several
+buckets, a hot time, is cut at that hash.
+
+Cut points are computed once, eagerly, and enter the plan as constants (their second
+level, for tables of billions of rows, as a stored table); both sides of the stitching
+join and any recomputation after a lost executor see the same buckets.
 """
 
 from __future__ import annotations
@@ -23,22 +27,30 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
+
 # A series of up to this many rows may be sorted by one task.
 PLAIN_ROWS = 1 << 18
 BUCKET_ROWS = 1 << 19
+# Buckets of one level; a second level divides each of them again.
 MAX_BUCKETS = 1 << 12
 BLOCK_ROWS = 1 << 16
+# Sketches are merged in so many groups first, and then in one.
+MERGES = 256
+SKETCH_SIZE = 4 * MAX_BUCKETS
 
 
 @dataclass(frozen=True)
 class Profile:
     """Row count of a table and its bucket cut points along the order column.
 
-    Without cut points every series is short and a plain window per series will do.
+    Without cut points every series is short and a plain window per series will do. A
+    cut point that is listed twice or more is a value that fills whole buckets.
     """
 
     rows: int
     cuts: tuple = ()
+    finer: DataFrame | None = None
 
     @property
     def plain(self) -> bool:
@@ -46,22 +58,39 @@ class Profile:
 
 
 def order_value(df: DataFrame, column: str) -> Column:
-    """The order column as a number that sorts alike."""
-    dtype = df.schema[column].dataType
+    """The order column as a number that sorts alike; null counts as the smallest, NaN as the largest."""
+    dtype, value = df.schema[column].dataType, F.col(f"`{column}`")
     if isinstance(dtype, T.TimestampNTZType):
-        return F.unix_micros(F.col(f"`{column}`").cast("timestamp"))
-    if isinstance(dtype, T.TimestampType):
-        return F.unix_micros(F.col(f"`{column}`"))
-    if isinstance(dtype, T.DateType):
-        return F.unix_date(F.col(f"`{column}`"))
-    if isinstance(dtype, T.DecimalType):
-        return F.col(f"`{column}`").cast("double")
-    return F.col(f"`{column}`")
+        whole = F.unix_micros(value.cast("timestamp"))
+    elif isinstance(dtype, T.TimestampType):
+        whole = F.unix_micros(value)
+    elif isinstance(dtype, T.DateType):
+        whole = F.unix_date(value).cast("bigint")
+    elif isinstance(dtype, T.IntegralType):
+        whole = value.cast("bigint")
+    elif isinstance(dtype, (T.DecimalType, T.FractionalType)):
+        number = value.cast("double")
+        infinite = F.lit(float("inf"))
+        return F.when(number.isNull(), -infinite).when(F.isnan(number), infinite).otherwise(number)
+    else:
+        raise TypeError(f"rows cannot be ordered by {column} of type {dtype.simpleString()}")
+    return F.coalesce(whole, F.lit(-(1 << 63)))
+
+
+def tie_value(df: DataFrame) -> Column:
+    """A hash of the whole row, 63 bits: the order of rows with equal order values."""
+    plain = [f"`{f.name}`" for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return F.shiftrightunsigned(F.xxhash64(*plain), 1)
+
+
+def total_order(df: DataFrame, column: str) -> list[Column]:
+    """Sort expressions that order all rows of a series, equal for the same rows everywhere."""
+    return [order_value(df, column), tie_value(df)]
 
 
 def profile(df: DataFrame, order_by: str, keys: Sequence[str] = ()) -> Profile:
     """Passes over the order column and the keys alone; the result has at most ``MAX_BUCKETS`` numbers."""
-    return profile_with(df, order_by, F.lit(None), keys)[0]
+    return profile_with(df, order_by, None, keys)[0]
 
 
 def longest_series(df: DataFrame, keys: Sequence[str]) -> int:
@@ -70,42 +99,87 @@ def longest_series(df: DataFrame, keys: Sequence[str]) -> int:
     return sizes.agg(F.max("n")).first()[0] or 0
 
 
-def profile_with(df: DataFrame, order_by: str, extra: Column, keys: Sequence[str] = ()) -> tuple[Profile, object]:
-    """The profile and one more aggregate from the same pass."""
-    # As SQL text: thousands of literals are slow to hand over one by one.
-    probs = ", ".join(f"{i / MAX_BUCKETS}D" for i in range(1, MAX_BUCKETS))
-    row = df.withColumn("__o", order_value(df, order_by)).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.expr(f"percentile_approx(__o, array({probs}), {4 * MAX_BUCKETS})").alias("cuts"),
-        extra.alias("extra"),
-    ).first()
-    rows = row["n"]
-    if rows <= PLAIN_ROWS or not row["cuts"]:
-        return Profile(rows), row["extra"]
-    if keys and longest_series(df, keys) <= PLAIN_ROWS:
-        return Profile(rows), row["extra"]
-    buckets = min(MAX_BUCKETS, max(2, -(-rows // BUCKET_ROWS)))
-    cuts = [row["cuts"][i * MAX_BUCKETS // buckets - 1] for i in range(1, buckets)]
-    finite = {c for c in cuts if not (isinstance(c, float) and not math.isfinite(c))}
-    return Profile(rows, tuple(sorted(finite))), row["extra"]
+def _sketches(kind: str):
+    return (getattr(F, f"kll_{name}_{kind}") for name in ("sketch_agg", "merge_agg", "sketch_get_quantile"))
+
 
+def _ranks(parts: int) -> Column:
+    """The ranks between equal parts, as SQL text: thousands of literals are slow to hand over one by one."""
+    return F.expr("array(" + ", ".join(f"{i / parts}D" for i in range(1, parts)) + ")")
 
-def _bucket(order: Column, cuts: Sequence) -> Column:
-    """Number of cut points at or below the value, by binary search."""
+
+def profile_with(df: DataFrame, order_by: str, largest: str | None, keys: Sequence[str] = ()) -> tuple[Profile, object]:
+    """The profile and the largest value of one more column, from the same pass.
+
+    Sketches of the tasks are merged in groups before the last merge, so that no task reads
+    one of every other.
+    """
+    narrow = df.select(order_value(df, order_by).alias("__o"), (F.col(f"`{largest}`") if largest else F.lit(None).cast("bigint")).alias("__x"))
+    sketch, merge, quantile = _sketches(narrow.schema["__o"].dataType.simpleString())
+    groups = narrow.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGES)).alias("__g")).agg(
+        F.count(F.lit(1)).alias("n"), sketch("__o", F.lit(SKETCH_SIZE)).alias("s"), F.max("__x").alias("x")
+    )
+    row = groups.agg(F.sum("n").alias("n"), merge("s", F.lit(SKETCH_SIZE)).alias("s"), F.max("x").alias("x")).first()
+    rows = row["n"] or 0
+    if rows <= PLAIN_ROWS:
+        return Profile(rows), row["x"]
+    if keys and longest_series(df, keys) <= PLAIN_ROWS:
+        return Profile(rows), row["x"]
+    wanted = -(-rows // BUCKET_ROWS)
+    buckets = min(MAX_BUCKETS, max(2, wanted))
+    held = df.sparkSession.createDataFrame([(bytes(row["s"]),)], "s binary")
+    made = Profile(rows, tuple(held.select(quantile("s", _ranks(buckets))).first()[0]))
+    if wanted > MAX_BUCKETS:
+        ranks = _ranks(-(-wanted // MAX_BUCKETS))
+        placed = df.select(order_value(df, order_by).alias("__o"), _coarse(df, order_by, made.cuts).alias("__c"))
+        inner = placed.groupBy("__c").agg(quantile(sketch("__o", F.lit(SKETCH_SIZE)), ranks).alias("__cuts"))
+        made = Profile(rows, made.cuts, cut_lineage(inner.withColumnRenamed("__c", "__fc")))
+    return made, row["x"]
+
+
+def _count_cuts(points: Column, reached: Callable[[Column], Column], most: int) -> Column:
+    """Number of sorted cut points that are reached, by binary search."""
     steps, step = [], 1
-    while step <= len(cuts):
+    while step <= most:
         steps.insert(0, step)
         step *= 2
-    suffix = "D" if isinstance(cuts[0], float) else "L"
-    points = F.expr("array(" + ", ".join(f"{c!r}{suffix}" for c in cuts) + ")")
-    found = F.aggregate(
-        F.lit(steps),
-        F.lit(0),
-        lambda at, by: F.when(order >= F.get(points, at + by - 1), at + by).otherwise(at),
+    return F.aggregate(
+        F.lit(steps), F.lit(0), lambda at, by: F.when(reached(F.get(points, at + by - 1)), at + by).otherwise(at)
     )
+
+
+def _between(order: Column, tie: Column, points: Column, most: int, repeated: bool) -> Column:
+    """Number of cut points at or below a row; a value with several cuts is spread over them by its hash."""
+    upper = _count_cuts(points, lambda p: order >= p, most)
+    if not repeated:
+        return upper
+    copies = upper - _count_cuts(points, lambda p: order > p, most)
+    part = F.floor(tie / F.lit(float(1 << 63)) * copies).cast("int")
+    return F.when(copies > 1, upper - copies + 1 + F.least(part, copies - 1)).otherwise(upper)
+
+
+def _number(value) -> str:
+    if isinstance(value, float):
+        return f"{value!r}D" if math.isfinite(value) else f"double('{value}')"
+    # The smallest bigint has no literal of its own.
+    return f"{value}L" if value > -(1 << 63) else f"({value + 1}L - 1L)"
+
+
+def _coarse(df: DataFrame, order_by: str, cuts: Sequence) -> Column:
+    points = F.expr("array(" + ", ".join(map(_number, cuts)) + ")")
+    return _between(order_value(df, order_by), tie_value(df), points, len(cuts), len(set(cuts)) < len(cuts))
+
+
+def _with_bucket(df: DataFrame, order_by: str, prof: Profile) -> DataFrame:
+    """Add ``__b``, the bucket of every row."""
     # As a generated column, the bucket is a plain value to the optimizer, which would
     # otherwise derive filters from the search on either side of the stitching join.
-    return F.explode(F.array(F.coalesce(found, F.lit(0))))
+    if prof.finer is None:
+        return df.withColumn("__b", F.explode(F.array(_coarse(df, order_by, prof.cuts))))
+    placed = df.withColumn("__c", _coarse(df, order_by, prof.cuts)).join(prof.finer, F.col("__c") == F.col("__fc"))
+    inner = _between(order_value(df, order_by), tie_value(df), F.col("__cuts"), 1 << 30, True)
+    bucket = F.col("__c").cast("bigint") * (1 << 31) + inner
+    return placed.withColumn("__b", F.explode(F.array(bucket))).drop("__c", "__fc", "__cuts")
 
 
 def place(
@@ -131,18 +205,22 @@ def place(
     if prof.plain:
         return _place_plain(df, order_by, keys, start, total, weight, before, after)
 
-    tagged = df.withColumn("__k", F.struct(*keys) if keys else F.struct(F.lit(0))).withColumn(
-        "__b", _bucket(order_value(df, order_by), prof.cuts)
-    )
+    tagged = _with_bucket(df, order_by, prof)
+    tagged = tagged.withColumns({
+        "__k": F.struct(*keys) if keys else F.struct(F.lit(0)), "__o": order_value(df, order_by), "__t": tie_value(df),
+    })
     size = F.sum(weight) if weight else F.count(F.lit(1))
     picks = [size.alias("__n")]
-    order = F.col(f"`{order_by}`")
-    # One aggregate per column: plain values stay in a hash aggregate, structs would be sorted.
+    # One number for both parts of the order keeps the aggregate a hash aggregate; doubles need a struct.
+    if tagged.schema["__o"].dataType == T.LongType():
+        order = F.col("__o").cast("decimal(20,0)") * F.lit(str(1 << 63)).cast("decimal(19,0)") + F.col("__t")
+    else:
+        order = F.struct("__o", "__t")
     picks += [F.max_by(F.col(f"`{c}`"), order).alias(f"__last_{n}") for n, c in before.items()]
     if after:
         picks.append(F.count(F.lit(1)).alias("__rows"))
         picks += [F.min_by(F.col(f"`{c}`"), order).alias(f"__first_{n}") for n, c in after.items()]
-    # One row per (series, bucket): at most MAX_BUCKETS rows in a window here.
+    # One row per (series, bucket): a window here holds one row for BUCKET_ROWS of a series.
     along = Window.partitionBy("__k").orderBy("__b")
     edges = tagged.groupBy("__k", "__b").agg(*picks)
     zero = F.lit(0).cast(edges.schema["__n"].dataType)
@@ -157,7 +235,7 @@ def place(
         edge_cols.append(F.col("__rows"))
     edges = edges.select(*edge_cols)
 
-    inside = Window.partitionBy("__k", "__b").orderBy(order_by)
+    inside = Window.partitionBy("__k", "__b").orderBy("__o", "__t")
     cols = {"__rn": F.row_number().over(inside)}
     if weight:
         cols["__run"] = F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, -1))
@@ -187,7 +265,7 @@ def place(
 
 def _place_plain(df, order_by, keys, start, total, weight, before, after) -> DataFrame:
     series = Window.partitionBy(*keys)
-    along = series.orderBy(order_by)
+    along = series.orderBy(*total_order(df, order_by))
     cols = {}
     if start and weight:
         run = F.sum(weight).over(along.rowsBetween(Window.unboundedPreceding, -1))
@@ -234,7 +312,7 @@ def over_blocks(
     """
     prof = prof or profile(df, order_by, keys)
     if prof.plain:
-        return df.withColumns(dict(columns(Window.partitionBy(*keys).orderBy(order_by))))
+        return df.withColumns(dict(columns(Window.partitionBy(*keys).orderBy(*total_order(df, order_by)))))
     size = max(block_rows or BLOCK_ROWS, reach_back, reach_ahead, 1)
     if position:
         placed = df.withColumn("__pos", F.col(position))

@@ -74,7 +74,7 @@ def resample_median(
     binned = df.select(*keys, bin_label(time_col, freq).alias(time_col), *[F.col(f"`{c}`") for c in columns])
     # One pass over keys and time gives the biggest bin and the layout of the labels.
     sizes = binned.groupBy(*keys, time_col).agg(F.count(F.lit(1)).alias("__size"))
-    prof, largest = profile_with(sizes, time_col, F.max("__size"), keys)
+    prof, largest = profile_with(sizes, time_col, "__size", keys)
     medians = grouped_quantiles(binned, columns, [0.5], [*keys, time_col], group_rows=group_rows, largest=largest or 0)
     flat = medians.select(*keys, time_col, *[F.col(f"`{c}`")[0].alias(c) for c in columns])
     if fill_empty:
