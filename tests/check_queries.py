@@ -2,6 +2,7 @@
 
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -70,7 +71,7 @@ def main():
     if os.environ.get("CHECK_SPLIT"):
         force_split()
     sf_dir = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.01")
-    spark = get_session("check", "local[8]", **{"spark__sql__shuffle__partitions": "8", "spark__ui__enabled": "false", "spark__driver__memory": "12g"})
+    spark = get_session("check", "local[8]", **{"spark__sql__shuffle__partitions": "8", "spark__ui__enabled": "false", "spark__driver__memory": "12g", "spark__checkpoint__dir": tempfile.mkdtemp(prefix="tidemark-check-")})
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf_dir)
     names = sys.argv[1:] or list(entry.queries())

@@ -25,6 +25,7 @@ from ..operators.ordered import Profile, over_blocks, profile
 from ..operators.split import chronological_split
 from ..operators.timestats import acf
 from ..schema import FEATURES, TARGET
+from ..session import cut_lineage
 from .base import Evaluation, Forecaster, evaluate
 from .registry import best_params
 
@@ -353,7 +354,7 @@ def arx_forecast(
     order = tuple(order or best_params("sarimax", freq)["order"])
     narrow = df.select(time_col, target, *features)
     prof = profile(narrow, time_col)
-    split = chronological_split(narrow, time_col, prof=prof).persist()
+    split = cut_lineage(chronological_split(narrow, time_col, prof=prof))
     train = split.filter(F.col("split") == "train")
     model = fit_arx(train, time_col, order, features, target, int(prof.rows * 0.6), prof)
     return evaluate(model, split, time_col, "sarimax", freq, target, prof)
@@ -390,7 +391,7 @@ def order_grid_search(
     """
     narrow = df.select(time_col, target, *features)
     prof = profile(narrow, time_col)
-    split = chronological_split(narrow, time_col, prof=prof).persist()
+    split = cut_lineage(chronological_split(narrow, time_col, prof=prof))
     train = split.filter(F.col("split") == "train")
     held = split.filter(F.col("split") == "validation")
     train_rows, found = int(prof.rows * 0.6), []
@@ -408,6 +409,5 @@ def order_grid_search(
             p, q = orders[row["i"]]
             value = row["mae"]
             found.append((p, d, q, value if value is not None and math.isfinite(value) else None))
-    split.unpersist()
     table = df.sparkSession.createDataFrame(found, "p int, d int, q int, MAE double")
     return table.orderBy(F.asc_nulls_last("MAE"), "p", "d", "q")

@@ -6,7 +6,6 @@ import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +14,7 @@ from ..operators.metrics import score
 from ..operators.ordered import Profile, profile
 from ..operators.split import chronological_split
 from ..schema import FEATURES, TARGET
-from ..session import shared_dir
+from ..session import cut_lineage
 
 KINDS: dict[str, type] = {}
 
@@ -131,11 +130,10 @@ def fit_and_evaluate(
 ) -> Evaluation:
     """Chronological 60/20/20 split, ``fit`` on the train rows, scores of the others.
 
-    The split is kept (spilling to disk) while the learner iterates over it.
+    The split is stored in the shared folder, because the learner iterates over it.
     """
-    shared_dir(df.sparkSession)
     narrow = df.select(time_col, target, *features)
     prof = profile(narrow, time_col)
-    split = chronological_split(narrow, time_col, prof=prof).persist(StorageLevel.MEMORY_AND_DISK)
+    split = cut_lineage(chronological_split(narrow, time_col, prof=prof))
     model = fit(split.filter(F.col("split") == "train"))
     return evaluate(model, split, time_col, name, freq, target, prof)

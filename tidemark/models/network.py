@@ -24,11 +24,14 @@ from ..operators.metrics import score
 from ..operators.ordered import profile
 from ..operators.scale import WINDOW, window_dataset
 from ..schema import CHANNELS
+from ..session import cut_lineage
 from .base import Evaluation, Forecaster
 from .registry import best_params
 
 # Training settings.
 EPOCHS = 10
+# Parts of the train rows whose weights are averaged after an epoch.
+SHARDS = 8
 BATCH = 32
 PATIENCE = 10
 DROPOUT = 0.25
@@ -280,14 +283,17 @@ def fit_network(
     learning_rate: float,
     epochs: int = EPOCHS,
     patience: int | None = None,
-    workers: int | None = None,
+    shards: int = SHARDS,
     seed: int = 42,
 ) -> tuple[np.ndarray, list[float]]:
-    """Best weights by validation error and the error after every epoch."""
+    """Best weights by validation error and the error after every epoch.
+
+    The rows are cut into ``shards`` by a hash of their position, whatever the cluster,
+    and each shard is read in order of position: a task that is repeated, here or on
+    another number of cores, trains alike.
+    """
     sc = train.sparkSession.sparkContext
-    workers = workers or sc.defaultParallelism
-    # A fixed share per task: the hash of the position gives a recomputed task the same rows.
-    spread = train.repartition(workers, F.xxhash64("pos")).persist(StorageLevel.MEMORY_AND_DISK)
+    spread = train.repartition(shards, F.xxhash64("pos")).sortWithinPartitions("pos").persist(StorageLevel.MEMORY_AND_DISK)
     zeros = np.zeros(net.size())
     state = (net.initial(seed), zeros, zeros)
     best, best_error, history, steps, waited = state[0], math.inf, [], 0, 0
@@ -296,7 +302,7 @@ def fit_network(
         trained = spread.mapInPandas(
             _epoch(net, sent, learning_rate, steps, seed), "task long, vector array<double>, n double, steps long"
         )
-        vector, steps = _average(trained, workers)
+        vector, steps = _average(trained, shards)
         sent.unpersist()
         state = tuple(np.split(vector, 3))
         state = (state[0], state[1], np.maximum(state[2], 0.0))
@@ -325,7 +331,7 @@ def window_forecast(
     fit_on: str = "all",
     window: int | None = None,
     epochs: int = EPOCHS,
-    workers: int | None = None,
+    shards: int = SHARDS,
     **overrides,
 ) -> Evaluation:
     """Train a network on the train windows and score the target channel on validation and test.
@@ -334,14 +340,14 @@ def window_forecast(
     """
     params = {**best_params(kind, freq), **overrides}
     windows, bounds = window_dataset(df, time_col, freq, channels, fit_on, window)
-    rows = _flat_windows(windows).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = cut_lineage(_flat_windows(windows))
     width = len(bounds)
     length = window or WINDOW[freq]
     net = Net(kind, length, width, tuple(params["units"]), tuple(params["activations"]), params["dropout"])
     train, held = rows.filter(F.col("split") == "train"), rows.filter(F.col("split") == "validation")
     # Early stopping belongs to the hourly networks only.
     patience = PATIENCE if freq == "H" else None
-    flat, history = fit_network(train, held, net, params["learning_rate"], epochs, patience, workers)
+    flat, history = fit_network(train, held, net, params["learning_rate"], epochs, patience, shards)
     low, high = (float(v) for v in bounds[channels[0]])
     model = NetworkForecaster(net, flat, low, high, history)
     span = (high - low) or 1.0

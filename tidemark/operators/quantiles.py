@@ -73,12 +73,29 @@ def _large_groups(
     """Quantiles of groups that no task may hold; groups without any value are left out."""
     match = [*keys, "column"]
     rows = unpivot_numeric(df, columns, keys)
-    # A sketch (rank error at most n / SKETCH) brackets each quantile; small groups are kept whole.
-    wide = [min(1.0, max(0.0, p + side * 3.0 / SKETCH)) for p in probs for side in (-1, 1)]
+    # A sketch (rank error about n / SKETCH) brackets each quantile; small groups are kept
+    # whole. A bracket that misses is made wider, in the end as wide as the data.
+    reach = 3.0 / SKETCH
+    while True:
+        picked = cut_lineage(_ranked(rows, match, probs, reach, prof))
+        if reach >= 1.0 or picked.filter(F.col("__lo").isNull() | F.col("__hi").isNull()).isEmpty():
+            break
+        reach *= 16
+    answer = F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__part")
+    parts = picked.select(*match, F.struct("i", answer.alias("q")).alias("__q"))
+    arrays = parts.groupBy(*match).agg(F.transform(F.sort_array(F.collect_list("__q")), lambda c: c["q"]).alias("__q"))
+    return arrays.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("column") == c, F.col("__q"))).alias(c) for c in columns]
+    )
+
+
+def _ranked(rows: DataFrame, match: Sequence[str], probs: Sequence[float], reach: float, prof: Profile | None) -> DataFrame:
+    """The values around every wanted rank, null where they lie outside the bracket."""
+    wide = [min(1.0, max(0.0, p + side * reach)) for p in probs for side in (-1, 1)]
     size = F.count("value")
     brackets = rows.groupBy(*match).agg(
         size.alias("__n"),
-        F.when(size > SKETCH, F.percentile_approx("value", wide, SKETCH)).alias("__ends"),
+        F.when((size > SKETCH) & F.lit(reach < 1.0), F.percentile_approx("value", wide, SKETCH)).alias("__ends"),
     )
     bounded = attach(rows.filter(F.col("value").isNotNull()), brackets, ["__ends"], match)
     value = F.col("value")
@@ -101,16 +118,8 @@ def _large_groups(
     prob = F.element_at(F.lit([float(p) for p in probs]), F.col("i") + 1)
     rank = prob * (F.col("__n") - 1)
     holds = lambda at: (at >= F.col("__from")) & (at < F.col("__from") + F.col("__c"))
-    picked = sized.groupBy(*match, "i").agg(
+    return sized.groupBy(*match, "i").agg(
         F.max(F.when(holds(F.floor(rank)), F.col("v"))).alias("__lo"),
         F.max(F.when(holds(F.ceil(rank)), F.col("v"))).alias("__hi"),
         F.max(rank - F.floor(rank)).alias("__part"),
     )
-    answer = F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__part")
-    lost = F.raise_error(F.lit("a quantile fell outside its bracket"))
-    checked = F.when(F.col("__lo").isNull() | F.col("__hi").isNull(), lost.cast("double")).otherwise(answer)
-    parts = picked.select(*match, F.struct("i", checked.alias("q")).alias("__q"))
-    arrays = parts.groupBy(*match).agg(F.transform(F.sort_array(F.collect_list("__q")), lambda c: c["q"]).alias("__q"))
-    return arrays.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("column") == c, F.col("__q"))).alias(c) for c in columns]
-    )

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +11,7 @@ from pyspark.sql import types as T
 from ..functions.columns import drop_columns, move_to_front, numeric_columns
 from ..functions.time import STEP, bin_label, check_frequency, epoch_seconds, to_epoch_seconds
 from ..schema import FREQUENCIES
+from ..session import cut_lineage
 from .ordered import Profile, place, profile_with, with_group_stats
 from .quantiles import grouped_quantiles
 
@@ -96,14 +96,14 @@ def build_frequencies(
 ) -> dict[str, DataFrame]:
     """The hourly table and its daily, weekly and monthly medians, all from the frame given.
 
-    ``keep`` holds the hourly table (spilling to disk), because every output reads it;
+    ``keep`` stores the hourly table in the shared folder, because every output reads it;
     a table that is stored already needs no such copy.
     """
     if df is None or df.isEmpty():
         raise ValueError("no hourly rows")
     hourly = hourly_passthrough(df, time_col)
     if keep:
-        hourly = hourly.persist(StorageLevel.MEMORY_AND_DISK)
+        hourly = cut_lineage(hourly)
     out = {"H": hourly}
     for freq in FREQUENCIES[1:]:
         medians = resample_median(hourly, time_col, freq, keys=keys, fill_empty=fill_empty)

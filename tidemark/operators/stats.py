@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import numeric_columns
-from .clean import outlier_share, with_iqr_bounds
+from .clean import outlier_share
 from .ordered import attach, with_group_stats
 from .quantiles import grouped_quantiles
 
@@ -119,11 +119,11 @@ def bin_index(value: Column, lo: Column, hi: Column, bins: int) -> Column:
 
 
 def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 15, keys: Sequence[str] = ()) -> DataFrame:
-    """Counts in equal-width bins for each numeric column, empty bins included."""
+    """Counts in equal-width bins for each numeric column, empty bins included; NaN counts as missing."""
     columns = _numeric(df, columns, keys)
     stats, cells, ranges = {}, [], []
     for i, c in enumerate(columns):
-        value = F.col(f"`{c}`").cast("double")
+        value = F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double"))
         stats[f"__lo{i}"], stats[f"__hi{i}"] = F.min(value), F.max(value)
         at = bin_index(value, F.col(f"__lo{i}"), F.col(f"__hi{i}"), bins)
         cells.append(F.struct(F.lit(c).alias("column"), at.alias("bin")))
@@ -201,20 +201,19 @@ def kde(
 
 def box_stats(df: DataFrame, column: str, keys: Sequence[str] = (), **kw) -> DataFrame:
     """Quartiles, whiskers (extreme values within 1.5 IQR) and the number of fliers."""
-    bounded = with_iqr_bounds(df, column, keys, **kw)
     value = F.col(f"`{column}`")
-    inside = (value >= F.col("lower")) & (value <= F.col("upper"))
-    middle = grouped_quantiles(df, [column], [0.5], keys, **kw).select(*keys, value[0].alias("median"))
+    cuts = grouped_quantiles(df, [column], [0.25, 0.5, 0.75], keys, **kw)
+    quarters = cuts.select(*keys, *[value[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))])
+    bounded = attach(df, quarters, ["q1", "median", "q3"], keys)
+    spread = 1.5 * (F.col("q3") - F.col("q1"))
+    inside = (value >= F.col("q1") - spread) & (value <= F.col("q3") + spread)
     ends = bounded.groupBy(*keys).agg(
-        F.first("q1").alias("q1"),
-        F.first("q3").alias("q3"),
+        *[F.first(n).alias(n) for n in ("q1", "median", "q3")],
         F.min(F.when(inside, value)).alias("whisker_low"),
         F.max(F.when(inside, value)).alias("whisker_high"),
         F.count(F.when(~inside, 1)).alias("n_fliers"),
     )
-    return attach(ends, middle, ["median"], keys).select(
-        *keys, "q1", "median", "q3", "whisker_low", "whisker_high", "n_fliers"
-    )
+    return ends.select(*keys, "q1", "median", "q3", "whisker_low", "whisker_high", "n_fliers")
 
 
 def pair_bins(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 15, keys: Sequence[str] = ()) -> DataFrame:

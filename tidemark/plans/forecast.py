@@ -152,7 +152,7 @@ def voting(spark, sf_dir):
 
 @query("feature_importance")
 def importance(spark, sf_dir):
-    return rounded(feature_importance(_table(spark, sf_dir), "start_ts", trees=10, max_depth=8))
+    return rounded(feature_importance(_table(spark, sf_dir), "start_ts"))
 
 
 for _kind in ("dnn", "cnn", "lstm"):
@@ -160,7 +160,7 @@ for _kind in ("dnn", "cnn", "lstm"):
     @query(f"{_kind}_window_forecast")
     def network(spark, sf_dir, kind=_kind):
         made = window_forecast(
-            _table(spark, sf_dir), kind, "D", "start_ts", epochs=3, units=[16, 16], activations=["tanh", "tanh"], learning_rate=0.002
+            _table(spark, sf_dir), kind, "D", "start_ts", units=[16, 16], activations=["tanh", "tanh"], learning_rate=0.002
         )
         return rounded(made.scores, 2)
 
@@ -227,7 +227,7 @@ def grid_ar1(spark, sf_dir):
 
 @query("order_grid_search")
 def grid(spark, sf_dir):
-    return rounded(order_grid_search(_table(spark, sf_dir), "start_ts", 3, 1, 2))
+    return rounded(order_grid_search(_table(spark, sf_dir), "start_ts"))
 
 
 @query("nn_search")

@@ -176,19 +176,19 @@ def convert_parquet_to_csv(spark, sf_dir):
 @query(
     "write_flavours",
     f"""WITH {tb.sql_hourly()}
-SELECT 'datetime' AS flavour, 6 AS n_columns, epoch, pm25_value FROM hourly
-UNION ALL SELECT 'timestamp', 6 - 1, epoch, pm25_value FROM hourly""",
+SELECT 'datetime' AS flavour, 7 AS n_columns, epoch, {', '.join(CHANNELS)} FROM hourly
+UNION ALL SELECT 'timestamp', 7 - 1, epoch, {', '.join(CHANNELS)} FROM hourly""",
 )
 def write_flavours(spark, sf_dir):
     # ``epoch`` is kept in both flavours, ``start_ts`` only in the datetime one.
-    table = tb.hourly(spark, sf_dir).select("start_ts", tb.epoch(), "pm25_value", "no2_value", "o3_value", "so2_value")
+    table = tb.hourly(spark, sf_dir).select("start_ts", tb.epoch(), *CHANNELS)
     paths = writers.write_flavours(table, new_path(spark, "flavours"), "H", "start_ts", "parquet")
     parts = []
     for flavour, path in paths.items():
         back = readers.read_table(spark, path)
         parts.append(
             back.select(
-                F.lit(flavour).alias("flavour"), F.lit(len(back.columns)).alias("n_columns"), "epoch", "pm25_value"
+                F.lit(flavour).alias("flavour"), F.lit(len(back.columns)).alias("n_columns"), "epoch", *CHANNELS
             )
         )
     return reduce(DataFrame.unionByName, parts)
@@ -197,20 +197,16 @@ def write_flavours(spark, sf_dir):
 # ------------------------------------------------------------ columns and time
 
 
-def _one_pollutant(spark, sf_dir, name="no2"):
-    return tb.raw_readings(spark, sf_dir).filter(F.col("Pollutant") == tb.POLLUTANT_CODE[name])
-
-
 @query(
     "prefix_columns",
     f"""WITH {tb.sql_readings()}
-SELECT epoch, code AS "NO2-Pollutant", value AS "NO2-Value", 'ug.m-3' AS "NO2-Unit",
- CASE WHEN value = -999 THEN -1 ELSE 1 END AS "NO2-Validity", 1 + code % 3 AS "NO2-Verification"
-FROM readings WHERE pollutant = 'no2'""",
+SELECT epoch, code AS "AIR-Pollutant", value AS "AIR-Value", 'ug.m-3' AS "AIR-Unit",
+ CASE WHEN value = -999 THEN -1 ELSE 1 END AS "AIR-Validity", 1 + code % 3 AS "AIR-Verification"
+FROM readings""",
 )
 def prefix_columns(spark, sf_dir):
-    named = fc.prefix_columns(_one_pollutant(spark, sf_dir), "NO2")
-    return named.select(tb.epoch("Start"), *[f"`{c}`" for c in named.columns if c.startswith("NO2-")])
+    named = fc.prefix_columns(tb.raw_readings(spark, sf_dir), "AIR")
+    return named.select(tb.epoch("Start"), *[f"`{c}`" for c in named.columns if c.startswith("AIR-")])
 
 
 @query(
@@ -419,20 +415,26 @@ def merge_on_interval(spark, sf_dir):
     return merged.select(tb.epoch("Start"), tb.epoch("End", "end_epoch"), *CHANNELS)
 
 
+# A right join loses earlier tables' rows that the next table lacks.
+_MERGED = [f"{name}_value" for name in POLLUTANTS]
+_CHAINED = ", ".join(
+    f"CASE WHEN {' AND '.join(f'{later} IS NOT NULL' for later in _MERGED[i + 1 :]) or 'TRUE'} THEN {c} END AS {c}" for i, c in enumerate(_MERGED)
+)
+
 for _how in ("inner", "left", "right"):
     _cond = {
-        "inner": "pm25_value IS NOT NULL AND pm10_value IS NOT NULL",
-        "left": "pm25_value IS NOT NULL",
-        "right": "pm10_value IS NOT NULL",
+        "inner": " AND ".join(f"{c} IS NOT NULL" for c in CHANNELS),
+        "left": f"{_MERGED[0]} IS NOT NULL",
+        "right": f"{_MERGED[-1]} IS NOT NULL",
     }[_how]
 
     @query(
         f"merge_on_interval_{_how}",
-        f"WITH {tb.sql_hourly()} SELECT epoch, pm25_value, pm10_value FROM hourly WHERE {_cond}",
+        f"WITH {tb.sql_hourly()} SELECT epoch, {_CHAINED if _how == 'right' else ', '.join(CHANNELS)} FROM hourly WHERE {_cond}",
     )
     def merge_on_interval_how(spark, sf_dir, how=_how):
-        merged = fc.to_internal(merge.merge_on_interval(_prefixed_tables(spark, sf_dir)[:2], how=how))
-        return merged.select(tb.epoch("Start"), "pm25_value", "pm10_value")
+        merged = fc.to_internal(merge.merge_on_interval(_prefixed_tables(spark, sf_dir), how=how))
+        return merged.select(tb.epoch("Start"), *CHANNELS)
 
 
 @query("merge_by_pivot", MERGED_SQL)

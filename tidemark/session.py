@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -30,15 +33,17 @@ def get_session(app_name: str = "tidemark", master: str | None = None, **conf: s
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a folder of this machine.
+    Only a session in one process may fall back to a folder of this machine, which goes
+    when the process ends.
     """
     folder = spark.conf.get(CHECKPOINT_CONF, None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError(f"set {CHECKPOINT_CONF} to a folder shared by the cluster")
         folder = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -7,7 +7,8 @@ import random
 from collections.abc import Sequence
 from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+import numpy as np
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from .operators.ordered import profile
 from .operators.scale import WINDOW, window_dataset
 from .operators.split import chronological_split, fold_bounds
 from .schema import CHANNELS, FEATURES, TARGET
-from .session import shared_dir
+from .session import cut_lineage
 
 
 def random_search(
@@ -41,10 +42,9 @@ def random_search(
     of the best candidate, refitted on all train rows. Candidates are independent
     Spark jobs submitted from a small thread pool.
     """
-    shared_dir(df.sparkSession)
     narrow = df.select(time_col, target, *features)
     prof = profile(narrow, time_col)
-    split = chronological_split(narrow, time_col, prof=prof).persist(StorageLevel.MEMORY_AND_DISK)
+    split = cut_lineage(chronological_split(narrow, time_col, prof=prof))
     train = split.filter(F.col("split") == "train")
     folds = fold_bounds(int(prof.rows * 0.6), n_splits)
     candidates = list(candidates or sample_params(algorithm, n_iter, seed))
@@ -58,7 +58,8 @@ def random_search(
                 miss = F.col("prediction") - F.col(target)
                 errors.append(tested.agg(F.avg(miss * miss)).first()[0])
             return at, str(candidates[at]), float(sum(errors) / len(errors)), None
-        except Exception as problem:  # a failing candidate is reported, the search goes on
+        except (ValueError, ArithmeticError, np.linalg.LinAlgError, IllegalArgumentException) as problem:
+            # Parameters that do not fit are reported and the search goes on; anything else ends it.
             return at, str(candidates[at]), None, str(problem).splitlines()[0]
 
     with ThreadPool(min(parallelism, len(candidates))) as pool:
@@ -88,7 +89,7 @@ def nn_search(
 ) -> DataFrame:
     """Validation RMSE of sampled networks: ``trial, params, rmse``, best first."""
     windows, bounds = window_dataset(df, time_col, freq, channels, window=window)
-    rows = _flat_windows(windows).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = cut_lineage(_flat_windows(windows))
     train, held = rows.filter(F.col("split") == "train"), rows.filter(F.col("split") == "validation")
     length = window or WINDOW[freq]
     rng, found = random.Random(seed), []
@@ -97,6 +98,5 @@ def nn_search(
         net = Net(kind, length, len(bounds), tuple(p["units"]), tuple(p["activations"]), p["dropout"])
         _, history = fit_network(train, held, net, p["learning_rate"], epochs, seed=seed)
         found.append((i, str(p), math.sqrt(min(history))))
-    rows.unpersist()
     table = df.sparkSession.createDataFrame(found, "trial int, params string, rmse double")
     return table.orderBy("rmse", "trial")
