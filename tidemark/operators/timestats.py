@@ -11,10 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import ordered
 from .ordered import Profile, longest_series, over_blocks, profile, with_group_stats, with_position
 from .resample import as_frequency
 from .sequence import seasonal_decompose
 
+# Rows that one correlation of the unit root test covers.
+ADF_BLOCK = 1 << 14
+
 # Two-sided 95 % and 99 % points of the normal distribution.
 Z95 = 1.959963984540054
 Z99 = 2.5758293035489004
@@ -206,10 +210,12 @@ def adf_test(
 ) -> DataFrame:
     """Augmented Dickey-Fuller test with constant and lag choice by AIC, one row per series.
 
-    The regression matrix is made of lagged products of the differences, so one
-    aggregate with a sum per lag, plus the first and last values of each series, is
-    all that leaves the data; the small solve runs per series. ``max_lag`` limits the
-    lags tried; the length of a series limits them too. Nulls are dropped.
+    The regression matrix is made of lagged products of the differences. Blocks of
+    positions, with copies of the rows behind them, yield these products by one
+    correlation each, Spark adds them up with the first and last values of each series,
+    and the small solve runs per series; the plan is the same for any number of lags.
+    ``max_lag`` limits the lags tried; the length of a series limits them too. Nulls are
+    dropped.
     """
     df = df.filter(F.col(f"`{column}`").isNotNull())
     prof = prof or profile(df, time_col, keys)
@@ -219,30 +225,43 @@ def adf_test(
     base = with_group_stats(df.select(*keys, time_col, value.alias("__v")), {"__mean": F.avg("__v")}, keys)
     base = base.select(*keys, time_col, (F.col("__v") - F.col("__mean")).alias("__x"))
     placed = with_position(base, time_col, keys, "__t", total="__n", prof=prof)
-    x = F.col("__x")
-
-    def columns(w):
-        around = {"__l0": x - F.lag(x).over(w)}
-        around.update({f"__l{h}": F.lead(x, h).over(w) - (F.lead(x, h - 1).over(w) if h > 1 else x) for h in range(1, limit + 1)})
-        return around
-
-    steps = over_blocks(
-        placed, time_col, columns, reach_back=1, reach_ahead=limit, keys=keys, prof=prof, position="__t"
-    )
-    first = F.col("__l0")
-    edge = F.struct(F.col("__t").alias("t"), x.alias("x"))
-    sums = steps.groupBy(*keys).agg(
-        F.first("__n").alias("n"),
-        F.sum(x).alias("sx"),
-        F.sum(x * x).alias("sxx"),
-        F.sum(first * x).alias("sdx"),
-        F.array(*[F.coalesce(F.sum(first * F.col(f"__l{h}")), F.lit(0.0)) for h in range(limit + 1)]).alias("sd"),
-        # At most limit + 2 values from either end.
-        F.sort_array(F.collect_list(F.when(F.col("__t") <= limit + 1, edge))).alias("head"),
-        F.sort_array(F.collect_list(F.when(F.col("__t") >= F.col("__n") - limit - 2, edge))).alias("tail"),
-    )
-    values = lambda c: F.transform(c, lambda e: e["x"]).alias(c)
-    ready = sums.filter(F.col("n").isNotNull()).select(*keys, "n", "sx", "sxx", "sdx", "sd", values("head"), values("tail"))
+    size = max(min(ADF_BLOCK, ordered.BLOCK_ROWS), limit + 1)
+    block, within = F.expr(f"__t div {size}"), F.col("__t") % size
+    copies = F.array(block, F.when(within == size - 1, block + 1), F.when((within < limit) & (block > 0), block - 1))
+    spread = placed.select(*keys, "__t", "__n", "__x", F.explode(F.filter(copies, lambda c: c.isNotNull())).alias("__b"))
+    cell = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("i", T.LongType()), T.StructField("v", T.DoubleType())])
+    cells_schema = T.StructType([*(df.schema[k] for k in keys), *cell])
+
+    def products(pdf):
+        pdf = pdf.sort_values("__t")
+        first, t, x = pdf["__b"].iloc[0] * size, pdf["__t"].to_numpy(), pdf["__x"].to_numpy()
+        n, steps = pdf["__n"].iloc[0], np.diff(x)
+        own = (t >= first) & (t < first + size)
+        # steps[i] leads to t[i + 1]; those that lead to rows of the block count here.
+        mine, ahead = steps[own[1:]], steps[int(np.argmax(own[1:])) :] if own[1:].any() else steps[:0]
+        lagged = np.zeros(limit + 1)
+        if len(mine):
+            padded = np.concatenate([ahead, np.zeros(max(0, len(mine) + limit - len(ahead)))])[: len(mine) + limit]
+            lagged = np.correlate(padded, mine, "valid")
+        kept = x[own]
+        sums = [kept.sum(), kept @ kept, mine @ x[1:][own[1:]] if len(mine) else 0.0, *lagged]
+        parts = [(0, i, v) for i, v in enumerate(sums)]
+        parts += [(1, at, v) for at, v in zip(t[own], kept) if at <= limit + 1]
+        parts += [(2, at, v) for at, v in zip(t[own], kept) if at >= n - limit - 2]
+        if first == 0:
+            parts.append((3, 0, float(n)))
+        out = pd.DataFrame(parts, columns=["kind", "i", "v"])
+        for k in reversed(keys):
+            out.insert(0, k, [pdf[k].iloc[0]] * len(out))
+        return out
+
+    parts = spread.groupBy(*keys, "__b").applyInPandas(products, cells_schema)
+    # Every head, tail and length is told once, so that all can be summed.
+    sums = parts.groupBy(*keys, "kind", "i").agg(F.sum("v").alias("v"))
+    ready = sums.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("kind", "i", "v"))).alias("cells"))
+    ready = ready.filter(F.size("cells") > 0)
+    values = lambda kind: F.transform(F.filter("cells", lambda c: c["kind"] == kind), lambda c: c["v"])
+    ready = ready.select(*keys, *[values(i).alias(n) for i, n in enumerate(("sums", "head", "tail", "n"))])
     if keys:
         # Many short rows: spread the solves, whose cost the byte size does not show.
         ready = ready.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
@@ -257,11 +276,12 @@ def adf_test(
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
-                stat, lag, n = math.nan, 0, int(r.n) - 1
-                if r.n >= 4:
-                    found = {"x": r.sx, "xx": r.sxx, "dx": r.sdx, "d": r.sd}
-                    tried = min(limit, adf_max_lag(int(r.n)))
-                    stat, lag, n = adf_solve(found, np.asarray(r.head), np.asarray(r.tail), int(r.n), tried)
+                size = int(r.n[0])
+                stat, lag, n = math.nan, 0, size - 1
+                if size >= 4:
+                    found = {"x": r.sums[0], "xx": r.sums[1], "dx": r.sums[2], "d": r.sums[3:]}
+                    tried = min(limit, adf_max_lag(size))
+                    stat, lag, n = adf_solve(found, np.asarray(r.head), np.asarray(r.tail), size, tried)
                 p = adf_p_value(stat) if math.isfinite(stat) else None
                 crit = [sum(c / n**i for i, c in enumerate(b)) if n else None for b in ADF_CRITICAL.values()]
                 verdict = None if p is None else ("Stationary" if p < 0.05 else "Non-Stationary")
