@@ -23,7 +23,7 @@ MAGIC = b"TIDEHUF1"
 MAX_BITS = 18
 BLOCK_IDS = 256
 FILE_IDS = 4_000_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 
 
 def code_lengths(counts, limit: int = MAX_BITS):
@@ -153,24 +153,53 @@ def unpack(data: bytes, tables: dict | None = None):
     return keys, sizes_of, out.T.reshape(-1)[:n]
 
 
-class _Words(dict):
-    """Ids, as bytes, of the text between two blanks; up to a bound."""
+class _Words:
+    """Ids, as bytes, of the text between two blanks; words are kept up to a bound."""
 
     def __init__(self, path: str, kind: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer, self.kind = Tokenizer.from_file(path), kind
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.known = {"": b""}
+        self.stops = {"": b"", **{s: self._encoded([s])[0] for s in ",."}}
 
-    def __missing__(self, piece: str) -> bytes:
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        """Ids of many words by one call: a blank between two of them ends both."""
         import numpy as np
 
-        value = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.kind).tobytes() if piece else b""
-        if len(piece) <= 64 and len(self) < CACHE_WORDS:
-            self[piece] = value
-        return value
+        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        ids = np.array(found.ids, self.kind).tobytes()
+        starts = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
+        ends = np.cumsum([0, *(len(w) + 1 for w in words)])
+        cuts = (np.searchsorted(starts, ends) * np.dtype(self.kind).itemsize).tolist()
+        return [ids[i:j] for i, j in zip(cuts, cuts[1:])]
+
+    def text(self, text: str) -> bytes:
+        return self._encoded([text])[0] if text else b""
+
+    def look_up(self, pieces) -> dict[str, bytes]:
+        """Ids of every piece. A stop or comma after a word is a word of its own, and case is dropped."""
+        parts = {}
+        for piece in pieces:
+            word, stop = (piece[:-1], piece[-1]) if piece[-1:] in (",", ".") and piece[:-1].isalpha() else (piece, "")
+            parts[piece] = (word.lower() if word.isascii() and word.isalpha() else word), stop
+        fresh, size, waiting = {}, 0, []
+        unknown = {word for word, _ in parts.values() if word not in self.known}
+        for i, word in enumerate(unknown, 1):
+            waiting.append(word)
+            size += len(word)
+            if size > 1 << 16 or i == len(unknown):
+                fresh.update(zip(waiting, self._encoded(waiting)))
+                size, waiting = 0, []
+        for word, ids in fresh.items():
+            if len(self.known) >= CACHE_WORDS:
+                break
+            if len(word) <= 64:
+                self.known[word] = ids
+        known, stops = self.known, self.stops
+        return {piece: (fresh[word] if word in fresh else known[word]) + stops[stop] for piece, (word, stop) in parts.items()}
 
 
 _loaded: dict[str, _Words] = {}
@@ -215,11 +244,13 @@ def _encode(docs: DataFrame, path: str, end_id: int, kind: str) -> DataFrame:
         words = _loaded[path]
         end = np.array([end_id], kind).tobytes()
         for batch in batches:
-            out = []
-            for text in batch.column(1):
-                text = text.as_py() or ""
-                pieces = text.replace("\n", " ").split(" ") if apart else [text]
-                out.append(b"".join(map(words.__getitem__, pieces)) + end)
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            if apart:
+                split = [t.replace("\n", " ").split(" ") for t in texts]
+                found = words.look_up(set().union(*split))
+                out = [b"".join(map(found.__getitem__, pieces)) + end for pieces in split]
+            else:
+                out = [words.text(t) + end for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["key", "ids"])
 
     return docs.mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, ids binary")
