@@ -403,6 +403,30 @@ def adf_test_no_lags(spark, sf_dir):
     return rounded(made.select("n_obs", "used_lag", "statistic"))
 
 
+# Squared residuals with and without the lagged difference on the common sample, by AIC;
+# the statistic of the chosen regression on its own sample.
+_SQL_ADF_ONE = """d AS (SELECT epoch, value - lag(value) OVER w AS dy, lag(value) OVER w AS y FROM series WINDOW w AS (ORDER BY epoch)),
+r AS (SELECT *, lag(dy) OVER (ORDER BY epoch) AS dl FROM d),
+c AS (SELECT *, y - regr_slope(y, dl) OVER () * dl - regr_intercept(y, dl) OVER () AS ey,
+ dy - regr_slope(dy, dl) OVER () * dl - regr_intercept(dy, dl) OVER () AS ed FROM r WHERE dl IS NOT NULL),
+m AS (SELECT count(*) AS n, sum(ey * ed) / sum(ey * ey) AS b, sum(ey * ey) AS sxx, sum(ed * ed) AS syy,
+ regr_syy(dy, y) - pow(regr_slope(dy, y), 2) * regr_sxx(dy, y) AS sse0 FROM c),
+o AS (SELECT count(*) AS n, regr_slope(dy, y) AS b, regr_sxx(dy, y) AS sxx, regr_syy(dy, y) AS syy FROM d WHERE y IS NOT NULL),
+s AS (SELECT m.n * ln((m.syy - m.b * m.b * m.sxx) / m.n) + 6 < m.n * ln(m.sse0 / m.n) + 4 AS one, m.n AS n1, o.n AS n0,
+ m.b / sqrt((m.syy - m.b * m.b * m.sxx) / (m.n - 3) / m.sxx) AS t1, o.b / sqrt((o.syy - o.b * o.b * o.sxx) / (o.n - 2) / o.sxx) AS t0 FROM m, o)"""
+
+
+@query(
+    "adf_test_one_lag",
+    f"""WITH {tb.sql_daily()}, {_SQL_ADF_ONE}
+SELECT CAST(CASE WHEN one THEN n1 ELSE n0 END AS BIGINT) AS n_obs, CAST(CASE WHEN one THEN 1 ELSE 0 END AS BIGINT) AS used_lag,
+ round(CASE WHEN one THEN t1 ELSE t0 END, 6) AS statistic FROM s""",
+)
+def adf_test_one_lag(spark, sf_dir):
+    made = timestats.adf_test(tb.target_series(spark, sf_dir), "value", "start_ts", max_lag=1)
+    return rounded(made.select("n_obs", "used_lag", "statistic"))
+
+
 @query("adf_test_per_key")
 def adf_test_per_key(spark, sf_dir):
     return rounded(timestats.adf_test(_hourly_values(spark, sf_dir), "value", "start_ts", ["user_id"]))
