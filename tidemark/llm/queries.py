@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, chat, decontam, grid, html, lines, simhash, token_files, toxicity, warc
 from .shared import table
@@ -86,9 +87,43 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
 
 
-@query("op8_lines")
+# Pairs at edit distance 1 share the left or the right half of the shorter line.
+OP8_SQL = """
+WITH RECURSIVE l AS (
+  SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS line
+  FROM documents WHERE text IS NOT NULL
+), k AS (SELECT DISTINCT line, length(line) AS n FROM l WHERE length(line) >= 20),
+h AS (
+  SELECT line, n, c, 'left' AS side, left(line, c // 2) AS half FROM (SELECT line, n, unnest([n, n - 1]) AS c FROM k)
+  UNION ALL SELECT line, n, c, 'right', right(line, c - c // 2) FROM (SELECT line, n, unnest([n, n - 1]) AS c FROM k)
+), p AS (
+  SELECT DISTINCT a.line AS a, b.line AS b FROM h a JOIN h b ON a.c = b.c AND a.side = b.side AND a.half = b.half AND a.n = a.c AND a.line <> b.line
+), e AS (
+  SELECT a, b FROM p WHERE CASE WHEN length(a) = length(b) THEN len([i FOR i IN range(1, length(a) + 1) IF a[i] <> b[i]]) <= 1
+    ELSE len([i FOR i IN range(0, length(b)) IF left(b, i) || substr(b, i + 2) = a]) > 0 END
+), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT a, b FROM s UNION SELECT r.a, s.b FROM r JOIN s ON r.b = s.a),
+c AS (SELECT a AS line, least(a, min(b)) AS class FROM r GROUP BY a),
+o AS (SELECT doc_id, pos, l.line, length(l.line) >= 20 AS long, coalesce(class, l.line) AS class FROM l LEFT JOIN c ON l.line = c.line),
+f AS (
+  SELECT *, long AND row_number() OVER w > 1 AS gone, first_value(doc_id) OVER w AS first_doc FROM o WINDOW w AS (PARTITION BY long, class ORDER BY doc_id, pos)
+), g AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone) AS kept, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+    min(first_doc) FILTER (WHERE gone) AS class_id, count(DISTINCT first_doc) FILTER (WHERE gone) AS n_sources
+  FROM f GROUP BY doc_id
+)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept, '') END AS text, coalesce(n_lines, 0) AS n_lines,
+  coalesce(n_dropped, 0) AS n_dropped, coalesce(class_id, d.doc_id) AS class_id, coalesce(n_sources, 0) AS n_sources
+FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id
+"""
+
+
+@query("op8_lines", OP8_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(table(spark, sf_dir, "documents"))
+    """class_id is the smallest id that holds the first of a dropped line, else the document's own."""
+    found = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    class_id = F.coalesce(F.array_min("repeats_of"), "doc_id").alias("class_id")
+    return found.select("doc_id", "text", "n_lines", "n_dropped", class_id, F.size("repeats_of").cast("bigint").alias("n_sources"))
 
 
 OP9_SQL = r"""
