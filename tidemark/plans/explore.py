@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..models.naive import naive_forecast, naive_predictions
 from ..operators import metrics, scale, sequence, split, stats, timestats
+from ..operators.resample import resample_median
 from ..schema import CHANNELS, FEATURES, TARGET
 from . import tables as tb
 from .register import query, rounded
@@ -188,6 +189,14 @@ def summary_report_test(spark, sf_dir):
     return rounded(report.filter(F.col("metric") == "adf_p_value"))
 
 
+@query("frequency_report")
+def frequency_report(spark, sf_dir):
+    """The report of the daily table and its weekly and monthly medians."""
+    daily = tb.daily(spark, sf_dir)
+    tables = {"D": daily, **{f: resample_median(daily, "start_ts", f, CHANNELS).drop("start_ts_Timestamp") for f in ("W", "M")}}
+    return rounded(stats.frequency_report(tables, TARGET, "start_ts"))
+
+
 # ------------------------------------------------------------ ordered views
 
 

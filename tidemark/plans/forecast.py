@@ -1,7 +1,8 @@
 """Registered queries: forecasters, tuning, saved models.
 
-Tree counts, layer widths and search sizes are set below the registry values, so
-that a check runs in seconds; all rows of the tables take part.
+Tree counts, layer widths and the candidates of searches are set below the registry
+values, whose hundreds of sequential rounds take Spark minutes a model; all rows of the
+tables take part.
 """
 
 from __future__ import annotations
@@ -14,11 +15,13 @@ from ..models.base import load_model, save_model
 from ..models.network import window_forecast
 from ..models.tabular import feature_importance, train_and_evaluate
 from ..models.vote import voting_forecast
+from ..operators.metrics import compare_models
 from ..operators.split import chronological_split
+from ..operators.stats import residual_report
 from ..schema import FEATURES, TARGET
 from ..session import new_path
 from . import tables as tb
-from .explore import SQL_FILLED_SPLIT, SQL_MASE, SQL_SCORES
+from .explore import SQL_FILLED_SPLIT, SQL_MASE, SQL_SCORES, _sql_describe
 from .register import query, rounded
 
 # Small settings by algorithm.
@@ -109,6 +112,33 @@ def linear_forecast_one_feature(spark, sf_dir):
     return rounded(made.scores)
 
 
+@query(
+    "compare_fitted_models",
+    f"""WITH {SQL_OLS},
+fit AS (SELECT regr_slope(pm25_value, pm10_value) AS b, regr_intercept(pm25_value, pm10_value) AS a FROM sp WHERE split = 'train'),
+pr AS (SELECT epoch, split, pm25_value AS actual, a + b * pm10_value AS predicted FROM sp, fit),
+u AS (SELECT 'linear' AS model, epoch, split, actual, predicted FROM ols UNION ALL SELECT 'linear_raw', epoch, split, actual, predicted FROM pr),
+held AS (SELECT *, lag(actual) OVER (PARTITION BY model, split ORDER BY epoch) AS prev FROM u WHERE split <> 'train'),
+sc AS (SELECT model, 'D' AS freq, split, {SQL_SCORES}, {SQL_MASE} FROM held GROUP BY model, split)
+SELECT *, row_number() OVER (PARTITION BY freq, split ORDER BY "MAE", model) AS rank FROM sc""",
+)
+def compare_fitted_models(spark, sf_dir):
+    """Two fitted models ranked within the frequency."""
+    table = _table(spark, sf_dir)
+    full = train_and_evaluate(table, "linear", "D", "start_ts").scores
+    narrow = train_and_evaluate(table, "linear_raw", "D", "start_ts", features=["pm10_value"]).scores
+    return rounded(compare_models(full.unionByName(narrow)))
+
+
+@query(
+    "residual_report_arx",
+    f"WITH {SQL_AR1}, e AS (SELECT actual - predicted AS residual FROM ar1) " + _sql_describe("e", ["residual"]),
+)
+def residual_report_arx(spark, sf_dir):
+    made = arx_forecast(_table(spark, sf_dir), "D", "start_ts", order=(1, 0, 0))
+    return rounded(residual_report(made.predictions))
+
+
 @query("arx_forecast")
 def arx(spark, sf_dir):
     return rounded(arx_forecast(_table(spark, sf_dir), "D", "start_ts").scores)
