@@ -67,7 +67,7 @@ def test_code_lengths_are_optimal_and_limited():
     import heapq
 
     counts = np.random.default_rng(0).integers(0, 5000, 700) ** 2
-    lengths = token_files.code_lengths(counts)
+    lengths = token_files.code_lengths(counts, 40)
     heap = [int(c) for c in counts if c]
     heapq.heapify(heap)
     best = 0

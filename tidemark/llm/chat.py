@@ -73,12 +73,12 @@ def tokenizer(path: str):
     return _loaded[path]
 
 
-def format_conversations(rows: DataFrame, path: str, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def format_conversations(rows: DataFrame, path: str, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", segment_chars: int = SEGMENT_CHARS) -> DataFrame:
     """Segments of conversations: conv, first_turn, part, formatted, ids, starts, ends, mask.
 
     Turns are ordered by turn, equal ones by role and text; null roles and texts count as
     empty. A segment holds whole turns of one conversation, all of them unless it
-    has over SEGMENT_CHARS characters or lies on the border of two tasks; markers separate
+    has over ``segment_chars`` characters or lies on the border of two tasks; markers separate
     turns, so its tokens are those of the whole. Rows are dealt by (conv, turn) ranges:
     a conversation with a third of all turns is spread over tasks. Repeated rows are
     turns of their own, a null conversation is one too. Other columns do not take part.
@@ -113,10 +113,10 @@ def format_conversations(rows: DataFrame, path: str, conv: str = "conv_id", turn
         for batch in batches:
             kind = batch.schema.field(0).type
             for c, t, r, x in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if turns and (c != now or size > SEGMENT_CHARS):
+                if turns and (c != now or size > segment_chars):
                     done.append((now, first, part, turns))
                     part, turns, waiting, size = part + 1, [], waiting + size, 0
-                    if len(done) >= 256 or waiting > SEGMENT_CHARS:
+                    if len(done) >= 256 or waiting > segment_chars:
                         yield encoded()
                         done, waiting = [], 0
                 if not turns:

@@ -95,8 +95,8 @@ class _Codes(dict):
     def code(self, token: str) -> int:
         word = token if token.isalpha() else _EDGE.sub("", token)
         weight, hidden = self.weight(word), 0
-        if not word.isalpha() and _INNER.search(token):
-            plain = re.sub(r"[\W\d_]", "", token.translate(LEET))
+        if not word.isalpha() and _INNER.search(word):
+            plain = re.sub(r"[\W\d_]", "", word.translate(LEET))
             hidden, weight = 128, max(weight, self.weight(plain))
             if not weight:
                 return 2
