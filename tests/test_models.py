@@ -264,7 +264,7 @@ def test_network_gradient(kind, act):
 def test_network_learns_a_wave(spark, frame):
     df = frame(series(400, fn=lambda i: math.sin(2 * math.pi * i / 24)), f"start_ts timestamp, {TARGET} double")
     made = window_forecast(
-        df, "dnn", "H", "start_ts", channels=[TARGET], epochs=8, workers=2, units=[32], activations=["tanh"],
+        df, "dnn", "H", "start_ts", channels=[TARGET], epochs=8, shards=2, units=[32], activations=["tanh"],
         dropout=False, learning_rate=0.01,
     )
     history = made.model.history
@@ -286,7 +286,7 @@ def test_early_stop_and_best_weights(spark, frame):
     rows = windows.withColumn("x", F.flatten("x")).cache()
     train, held = rows.filter("split = 'train'"), rows.filter("split = 'validation'")
     net = Net("dnn", WINDOW["H"], len(bounds), (16,), ("tanh",))
-    flat, history = fit_network(train, held, net, 0.05, epochs=6, patience=1, workers=2)
+    flat, history = fit_network(train, held, net, 0.05, epochs=6, patience=1, shards=2)
     assert np.isclose(mean_squared_error(held, net, flat), min(history))
 
 
