@@ -68,15 +68,17 @@ def components(edges: DataFrame) -> DataFrame:
     ``edges`` has columns a and b of one sortable type. Returns node and component, the
     smallest node reachable, for every node that has an edge to another node. Each round
     is two joins on a node with the minimum of its neighbours; no list of neighbours is
-    ever built, and AQE splits the partition of a node with very many.
+    ever built. The minima are stored, so that each join has shuffles of its own and AQE
+    splits the partition of a node with very many neighbours.
     """
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        low = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "minima")
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = stored(large, "edges")
+        low = stored(large.groupBy("a").agg(F.min("b").alias("m")), "minima")
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b")
         now = stored(small.distinct(), "edges")
         last, mark = mark, now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -82,10 +82,12 @@ def repeats(pages: DataFrame) -> DataFrame:
     """(key, digest, first) of every page whose payload an earlier page has.
 
     Only ids and digests are shuffled. A payload that a third of all pages share meets in
-    its minimum by partial aggregates, and AQE splits its partition of the join.
+    its minimum by partial aggregates; the minima are stored, so that the join has
+    shuffles of its own and AQE splits its partition.
     """
     ids = pages.select("key", F.sha1("body").alias("digest")).where("key is not null")
     firsts = ids.groupBy("digest").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last")
+    firsts = stored(firsts.drop("last"), "warc-firsts")
     return ids.join(firsts, "digest").where("key > first").select("key", "digest", "first")
 
 
