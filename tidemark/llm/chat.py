@@ -18,7 +18,9 @@ from .shared import small_batches, stored
 
 START, SEPARATOR, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 TURN = re.compile(r"<\|im_start\|>(.*?)<\|im_sep\|>(.*?)<\|im_end\|>", re.S)
-SEGMENT_CHARS = 1 << 20
+SEGMENT_CHARS = 1 << 18
+# Segments whose tokens and offsets a worker holds at once.
+ENCODED_AT_ONCE = 32
 LEARNED_ROLE = "assistant"
 _loaded: dict = {}
 
@@ -116,7 +118,7 @@ def format_conversations(rows: DataFrame, path: str, conv: str = "conv_id", turn
                 if turns and (c != now or size > segment_chars):
                     done.append((now, first, part, turns))
                     part, turns, waiting, size = part + 1, [], waiting + size, 0
-                    if len(done) >= 256 or waiting > segment_chars:
+                    if len(done) >= ENCODED_AT_ONCE or waiting > segment_chars:
                         yield encoded()
                         done, waiting = [], 0
                 if not turns:
