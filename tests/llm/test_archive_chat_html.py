@@ -125,3 +125,28 @@ def test_extract_rows(spark):
 def test_threshold_splits_two_clusters():
     assert 3 < html.threshold([1, 2, 1, 40, 44, 39]) < 39
     assert html.threshold([5.0]) == 5.0
+
+
+TEXT = "A sentence of the story that has words enough to be taken for content of the page. " * 4
+MENU = "".join(f"<li><a href=/{i}>Item {i}</a></li>" for i in range(8))
+MENU = f"<div><ul>{MENU}</ul></div>"
+
+
+def test_ratios_decide_beside_and_inside_an_article():
+    text = TEXT.strip()
+    teaser = html.main_text(f"<body>{MENU}<article><p>Read next</p></article><div><p>{TEXT}</p><p>{TEXT}</p></div><div><p>{TEXT}</p></div>{MENU}</body>")
+    assert teaser.count(text) == 3 and "Item" not in teaser
+    outside = html.main_text(f"<body>{MENU}<div>Big sale now</div>{MENU}<article><h1>Head</h1><p>{TEXT}</p><p>ok</p></article>{MENU}</body>")
+    assert outside == f"Head\n{text}\nok"
+    inside = html.main_text(f"<body><article><p>{TEXT}</p><p>{TEXT}</p><div>{MENU}<div>Big sale</div>{MENU}</div></article></body>")
+    assert inside.count(text) == 2 and "Big sale" not in inside
+    answered = html.main_text(f"<body><article class='post comments'><p>{TEXT}</p><article class=comment><p>{TEXT.replace('story', 'reader')}</p></article></article></body>")
+    assert answered == text
+    assert html.main_text(f"<body><main><article class='post has-sidebar'><p>{TEXT}</p></article></main></body>") == text
+    listed = html.main_text(f"<body>{MENU}<article><p>{TEXT}</p><ul><li><a href=/a>{TEXT[:60]}</a><li><a href=/b>{TEXT[:50]}</a></ul><p>{TEXT}</p></article></body>")
+    assert listed.split("\n") == [text, TEXT[:60].strip(), TEXT[:50].strip(), text]
+
+
+def test_one_long_line_leaves_the_others():
+    got = html.main_text(f"<body>{MENU}<div><p>{TEXT * 300}</p></div>{MENU}<div><p>{TEXT}</p></div><div><p>{TEXT}</p></div>{MENU}</body>")
+    assert got.split("\n") == [(TEXT * 300).strip(), TEXT.strip(), TEXT.strip()]

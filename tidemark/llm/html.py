@@ -4,8 +4,9 @@ The standard library's streaming parser reports tags and text. Block elements cu
 into lines; a line's ratio is its characters over its tags. Ratios are smoothed by a
 Gaussian over neighbouring lines, a threshold clusters them into content and the rest,
 and regions (the lines of one sectioning element) with content lines are selected.
-Elements that say what they are decide before the ratios do: navigation, forms and
-the like are never content, and a page's article is read whole and alone.
+Elements that say what they are take part in two ways: navigation, forms and the like
+are never content, and lines of an article or main element need a smaller ratio. The
+ratios decide between all other regions, inside an article and outside.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from .shared import small_batches
 SIGMA = 1.0
 REACH = 3
 LINKED = 0.6
+# Content lines of an article or main element need a ratio so many times smaller.
+WEIGHT = 2.0
 # Kinds of HTML elements.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6"
@@ -81,7 +84,9 @@ class PageEvents(HTMLParser):
             self.lines[-1].tags += 1
             return
         if not unread:
-            unread = tag in UNREAD or tag == "header" and not article or self._says_unread(tag, attrs, article)
+            # The names of a whole page or article tell what it has beside the text; an article in an article is a part.
+            whole = tag in ("html", "body", "main") or tag == "article" and all(e[0] != "article" for e in self.open)
+            unread = tag in UNREAD or tag == "header" and not article or self._says_unread(attrs, whole)
         if tag in REGIONS:
             self.regions += 1
             region = self.regions
@@ -91,12 +96,12 @@ class PageEvents(HTMLParser):
         self.lines[-1].tags += 1
 
     @staticmethod
-    def _says_unread(tag, attrs, article) -> bool:
+    def _says_unread(attrs, whole) -> bool:
         for name, value in attrs:
             value = value or ""
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value.lower() in UNREAD_ROLES:
                 return True
-            if name in ("class", "id") and tag not in ("html", "body", "article", "main") and UNREAD_NAME.search(value):
+            if name in ("class", "id") and not whole and UNREAD_NAME.search(value):
                 return True
             if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 return True
@@ -178,19 +183,19 @@ def main_text(html: str | None) -> str:
     readable = [x for x in lines if not x[0].unread]
     if not readable:
         return ""
-    article = any(x[0].article for x in readable)
-    levels = smoothed([len(text) / (1 + line.tags) for line, text in lines])
-    border = threshold(levels)
-    # Shares of linked text and content lines by region.
+    # Logarithms, so that one very long line does not make all others look short.
+    levels = smoothed([math.log1p(len(text) / (1 + line.tags)) for line, text in lines])
+    border = threshold([level for (line, _), level in zip(lines, levels) if not line.unread])
+    # Characters, linked ones, content lines and place in an article by region.
     regions: dict[int, list] = {}
     for (line, text), level in zip(lines, levels):
-        if not line.unread and line.article == article:
-            sums = regions.setdefault(line.region, [0, 0, False])
+        if not line.unread:
+            sums = regions.setdefault(line.region, [0, 0, False, line.article])
             sums[0] += len(text)
             sums[1] += line.linked
-            sums[2] |= article or level >= border / 2
-    chosen = {r for r, (size, linked, content) in regions.items() if content and linked <= LINKED * size}
-    return "\n".join(text for line, text in lines if not line.unread and line.article == article and line.region in chosen)
+            sums[2] |= level + (math.log(WEIGHT) if line.article else 0) >= border
+    chosen = {r for r, (size, linked, content, article) in regions.items() if content and (article or linked <= LINKED * size)}
+    return "\n".join(text for line, text in readable if line.region in chosen)
 
 
 def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
