@@ -304,3 +304,23 @@ def test_fit_sees_train_rows_only(signal):
     fit = make_model("linear", "D")
     fit_and_evaluate(signal, lambda train: seen.append(train.count()) or fit(train), "start_ts", "m", "D")
     assert seen == [180]
+
+
+def test_queries_keep_the_registry_settings(spark, monkeypatch):
+    import __spark_entry__ as entry
+    from tidemark.plans import forecast
+
+    class Asked(Exception):
+        pass
+
+    def ask(*args, **kw):
+        raise Asked(kw)
+
+    monkeypatch.setattr(forecast, "_table", lambda spark, sf_dir: None)
+    for place, name in ((forecast, "train_and_evaluate"), (forecast, "voting_forecast"), (forecast, "window_forecast"), (tuning, "random_search"), (tuning, "nn_search")):
+        monkeypatch.setattr(place, name, ask)
+    names = {*forecast.QUERY_NAMES.values(), "svr_forecast_rbf", "voting_forecast", "random_search", "random_search_svr", "nn_search"}
+    for name in names | {f"{kind}_window_forecast" for kind in ("dnn", "cnn", "lstm")}:
+        with pytest.raises(Asked) as asked:
+            entry.queries()[name](spark, "")
+        assert asked.value.args == ({},), name

@@ -1,8 +1,8 @@
 """Registered queries: forecasters, tuning, saved models.
 
-Tree counts, layer widths and the candidates of searches are set below the registry
-values, whose hundreds of sequential rounds take Spark minutes a model; all rows of the
-tables take part.
+Models take the registry's parameters, searches their full number of candidates, folds
+and epochs. Hundreds of sequential rounds take Spark minutes a model; README.md has the
+seconds.
 """
 
 from __future__ import annotations
@@ -24,17 +24,6 @@ from . import tables as tb
 from .explore import SQL_FILLED_SPLIT, SQL_MASE, SQL_SCORES, _sql_describe
 from .register import query, rounded
 
-# Small settings by algorithm.
-SMALL = {
-    "gradient_boosting": {"n_estimators": 5, "max_depth": 4},
-    "histogram_gradient_boosting": {"max_iter": 5, "max_depth": 4},
-    "xgboost": {"n_estimators": 5, "max_depth": 4},
-    "adaboost": {"n_estimators": 4, "max_depth": 4},
-    "catboost": {"iterations": 5, "depth": 4},
-    "random_forest": {"n_estimators": 10, "max_depth": 6},
-    "random_forest_raw": {"n_estimators": 10, "max_depth": 6},
-    "svr": {"max_iter": 6, "components": 50},
-}
 QUERY_NAMES = {
     "linear": "linear_forecast",
     "svr": "svr_forecast",
@@ -89,13 +78,13 @@ for _algorithm, _name in QUERY_NAMES.items():
     # All four components are kept here, so the linear model is plain least squares.
     @query(_name, f"WITH {SQL_OLS}, {_sql_held_scores('ols', 'linear')}" if _algorithm == "linear" else None)
     def tabular(spark, sf_dir, algorithm=_algorithm):
-        made = train_and_evaluate(_table(spark, sf_dir), algorithm, "D", "start_ts", **SMALL.get(algorithm, {}))
+        made = train_and_evaluate(_table(spark, sf_dir), algorithm, "D", "start_ts")
         return rounded(made.scores)
 
 
 @query("svr_forecast_rbf")
 def svr_forecast_rbf(spark, sf_dir):
-    made = train_and_evaluate(_table(spark, sf_dir), "svr", "H", "start_ts", **SMALL["svr"])
+    made = train_and_evaluate(_table(spark, sf_dir), "svr", "H", "start_ts")
     return rounded(made.scores, 4)
 
 
@@ -177,7 +166,7 @@ def forecast_interval_registry(spark, sf_dir):
 
 @query("voting_forecast")
 def voting(spark, sf_dir):
-    return rounded(voting_forecast(_table(spark, sf_dir), "D", "start_ts", overrides=SMALL).scores, 4)
+    return rounded(voting_forecast(_table(spark, sf_dir), "D", "start_ts").scores, 4)
 
 
 @query("feature_importance")
@@ -189,9 +178,7 @@ for _kind in ("dnn", "cnn", "lstm"):
 
     @query(f"{_kind}_window_forecast")
     def network(spark, sf_dir, kind=_kind):
-        made = window_forecast(
-            _table(spark, sf_dir), kind, "D", "start_ts", units=[16, 16], activations=["tanh", "tanh"], learning_rate=0.002
-        )
+        made = window_forecast(_table(spark, sf_dir), kind, "D", "start_ts")
         return rounded(made.scores, 2)
 
 
@@ -211,21 +198,13 @@ def save_and_load(spark, sf_dir):
 
 @query("random_search")
 def random_search(spark, sf_dir):
-    candidates = [{"n_estimators": 3, "max_depth": 3, "pca": 0.95}, {"n_estimators": 5, "max_depth": 2, "pca": 0.99}]
-    table, _ = tuning.random_search(
-        _table(spark, sf_dir), "gradient_boosting", "D", "start_ts", n_splits=3, candidates=candidates
-    )
+    table, _ = tuning.random_search(_table(spark, sf_dir), "gradient_boosting", "D", "start_ts")
     return rounded(table, 4)
 
 
 @query("random_search_svr")
 def random_search_svr(spark, sf_dir):
-    base = {"max_iter": 3, "gamma": 0.1, "components": 30}
-    candidates = [
-        {"C": 1.0, "epsilon": 0.1, "kernel": "linear", "pca": 0.9, **base},
-        {"C": 0.1, "epsilon": 0.1, "kernel": "poly", "pca": 0.9, **base},
-    ]
-    table, _ = tuning.random_search(_table(spark, sf_dir), "svr", "D", "start_ts", n_splits=2, candidates=candidates)
+    table, _ = tuning.random_search(_table(spark, sf_dir), "svr", "D", "start_ts")
     return rounded(table, 3)
 
 
@@ -262,8 +241,4 @@ def grid(spark, sf_dir):
 
 @query("nn_search")
 def nn(spark, sf_dir):
-    candidates = [
-        {"units": [8], "activations": ["tanh"], "dropout": False, "learning_rate": 0.003},
-        {"units": [16, 8], "activations": ["relu", "tanh"], "dropout": True, "learning_rate": 0.001},
-    ]
-    return rounded(tuning.nn_search(_table(spark, sf_dir), "dnn", "D", "start_ts", epochs=2, candidates=candidates), 3)
+    return rounded(tuning.nn_search(_table(spark, sf_dir), "dnn", "D", "start_ts"), 3)
