@@ -10,6 +10,8 @@ from tidemark.llm.queries import tokenizer_path
 from tidemark.llm.shared import small_enough, stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+# Share of its characters that may differ in a line beside the one edit that any line may have.
+LINE_SHARE = 0.01
 
 
 def _without(docs: DataFrame, ids: DataFrame, label: str) -> DataFrame:
@@ -25,8 +27,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that repeat an earlier one; n_chars is counted anew."""
-    return lines.without_repeats(docs.select(*COLUMNS)).withColumn("n_chars", F.char_length("text").cast("bigint")).select(*COLUMNS)
+    """All documents, without lines that nearly repeat an earlier one; n_chars is counted anew."""
+    return lines.without_repeats(docs.select(*COLUMNS), share=LINE_SHARE).withColumn("n_chars", F.char_length("text").cast("bigint")).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

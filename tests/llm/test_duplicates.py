@@ -237,3 +237,37 @@ def test_a_key_of_many_lines_yields_no_pairs(spark):
     assert lines.edit_links(lines.split_lines(docs, "doc_id", "text"), wanted).count() < 1000
     got = lines.dedup_lines(docs).collect()
     assert [r["doc_id"] for r in got if not r["n_dropped"]] == [0]
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("key_pairs", [4096, 4])
+def test_threshold_grows_with_the_line(spark, monkeypatch, key_pairs):
+    monkeypatch.setattr(lines, "KEY_PAIRS", key_pairs)
+    r, texts = random.Random(9), set()
+    base = ["".join(r.choice("abcdefgh éß🙂") for _ in range(n)) for n in (20, 33, 49, 50, 75, 101, 120)]
+    for line in base:
+        for _ in range(16):
+            made = list(line)
+            for _ in range(r.randint(0, 5)):
+                p, kind = r.randrange(len(made)), r.random()
+                made[p : p + (kind > 0.4)] = [] if kind > 0.7 else r.choice("abcxyz")
+            texts.add("".join(made))
+    texts = sorted(t for t in texts if len(t) >= lines.MIN_CHARS)
+    want, got = Groups(), Groups()
+    for i, a in enumerate(texts):
+        for b in texts[:i]:
+            if abs(len(a) - len(b)) < 9 and distance(a, b) <= 1 + min(len(a), len(b)) // 25:
+                want.join(a, b)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for x in lines.repeated_lines(docs, share=0.04).collect():
+        got.join(texts[x["doc"]], texts[x["first_doc"]])
+    assert {x: got.top(x) for x in texts} == {x: want.top(x) for x in texts}
+    assert lines.repeated_lines(docs.limit(0), share=0.04).count() == 0
