@@ -24,12 +24,12 @@ from .shared import small_batches, stored
 LEAST = 100
 LONGEST = 5
 TOP = 2000
-# One row in SAMPLE proposes phrases.
-SAMPLE = 16
+# One row in SAMPLE proposes phrases, at five eighths of the occurrences expected there.
+SAMPLE = 8
 FILTER_BITS = 28
-RUN_BYTES = 4 << 20
+RUN_BYTES = 2 << 20
 HELD = 2_000_000
-VOCABULARY = 1_000_000
+VOCABULARY = 400_000
 MULTIPLIER = 0x9E3779B97F4A7C15
 # A-Z in lower case, piece ends as line feeds.
 _BYTES = bytes(c + 32 if 65 <= c <= 90 else 10 if chr(c) in ".,;:!?\x0b\x0c\r" else c for c in range(256))
@@ -117,7 +117,7 @@ class Run:
                     words += found
                     lengths.append(len(found))
                     langs.append(lang)
-        self.words, self.langs = words, langs
+        self.vocabulary, self.langs = vocabulary, langs
         self.ids = np.fromiter(map(vocabulary.__getitem__, words), np.int64, len(words))
         self.piece = np.repeat(np.arange(len(lengths)), lengths)
         known = {lang: xxhash.xxh64_intdigest(lang.encode(), 11) for lang in set(langs)}
@@ -145,23 +145,27 @@ def _counted(run: Run, proposed: Filter | None):
 
 
 def _extended(run: Run, proposed: Filter, frequent: Filter, failed: Filter):
-    """By length: the places of uncounted phrases of frequent words that contain a failure."""
+    """By length: the places of uncounted phrases that contain a failure.
+
+    Their words are frequent and so is every part of theirs that the full pass counted.
+    """
     import numpy as np
 
     counted = _counted(run, proposed)
-    words = frequent.has(run.hashes[0])
-    holds, out = failed.has(run.hashes[0]), [np.zeros(len(words), bool)]
-    fine = words
+    fine = frequent.has(run.hashes[0])
+    holds, out = failed.has(run.hashes[0]), [np.zeros(len(fine), bool)]
     for k in range(1, len(run.hashes)):
         n = len(run.whole[k])
-        fine = fine[:n] & words[k:]
+        fine = run.whole[k] & _both(fine, n)
         holds = holds[:n] | holds[1 : n + 1]
-        out.append(run.whole[k] & fine & holds & ~counted[k])
+        out.append(fine & holds & ~counted[k])
+        fine = fine & (~counted[k] | frequent.has(run.hashes[k]))
         holds = holds | failed.has(run.hashes[k])
     return out
 
 
 def _runs(batches: Iterator, longest: int) -> Iterator[Run]:
+    """The rows as runs; the vocabulary is shared until it has grown too large."""
     vocabulary, parts, size = _Vocabulary(), [], 0
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -222,7 +226,62 @@ def _sampled(rows: DataFrame, least: int, longest: int) -> DataFrame:
     return every
 
 
-def _spelled(rows: DataFrame, longest: int, frequent) -> DataFrame:
+class _Spelling:
+    """Counts of this task's phrases as arrays: hash, words by number, size, lang and count."""
+
+    def __init__(self, longest: int):
+        self.longest, self.parts, self.size, self.langs, self.odd = longest, [], 0, {}, []
+
+    def add(self, run: Run, at, k: int):
+        """The phrases of k + 1 words at the places ``at``."""
+        import numpy as np
+
+        hashes, first, which, times = np.unique(run.hashes[k][at], return_index=True, return_inverse=True, return_counts=True)
+        words = np.full((len(at), self.longest), -1, np.int32)
+        for j in range(k + 1):
+            words[:, j] = run.ids[at + j]
+        code = np.fromiter((self.langs.setdefault(lang, len(self.langs)) for lang in run.langs), np.int32, len(run.langs))[run.piece[at]]
+        if len(first) < len(at):
+            same = (words == words[first][which]).all(axis=1) & (code == code[first][which])
+            if not same.all():
+                self.odd += [(tuple(words[i]), int(code[i]), 1) for i in np.flatnonzero(~same)]
+                times = np.bincount(which[same], minlength=len(first))
+        self.parts.append((hashes, words[first], code[first], times))
+        self.size += len(hashes)
+
+    def merge(self):
+        """Add up what the parts have in common; phrases of one hash that differ are set apart."""
+        import numpy as np
+
+        hashes, words, code, times = (np.concatenate(x) for x in zip(*self.parts))
+        hashes, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        same = (words == words[first][which]).all(axis=1) & (code == code[first][which])
+        self.odd += [(tuple(words[i]), int(code[i]), int(times[i])) for i in np.flatnonzero(~same)]
+        times = np.bincount(which[same], times[same], len(first)).astype(np.int64)
+        self.parts, self.size = [(hashes, words[first], code[first], times)], len(first)
+
+    def batches(self, vocabulary: _Vocabulary) -> Iterator:
+        import pyarrow as pa
+
+        if self.parts:
+            self.merge()
+            _, words, code, times = self.parts[0]
+            self.odd += zip(words.tolist(), code.tolist(), times.tolist())
+        spelled, langs = list(vocabulary), list(self.langs)
+        for i in range(0, len(self.odd), 10_000):
+            some = self.odd[i : i + 10_000]
+            phrases = [[spelled[w] for w in words if w >= 0] for words, _, _ in some]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([langs[c] for _, c, _ in some], pa.string()), pa.array(list(map(len, phrases)), pa.int32()),
+                    pa.array([b" ".join(p) for p in phrases], pa.binary()), pa.array([n for _, _, n in some], pa.int64()),
+                ],
+                ["lang", "size", "phrase", "c"],
+            )
+        self.parts, self.size, self.odd = [], 0, []
+
+
+def _spelled(rows: DataFrame, longest: int, frequent: Filter) -> DataFrame:
     """(lang, size, phrase, f) of all phrases in the filter; size 0 counts the words of a lang."""
 
     def spell(batches: Iterator) -> Iterator:
@@ -231,28 +290,28 @@ def _spelled(rows: DataFrame, longest: int, frequent) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        held, words, vocabulary = _Spelling(longest), collections.Counter(), None
         for run in _runs(batches, longest):
-            rows = [(lang, 0, b"", n) for lang, n in collections.Counter(run.langs[i] for i in run.piece.tolist()).items()]
-            held = None
+            if vocabulary is not None and (run.vocabulary is not vocabulary or held.size > HELD):
+                yield from held.batches(vocabulary)
+            vocabulary = run.vocabulary
+            for lang, n in zip(run.langs, np.bincount(run.piece, minlength=len(run.langs)).tolist()):
+                words[lang] += n
+            known = None
             for k, hashes in enumerate(run.hashes):
-                places = run.whole[k] if held is None else run.whole[k] & _both(held, len(run.whole[k]))
-                held = places & frequent.has(hashes)
-                at = np.flatnonzero(held)
+                places = run.whole[k] if known is None else run.whole[k] & _both(known, len(run.whole[k]))
+                known = places & frequent.has(hashes)
+                at = np.flatnonzero(known)
                 if not len(at):
                     break
-                _, first, which, times = np.unique(hashes[at], return_index=True, return_inverse=True, return_counts=True)
-                model = at[first][which]
-                # Words by their numbers: two phrases of one hash are told apart.
-                same = np.logical_and.reduce([run.ids[at + j] == run.ids[model + j] for j in range(k + 1)]) & (run.piece[at] >= 0)
-                times = np.bincount(which[same], minlength=len(first)) if not same.all() else times
-                for i, n in zip(at[first].tolist(), times.tolist()):
-                    rows.append((run.langs[run.piece[i]], k + 1, b" ".join(run.words[i : i + k + 1]), n))
-                for i in at[~same].tolist():
-                    rows.append((run.langs[run.piece[i]], k + 1, b" ".join(run.words[i : i + k + 1]), 1))
-            for i in range(0, len(rows), 10_000):
-                columns = list(zip(*rows[i : i + 10_000]))
-                kinds = [pa.string(), pa.int32(), pa.binary(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], ["lang", "size", "phrase", "c"])
+                held.add(run, at, k)
+            if held.size > HELD // 4:
+                held.merge()
+        if vocabulary is not None:
+            yield from held.batches(vocabulary)
+        if words:
+            n = len(words)
+            yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array([0] * n, pa.int32()), pa.array([b""] * n, pa.binary()), pa.array(list(words.values()), pa.int64())], ["lang", "size", "phrase", "c"])
 
     made = rows.mapInArrow(spell, "lang string, size int, phrase binary, c bigint")
     return made.groupBy("lang", "size", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("c").alias("f"))
@@ -265,7 +324,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     Null texts have no words, a null lang is ``und``; repeated rows count as often as they occur.
 
     Why one further pass closes the search: a frequent phrase that the full pass left out has a
-    frequent part that was counted and not proposed, a failure, and all its words are
+    frequent part that was counted and not proposed, a failure, and all its parts are
     frequent; the further pass counts all phrases of that kind.
     """
     spark = docs.sparkSession
@@ -274,7 +333,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     rows = docs.select(lang, docs["text"].cast("binary").alias("text"), F.pmod(F.xxhash64(docs["doc_id"], docs["text"]), F.lit(sample)).alias("part"))
     some = stored(rows.where("part = 0").select("lang", "text"), "sample")
     rows = rows.select("lang", "text")
-    proposed = make_filter(_sampled(some, max(2, least // (2 * sample)), longest))
+    proposed = make_filter(_sampled(some, max(2, 5 * least // (8 * sample)), longest))
     counts = stored(_count(rows, longest, lambda run: _counted(run, proposed)).where(F.col("f") >= least), "counts")
     known = _mark(counts, proposed)
     failures = known.where("not proposed").select("h")

@@ -194,20 +194,20 @@ WITH d AS (
   FROM documents
 ), w AS (SELECT lang, [x FOR x IN regexp_split_to_array(piece, '[\x20\x09]+') IF x <> ''] AS w FROM d),
 s AS (SELECT lang, w, unnest(range(1, least(5, len(w)) + 1)) AS size FROM w),
-o AS (SELECT lang, size, w, unnest(range(1, len(w) - size + 2)) AS at FROM s),
-f AS (SELECT lang, size, array_to_string(w[at:at + size - 1], ' ') AS phrase, count(*) AS f FROM o GROUP BY ALL),
+o AS (SELECT lang, size, w, unnest(range(1, len(w) - size + 2)) AS i FROM s),
+f AS (SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase, count(*) AS f FROM o GROUP BY ALL),
 t AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
 g AS (SELECT * FROM f WHERE f >= 100),
 c AS (SELECT lang, size, phrase, string_split(phrase, ' ') AS w, f AS a FROM g WHERE size > 1),
-i AS (SELECT lang, w, a, m, unnest(range(1, size - m + 2)) AS at FROM (SELECT *, unnest(range(2, size)) AS m FROM c)),
-b AS (SELECT lang, array_to_string(w[at:at + m - 1], ' ') AS phrase, max(a) AS longer FROM i GROUP BY ALL),
+u AS (SELECT lang, w, a, m, unnest(range(1, size - m + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS m FROM c)),
+b AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer FROM u GROUP BY ALL),
 p AS (SELECT c.* FROM c LEFT JOIN b ON c.lang = b.lang AND c.phrase = b.phrase WHERE longer IS NULL OR longer < a),
 k AS (SELECT *, unnest(range(1, size)) AS k FROM p),
 x AS (
   SELECT k.lang, k.phrase, k.a, k, l.f AS l, r.f AS r, n,
     CAST((CAST(1000 AS HUGEINT) * k.a * n) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
   FROM k JOIN g l ON k.lang = l.lang AND array_to_string(w[1:k], ' ') = l.phrase
-  JOIN g r ON k.lang = r.lang AND array_to_string(w[k + 1:size], ' ') = r.phrase JOIN t ON k.lang = t.lang
+  JOIN g r ON k.lang = r.lang AND array_to_string(w[k + 1:k.size], ' ') = r.phrase JOIN t ON k.lang = t.lang
 ), y AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS cut FROM x),
 z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM y WHERE cut = 1)
 SELECT lang, rank, phrase, a, l, r, n, score FROM z WHERE rank <= 2000
