@@ -13,6 +13,7 @@ from tidemark.models.base import fit_and_evaluate, load_model, save_model
 from tidemark.models.naive import naive_forecast
 from tidemark.models.network import Net, fit_network, mean_squared_error, window_forecast
 from tidemark.models.svr import fit_svr
+from tidemark.models.packed import mapped
 from tidemark.models.tabular import feature_importance, make_model, train_and_evaluate
 from tidemark.models.vote import fit_vote
 from tidemark.operators.scale import WINDOW, window_dataset
@@ -154,16 +155,14 @@ def test_rbf_learns_a_curve(spark):
 
 def test_adaboost_median_and_weights(signal):
     model = fit_adaboost(signal, FEATURES, TARGET, n_estimators=12, learning_rate=0.5, max_depth=2)
-    assert len(model.trees) == len(model.weights) and all(w > 0 for w in model.weights)
-    made = model.prepare.transform(signal)
-    columns = []
-    for tree in model.trees:
-        columns.append([r.prediction for r in tree.transform(made).orderBy("start_ts").collect()])
+    assert len(model.ensemble.root) == len(model.weights) and (model.weights > 0).all()
+    rows = signal.orderBy("start_ts").toPandas()
+    leaves = model.ensemble.leaves(mapped(rows[list(FEATURES)].to_numpy(float), model.matrix, model.offset))
     got = [r.prediction for r in model.transform(signal).orderBy("start_ts").collect()]
-    for i, votes in enumerate(zip(*columns)):
+    for votes, prediction in zip(leaves, got):
         order = np.argsort(votes, kind="stable")
-        run = np.cumsum(np.asarray(model.weights)[order])
-        assert np.isclose(got[i], np.asarray(votes)[order][np.argmax(run >= 0.5 * run[-1])])
+        run = np.cumsum(model.weights[order])
+        assert np.isclose(prediction, votes[order][np.argmax(run >= 0.5 * run[-1])])
 
 
 def test_naive_forecast(spark, signal):

@@ -1,55 +1,18 @@
-"""AdaBoost.R2 (Drucker 1997) over Spark decision trees."""
+"""AdaBoost.R2 (Drucker 1997): all rounds in one stage, the weighted median as one function."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..operators.scale import feature_stages
-from ..session import cut_lineage
-from .base import Forecaster
+from .growing import TreeParams
+from .packed import EnsembleForecaster
+from .shards import fit_ensemble
 
-CUT_EVERY = 10
 
-
-class AdaBoostForecaster(Forecaster):
-    """Weighted median of the trees."""
-
-    kind = "adaboost"
-
-    def __init__(self, prepare: PipelineModel, trees: list, weights: list[float]):
-        self.prepare, self.trees, self.weights = prepare, trees, weights
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        made = self.prepare.transform(df)
-        votes = []
-        for i, (tree, weight) in enumerate(zip(self.trees, self.weights)):
-            made = tree.transform(made).withColumnRenamed("prediction", f"__p{i}")
-            votes.append(F.struct(F.col(f"__p{i}").alias("p"), F.lit(weight).alias("w")))
-        half = F.lit(0.5 * sum(self.weights))
-        start = F.struct(F.lit(0.0).alias("run"), F.lit(None).cast("double").alias("pick"))
-        step = lambda acc, v: F.struct(
-            (acc["run"] + v["w"]).alias("run"),
-            F.when(acc["pick"].isNull() & (acc["run"] + v["w"] >= half), v["p"]).otherwise(acc["pick"]).alias("pick"),
-        )
-        median = F.aggregate(F.sort_array(F.array(*votes)), start, step, lambda acc: acc["pick"])
-        return made.select(*df.columns, median.alias("prediction"))
-
-    def meta(self) -> dict:
-        return {"weights": self.weights}
-
-    def parts(self) -> list:
-        return [self.prepare, *self.trees]
-
-    @classmethod
-    def restore(cls, meta, parts):
-        return cls(parts[0], [p.stages[0] for p in parts[1:]], meta["weights"])
+def adaboost_params(n_estimators: int, learning_rate: float, max_depth: int, seed: int = 42) -> TreeParams:
+    return TreeParams(kind="adaboost", trees=n_estimators, rate=learning_rate, depth=max_depth, seed=seed)
 
 
 def fit_adaboost(
@@ -60,43 +23,6 @@ def fit_adaboost(
     learning_rate: float,
     max_depth: int,
     seed: int = 42,
-) -> AdaBoostForecaster:
-    """Reweight the rows by their linear loss after every tree; lineage is cut every few rounds."""
-    prepare = Pipeline(stages=feature_stages(features, True, None)).fit(train)
-    rows = prepare.transform(train).select("features", F.col(target).cast("double").alias("label"))
-    rows = rows.withColumn("w", F.lit(1.0)).persist(StorageLevel.MEMORY_AND_DISK)
-    trees, weights = [], []
-    for i in range(n_estimators):
-        learner = DecisionTreeRegressor(featuresCol="features", labelCol="label", weightCol="w", maxDepth=max_depth, seed=seed + i)
-        tree = learner.fit(rows)
-        missed = tree.transform(rows).withColumn("__e", F.abs(F.col("prediction") - F.col("label")))
-        # Rows whose weight has vanished no longer count for the largest error.
-        total = missed.agg(
-            F.max(F.when(F.col("w") > 0, F.col("__e"))).alias("top"),
-            F.sum(F.col("w") * F.col("__e")).alias("we"),
-            F.sum("w").alias("w"),
-            F.count(F.lit(1)).alias("n"),
-        ).first()
-        if not total["top"]:
-            trees, weights = [*trees, tree], [*weights, 1.0]
-            break
-        loss = total["we"] / (total["top"] * total["w"])
-        if loss >= 0.5:
-            if not trees:
-                trees, weights = [tree], [1.0]
-            break
-        beta = loss / (1.0 - loss)
-        trees.append(tree)
-        weights.append(learning_rate * math.log(1.0 / beta))
-        shrink = F.pow(F.lit(beta), learning_rate * (1.0 - F.col("__e") / total["top"]))
-        # Divided by the mean weight, so that many rounds do not underflow.
-        update = (F.col("w") * shrink * F.lit(total["n"] / total["w"])).alias("w")
-        following = missed.select("features", "label", update)
-        if (i + 1) % CUT_EVERY == 0:
-            following = cut_lineage(following)
-        following = following.persist(StorageLevel.MEMORY_AND_DISK)
-        following.count()
-        rows.unpersist()
-        rows = following
-    rows.unpersist()
-    return AdaBoostForecaster(prepare, trees, weights)
+) -> EnsembleForecaster:
+    """Reweight the rows by their linear loss after every tree; features are scaled."""
+    return fit_ensemble(train, features, target, adaboost_params(n_estimators, learning_rate, max_depth, seed), scale=True)

@@ -5,72 +5,74 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.ml import Pipeline
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.scale import feature_stages
 from ..operators.split import chronological_split
 from ..schema import FEATURES, TARGET
-from .adaboost import fit_adaboost
+from .adaboost import adaboost_params
 from .base import Evaluation, Forecaster, PipelineForecaster, fit_and_evaluate
+from .growing import TreeParams
 from .registry import best_params
+from .shards import fit_ensembles
 from .svr import fit_svr
 
 SEED = 42
 
 
-def _gbt(target, **kw):
-    return GBTRegressor(featuresCol="features", labelCol=target, seed=SEED, checkpointInterval=10, **kw)
-
-
-def _gradient_boosting(p, target):
-    return _gbt(
-        target, maxIter=p["n_estimators"], stepSize=p["learning_rate"], maxDepth=p["max_depth"],
-        minInstancesPerNode=p["min_samples_leaf"],
+# Tree ensembles: the meaning of each algorithm's parameters.
+def _gradient_boosting(p):
+    return TreeParams(
+        trees=p["n_estimators"], rate=p["learning_rate"], depth=p["max_depth"], min_leaf=p["min_samples_leaf"], min_split=p["min_samples_split"],
+        seed=SEED,
     )
 
 
-def _histogram(p, target):
-    return _gbt(
-        target, maxIter=p["max_iter"], stepSize=p["learning_rate"], maxDepth=p["max_depth"],
-        minInstancesPerNode=p["min_samples_leaf"], maxBins=255,
-    )
+def _histogram(p):
+    # At most 31 leaves, the best one split first.
+    return TreeParams(grow="leaf", trees=p["max_iter"], rate=p["learning_rate"], depth=p["max_depth"], min_leaf=p["min_samples_leaf"], min_hessian=1e-3, seed=SEED)
 
 
-def _xgboost(p, target):
-    # Columns are sampled per node here, per tree in the original.
-    return _gbt(
-        target, maxIter=p["n_estimators"], stepSize=p["learning_rate"], maxDepth=p["max_depth"],
-        minInstancesPerNode=p["min_child_weight"], subsamplingRate=p["subsample"],
-        featureSubsetStrategy=str(float(p["colsample_bytree"])) if p["colsample_bytree"] < 1 else "all",
+def _xgboost(p):
+    # The hessian of the squared error is 1 a row.
+    return TreeParams(
+        trees=p["n_estimators"], rate=p["learning_rate"], depth=p["max_depth"], min_hessian=p["min_child_weight"], reg_lambda=p.get("reg_lambda", 1.0),
+        gamma=p.get("gamma", 0.0), row_share=p["subsample"], column_share=p["colsample_bytree"], seed=SEED,
     )
 
 
-def _catboost(p, target):
-    return _gbt(target, maxIter=p["iterations"], stepSize=p["learning_rate"], maxDepth=p["depth"])
+def _catboost(p):
+    return TreeParams(kind="ordered", trees=p["iterations"], rate=p["learning_rate"], depth=p["depth"], reg_lambda=p["l2_leaf_reg"], seed=SEED)
 
 
-def _forest(p, target):
-    return RandomForestRegressor(
-        featuresCol="features", labelCol=target, numTrees=p["n_estimators"], maxDepth=p["max_depth"],
-        featureSubsetStrategy=p["max_features"] or "all", minInstancesPerNode=p["min_samples_leaf"],
-        cacheNodeIds=True, checkpointInterval=10, seed=SEED,
+def _forest(p):
+    return TreeParams(
+        kind="forest", trees=p["n_estimators"], depth=p["max_depth"], node_columns=p["max_features"], min_leaf=p["min_samples_leaf"],
+        min_split=p["min_samples_split"], seed=SEED,
     )
 
 
+def _adaboost(p):
+    return adaboost_params(p["n_estimators"], p["learning_rate"], p["max_depth"], SEED)
+
+
 def _linear(p, target):
     return LinearRegression(featuresCol="features", labelCol=target, solver="normal", regParam=0.0)
 
 
 # Learner, scaling, principal components (share of variance or number).
-RECIPES = {
+ENSEMBLES = {
     "gradient_boosting": (_gradient_boosting, True, 0.95),
     "histogram_gradient_boosting": (_histogram, True, 0.95),
     "xgboost": (_xgboost, True, 4),
     "catboost": (_catboost, False, None),
+    "adaboost": (_adaboost, True, None),
     "random_forest": (_forest, True, 0.95),
     "random_forest_raw": (_forest, False, None),
+}
+RECIPES = {
     "linear": (_linear, True, 0.95),
     "linear_raw": (_linear, False, None),
 }
@@ -85,6 +87,14 @@ def model_params(algorithm: str, freq: str, **overrides) -> dict:
     return params
 
 
+def ensemble_recipe(algorithm: str, freq: str, **overrides) -> tuple[TreeParams, bool, float | None]:
+    """(parameters, scaled?, components) of a tree ensemble with its registry parameters."""
+    build, scale, pca = ENSEMBLES[algorithm]
+    params = model_params(algorithm, freq, **overrides)
+    pca = params.pop("pca", pca)
+    return build(params), scale, pca
+
+
 def make_model(
     algorithm: str,
     freq: str,
@@ -96,8 +106,9 @@ def make_model(
 
     ``pca`` among the overrides replaces the share of variance or component count.
     """
-    if algorithm == "adaboost":
-        return lambda train: fit_adaboost(train, features, target, **model_params(algorithm, freq, **overrides))
+    if algorithm in ENSEMBLES:
+        recipe = ensemble_recipe(algorithm, freq, **overrides)
+        return lambda train: fit_ensembles(train, features, target, [recipe])[0]
     if algorithm == "svr":
         return lambda train: fit_svr(train, features, target, **model_params(algorithm, freq, **overrides))
     if algorithm not in RECIPES:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import FEATURES, TARGET
 from .base import Evaluation, Forecaster, fit_and_evaluate
-from .tabular import make_model
+from .shards import fit_ensembles
+from .tabular import ENSEMBLES, ensemble_recipe, make_model
 
 # Members of the vote.
 MEMBERS = (
@@ -55,10 +56,15 @@ def fit_vote(
     target: str = TARGET,
     overrides: Mapping[str, dict] | None = None,
 ) -> VoteForecaster:
-    """Fit every member on the same train rows."""
+    """Fit every member on the same train rows; the tree ensembles among them share one stage."""
     overrides = overrides or {}
-    fits: list[Callable] = [make_model(m, freq, features, target, **overrides.get(m, {})) for m in members]
-    return VoteForecaster([fit(train) for fit in fits])
+    trees = [m for m in members if m in ENSEMBLES]
+    recipes = [ensemble_recipe(m, freq, **overrides.get(m, {})) for m in trees]
+    fitted = dict(zip(trees, fit_ensembles(train, features, target, recipes) if trees else []))
+    for m in members:
+        if m not in fitted:
+            fitted[m] = make_model(m, freq, features, target, **overrides.get(m, {}))(train)
+    return VoteForecaster([fitted[m] for m in members])
 
 
 def voting_forecast(

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from .models.base import Evaluation, evaluate
 from .models.network import EPOCHS, Net, _flat_windows, fit_network
 from .models.registry import sample_network, sample_params
-from .models.tabular import make_model
+from .models.shards import Job, spaces, train_jobs
+from .models.tabular import ENSEMBLES, ensemble_recipe, make_model
 from .operators.ordered import profile
 from .operators.scale import WINDOW, window_dataset
 from .operators.split import chronological_split, fold_bounds
@@ -39,8 +40,9 @@ def random_search(
     """Mean squared error of sampled candidates over expanding folds of the train rows.
 
     Returns the candidate table (failures carry their error text) and the evaluation
-    of the best candidate, refitted on all train rows. Candidates are independent
-    Spark jobs submitted from a small thread pool.
+    of the best candidate, refitted on all train rows. Tree ensembles of all candidates and
+    folds are grown in one stage over one binned table, whose prefixes the folds are. Other
+    candidates are independent Spark jobs submitted from a small thread pool.
     """
     narrow = df.select(time_col, target, *features)
     prof = profile(narrow, time_col)
@@ -62,8 +64,11 @@ def random_search(
             # Parameters that do not fit are reported and the search goes on; anything else ends it.
             return at, str(candidates[at]), None, str(problem).splitlines()[0]
 
-    with ThreadPool(min(parallelism, len(candidates))) as pool:
-        rows = pool.map(run, range(len(candidates)))
+    if algorithm in ENSEMBLES:
+        rows = _search_ensembles(train, algorithm, freq, features, target, candidates, folds)
+    else:
+        with ThreadPool(min(parallelism, len(candidates))) as pool:
+            rows = pool.map(run, range(len(candidates)))
     done = [r for r in rows if r[2] is not None and math.isfinite(r[2])]
     if not done:
         raise RuntimeError(f"every candidate failed, e.g. {rows[0][3]}")
@@ -75,6 +80,26 @@ def random_search(
     return table, evaluate(model, split, time_col, algorithm, freq, target, prof)
 
 
+def _search_ensembles(train: DataFrame, algorithm: str, freq: str, features: Sequence[str], target: str, candidates: Sequence[dict], folds: Sequence[tuple[int, int]]) -> list[tuple]:
+    """(candidate, parameters, mean squared error, problem) of every candidate, from one stage."""
+    recipes, problems = {}, {}
+    for i, candidate in enumerate(candidates):
+        try:
+            recipes[i] = ensemble_recipe(algorithm, freq, **candidate)
+        except ValueError as problem:
+            problems[i] = str(problem).splitlines()[0]
+    kinds = list(dict.fromkeys((scale, pca, end) for _, scale, pca in recipes.values() for end, _ in folds))
+    errors: dict[int, list[float]] = {i: [] for i in recipes}
+    if recipes:
+        jobs = [Job(params, kinds.index((scale, pca, end)), end, test_end) for params, scale, pca in recipes.values() for end, test_end in folds]
+        known = train.where(F.col(target).isNotNull())
+        found = train_jobs(known, features, target, jobs, spaces(known, features, kinds), "pos")
+        for at, made in enumerate(found):
+            errors[list(recipes)[at // len(folds)]].append(made["error"])
+    mean = lambda i: float(sum(errors[i]) / len(folds)) if i in recipes else None
+    return [(i, str(c), mean(i), problems.get(i)) for i, c in enumerate(candidates)]
+
+
 def nn_search(
     df: DataFrame,
     kind: str,
