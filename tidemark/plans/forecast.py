@@ -13,6 +13,7 @@ from .. import tuning
 from ..models.arx import arx_forecast, order_grid_search
 from ..models.base import load_model, save_model
 from ..models.network import window_forecast
+from ..models.panel import arx_forecast_ar1_per_key, linear_forecast_per_key
 from ..models.tabular import feature_importance, train_and_evaluate
 from ..models.vote import voting_forecast
 from ..operators.metrics import compare_models
@@ -21,7 +22,7 @@ from ..operators.stats import residual_report
 from ..schema import FEATURES, TARGET
 from ..session import new_path
 from . import tables as tb
-from .explore import SQL_FILLED_SPLIT, SQL_MASE, SQL_SCORES, _sql_describe
+from .explore import SQL_FILLED_SPLIT, SQL_MASE, SQL_SCORES, SQL_SPLIT, _sql_describe
 from .register import query, rounded
 
 QUERY_NAMES = {
@@ -164,6 +165,55 @@ def forecast_interval_registry(spark, sf_dir):
     return rounded(rows.select(tb.epoch(), F.col(TARGET).alias("actual"), "prediction", "lower", "upper", "split"))
 
 
+# One series per supplier: prices of its lines, in thousands, in the order of their numbers.
+PANEL_FEATURES = ("quantity", "discount", "tax")
+
+
+def _panel(spark, sf_dir):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    number = ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 10_000_000 + F.col("l_partkey")).cast("bigint").alias("num")
+    values = {"quantity": "l_quantity", "discount": "l_discount", "tax": "l_tax", "price": "l_extendedprice"}
+    return lines.select(F.col("l_suppkey").alias("station"), number, *[(F.col(c).cast("double") / (1000.0 if n == "price" else 1.0)).alias(n) for n, c in values.items()])
+
+
+def _sql_panel() -> str:
+    """``ols``: least squares of every station by successive orthogonal residuals of its train rows."""
+    ctes, before = [], "e0x"
+    for i, x in enumerate([*PANEL_FEATURES, "price"]):
+        shares = [f"coalesce(sum({x} * e{j}) FILTER (split = 'train') / nullif(sum(e{j} * e{j}) FILTER (split = 'train'), 0), 0) AS b{j}" for j in range(i)]
+        ctes.append(f"m{i} AS (SELECT station, {', '.join([f'avg({x}) FILTER (split = {chr(39)}train{chr(39)}) AS a', *shares])} FROM {before} GROUP BY station)")
+        fitted = " + ".join(["a", *[f"b{j} * e{j}" for j in range(i)]])
+        name, made = ("ols", f"{fitted} AS predicted, price AS actual") if x == "price" else (f"e{i}y", f"{x} - ({fitted}) AS e{i}")
+        ctes.append(f"{name} AS (SELECT b.*, {made} FROM {before} b JOIN m{i} USING (station))")
+        before = name
+    return f"""l AS (SELECT l_suppkey AS station, CAST((l_orderkey * 8 + l_linenumber) * 10000000 + l_partkey AS BIGINT) AS num, CAST(l_quantity AS DOUBLE) AS quantity,
+ CAST(l_discount AS DOUBLE) AS discount, CAST(l_tax AS DOUBLE) AS tax, CAST(l_extendedprice AS DOUBLE) / CAST(1000 AS DOUBLE) AS price FROM lineitem),
+c AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY num) - 1 AS pos, count(*) OVER (PARTITION BY station) AS n FROM l),
+e0x AS (SELECT *, {SQL_SPLIT} AS split FROM c), {', '.join(ctes)}"""
+
+
+def _sql_panel_scores(source: str, model: str) -> str:
+    return f"""held AS (SELECT *, lag(actual) OVER (PARTITION BY station, split ORDER BY num) AS prev FROM {source} WHERE split <> 'train')
+SELECT station, '{model}' AS model, 'D' AS freq, split, {SQL_SCORES}, {SQL_MASE} FROM held GROUP BY station, split"""
+
+
+@query("linear_forecast_per_key", f"WITH {_sql_panel()}, {_sql_panel_scores('ols', 'linear')}")
+def linear_per_key(spark, sf_dir):
+    return rounded(linear_forecast_per_key(_panel(spark, sf_dir), "D", "num", ["station"], PANEL_FEATURES, "price"))
+
+
+@query(
+    "arx_forecast_ar1_per_key",
+    f"""WITH {_sql_panel()},
+eta AS (SELECT station, pos, actual - predicted AS v, lag(actual - predicted) OVER (PARTITION BY station ORDER BY num) AS u FROM ols WHERE split = 'train'),
+ar AS (SELECT station, coalesce(sum(v * u) / sum(u * u), 0) AS phi, max_by(v, pos) AS last, max(pos) AS fin FROM eta GROUP BY station),
+ar1 AS (SELECT o.station, num, split, actual, predicted + pow(phi, pos - fin) * last AS predicted FROM ols o JOIN ar USING (station)),
+{_sql_panel_scores('ar1', 'sarimax')}""",
+)
+def ar1_per_key(spark, sf_dir):
+    return rounded(arx_forecast_ar1_per_key(_panel(spark, sf_dir), "D", "num", ["station"], PANEL_FEATURES, "price"))
+
+
 @query("voting_forecast")
 def voting(spark, sf_dir):
     return rounded(voting_forecast(_table(spark, sf_dir), "D", "start_ts").scores, 4)
