@@ -12,6 +12,8 @@ from tidemark import tuning
 from tidemark.models import growing, shards
 from tidemark.models.growing import Binned, TreeParams
 from tidemark.models.packed import Tables, Trees, combine, mapped, pack, unpack
+from tidemark.models.ranking import rank_models
+from tidemark.models.tabular import train_and_evaluate
 from tidemark.operators.split import chronological_split, fold_bounds
 
 
@@ -271,3 +273,19 @@ def test_mapped_does_not_depend_on_batches():
     x, m, o = rng.normal(size=(1000, 4)), rng.normal(size=(4, 3)), rng.normal(size=3)
     whole = mapped(x, m, o)
     assert np.allclose(whole, x @ m + o) and np.array_equal(whole[17:18], mapped(x[17:18], m, o))
+
+
+def test_ranking_scores_every_model_as_it_does_alone(spark):
+    x, y, _ = table(150)
+    df = spark.createDataFrame([(i, *map(float, r), float(v)) for i, (r, v) in enumerate(zip(x, y))], "ts bigint, a double, b double, c double, y double")
+    names, small = ["a", "b", "c"], {"catboost": {"iterations": 5, "depth": 2}, "xgboost": {"n_estimators": 4, "max_depth": 2, "pca": 3}}
+    got = rank_models({f: df for f in "DW"}, "ts", algorithms=["catboost", "xgboost", "linear_raw"], features=names, target="y", overrides=small, extra=False).collect()
+    assert {(r["model"], r["freq"]) for r in got} == {(m, f) for m in ("catboost", "xgboost", "linear_raw", "voting") for f in "DW"}
+    for r in got:
+        if r["model"] != "voting" and r["freq"] == "D":
+            alone = {s["split"]: s for s in train_and_evaluate(df, r["model"], "D", "ts", names, "y", **small.get(r["model"], {})).scores.collect()}
+            assert math.isclose(r["RMSE"], alone[r["split"]]["RMSE"], rel_tol=1e-9) and math.isclose(r["MASE"], alone[r["split"]]["MASE"], rel_tol=1e-9)
+    for f in "DW":
+        for split in ("validation", "test"):
+            some = sorted((r for r in got if r["freq"] == f and r["split"] == split), key=lambda r: r["rank"])
+            assert [r["rank"] for r in some] == [1, 2, 3, 4] and [r["MAE"] for r in some] == sorted(r["MAE"] for r in some)

@@ -14,12 +14,15 @@ from ..models.arx import arx_forecast, order_grid_search
 from ..models.base import load_model, save_model
 from ..models.network import window_forecast
 from ..models.panel import arx_forecast_ar1_per_key, linear_forecast_per_key
+from ..models.ranking import rank_models
 from ..models.tabular import feature_importance, train_and_evaluate
 from ..models.vote import voting_forecast
+from ..operators.clean import impute_missing
 from ..operators.metrics import compare_models
+from ..operators.resample import resample_median
 from ..operators.split import chronological_split
 from ..operators.stats import residual_report
-from ..schema import FEATURES, TARGET
+from ..schema import CHANNELS, FEATURES, TARGET
 from ..session import new_path
 from . import tables as tb
 from .explore import SQL_FILLED_SPLIT, SQL_MASE, SQL_SCORES, SQL_SPLIT, _sql_describe
@@ -165,6 +168,22 @@ def forecast_interval_registry(spark, sf_dir):
     return rounded(rows.select(tb.epoch(), F.col(TARGET).alias("actual"), "prediction", "lower", "upper", "split"))
 
 
+def frequency_tables(spark, sf_dir) -> dict:
+    """Complete tables at H, D, W and M: hours of the events, days of the orders and their medians."""
+    days = tb.daily(spark, sf_dir)
+    made = {"H": tb.hourly_clean(spark, sf_dir), "D": days, **{f: resample_median(days, "start_ts", f, CHANNELS) for f in "WM"}}
+    return {f: impute_missing(df, CHANNELS) for f, df in made.items()}
+
+
+for _freq in "HDWM":
+
+    # Ranks are within the frequency, so each one is a query of its own.
+    @query(f"rank_models_{_freq.lower()}")
+    def rank_all(spark, sf_dir, freq=_freq):
+        """Every model with its registry parameters, ranked at one frequency."""
+        return rounded(rank_models({freq: frequency_tables(spark, sf_dir)[freq]}, "start_ts"), 2)
+
+
 # One series per supplier: prices of its lines, in thousands, in the order of their numbers.
 PANEL_FEATURES = ("quantity", "discount", "tax")
 
