@@ -151,7 +151,7 @@ def pair_bins(spark, sf_dir):
     return stats.pair_bins(_items(spark, sf_dir))
 
 
-def _sql_report() -> str:
+def _sql_report(source: str = tb.sql_daily()) -> str:
     parts = []
     moments = {
         "count": "CAST(count({c}) AS DOUBLE)", "mean": "avg({c})", "std": "stddev_samp({c})", "min": "min({c})",
@@ -172,7 +172,7 @@ def _sql_report() -> str:
     parts.append(f"SELECT 'pct_outliers', '{TARGET}', 100::DOUBLE * {out} / count(*) FROM daily, {bounds}")
     parts.append("SELECT 'acf', CAST(lag AS VARCHAR), acf FROM r")
     acf = _sql_acf("SELECT epoch, value AS v FROM series", 10)
-    return f"WITH {tb.sql_daily()}, {acf} SELECT metric, item, round(value, 6) AS value FROM ({' UNION ALL '.join(parts)})"
+    return f"WITH {source}, {acf} SELECT metric, item, round(value, 6) AS value FROM ({' UNION ALL '.join(parts)})"
 
 
 @query("summary_report", _sql_report())
@@ -182,6 +182,18 @@ def summary_report(spark, sf_dir):
     return rounded(report.filter(F.col("metric") != "adf_p_value"))
 
 
+# The hourly table in the names of the daily one.
+SQL_HOURLY_AS_DAILY = f"""{tb.sql_hourly()}, daily AS (SELECT * FROM clean),
+series AS (SELECT start_ts, epoch, pm25_value AS value FROM clean WHERE pm25_value IS NOT NULL)"""
+
+
+@query("summary_report_hourly", _sql_report(SQL_HOURLY_AS_DAILY))
+def summary_report_hourly(spark, sf_dir):
+    """The hourly part of ``frequency_report``, without the test statistic."""
+    report = stats.summary_report(tb.hourly_clean(spark, sf_dir), TARGET, "start_ts")
+    return rounded(report.filter(F.col("metric") != "adf_p_value"))
+
+
 @query("summary_report_test")
 def summary_report_test(spark, sf_dir):
     """The row of the report that ``summary_report`` leaves to this query."""
@@ -191,9 +203,9 @@ def summary_report_test(spark, sf_dir):
 
 @query("frequency_report")
 def frequency_report(spark, sf_dir):
-    """The report of the daily table and its weekly and monthly medians."""
+    """The report of the hourly table, the daily one and its weekly and monthly medians."""
     daily = tb.daily(spark, sf_dir)
-    tables = {"D": daily, **{f: resample_median(daily, "start_ts", f, CHANNELS).drop("start_ts_Timestamp") for f in ("W", "M")}}
+    tables = {"H": tb.hourly_clean(spark, sf_dir), "D": daily, **{f: resample_median(daily, "start_ts", f, CHANNELS).drop("start_ts_Timestamp") for f in ("W", "M")}}
     return rounded(stats.frequency_report(tables, TARGET, "start_ts"))
 
 
