@@ -184,7 +184,7 @@ for _freq in "HDWM":
         return rounded(rank_models({freq: frequency_tables(spark, sf_dir)[freq]}, "start_ts"), 2)
 
 
-# One series per supplier: prices of its lines, in thousands, in the order of their numbers.
+# One series per supplier: prices of its lines, in thousands, in the order of their numbers (the largest of equal ones).
 PANEL_FEATURES = ("quantity", "discount", "tax")
 
 
@@ -192,7 +192,8 @@ def _panel(spark, sf_dir):
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     number = ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 10_000_000 + F.col("l_partkey")).cast("bigint").alias("num")
     values = {"quantity": "l_quantity", "discount": "l_discount", "tax": "l_tax", "price": "l_extendedprice"}
-    return lines.select(F.col("l_suppkey").alias("station"), number, *[(F.col(c).cast("double") / (1000.0 if n == "price" else 1.0)).alias(n) for n, c in values.items()])
+    cells = [(F.max(c).cast("double") / (1000.0 if n == "price" else 1.0)).alias(n) for n, c in values.items()]
+    return lines.groupBy(F.col("l_suppkey").alias("station"), number).agg(*cells)
 
 
 def _sql_panel() -> str:
@@ -205,8 +206,9 @@ def _sql_panel() -> str:
         name, made = ("ols", f"{fitted} AS predicted, price AS actual") if x == "price" else (f"e{i}y", f"{x} - ({fitted}) AS e{i}")
         ctes.append(f"{name} AS (SELECT b.*, {made} FROM {before} b JOIN m{i} USING (station))")
         before = name
-    return f"""l AS (SELECT l_suppkey AS station, CAST((l_orderkey * 8 + l_linenumber) * 10000000 + l_partkey AS BIGINT) AS num, CAST(l_quantity AS DOUBLE) AS quantity,
- CAST(l_discount AS DOUBLE) AS discount, CAST(l_tax AS DOUBLE) AS tax, CAST(l_extendedprice AS DOUBLE) / CAST(1000 AS DOUBLE) AS price FROM lineitem),
+    return f"""l AS (SELECT l_suppkey AS station, CAST((l_orderkey * 8 + l_linenumber) * 10000000 + l_partkey AS BIGINT) AS num, CAST(max(l_quantity) AS DOUBLE) AS quantity,
+ CAST(max(l_discount) AS DOUBLE) AS discount, CAST(max(l_tax) AS DOUBLE) AS tax, CAST(max(l_extendedprice) AS DOUBLE) / CAST(1000 AS DOUBLE) AS price
+ FROM lineitem GROUP BY 1, 2),
 c AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY num) - 1 AS pos, count(*) OVER (PARTITION BY station) AS n FROM l),
 e0x AS (SELECT *, {SQL_SPLIT} AS split FROM c), {', '.join(ctes)}"""
 
