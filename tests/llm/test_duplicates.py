@@ -248,9 +248,10 @@ def distance(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize("key_pairs", [4096, 4])
-def test_threshold_grows_with_the_line(spark, monkeypatch, key_pairs):
+@pytest.mark.parametrize("key_pairs, map_bits", [(4096, 1 << 28), (4, 1 << 28), (4096, 8)])
+def test_threshold_grows_with_the_line(spark, monkeypatch, key_pairs, map_bits):
     monkeypatch.setattr(lines, "KEY_PAIRS", key_pairs)
+    monkeypatch.setattr(lines, "MAP_BITS", map_bits)
     r, texts = random.Random(9), set()
     base = ["".join(r.choice("abcdefgh éß🙂") for _ in range(n)) for n in (20, 33, 49, 50, 75, 101, 120)]
     for line in base:
@@ -271,3 +272,19 @@ def test_threshold_grows_with_the_line(spark, monkeypatch, key_pairs):
         got.join(texts[x["doc"]], texts[x["first_doc"]])
     assert {x: got.top(x) for x in texts} == {x: want.top(x) for x in texts}
     assert lines.repeated_lines(docs.limit(0), share=0.04).count() == 0
+
+
+def test_greatest_number_of_edits_and_least_length_are_parameters(spark):
+    texts = ["abcdefghij" * 6, "abcdefghij" * 5 + "xxxdefghij", "short one", "short ones"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    dropped = lambda **kw: {r["doc"] for r in lines.repeated_lines(docs, share=0.05, **kw).collect()}
+    assert dropped() == {1} and dropped(most=2) == set() and dropped(most=2, min_chars=5) == {3}
+    with pytest.raises(ValueError):
+        lines.repeated_lines(docs, most=15)
+
+
+def test_map_of_keys_loses_none(spark):
+    keys = spark.range(5000).select(F.xxhash64("id").alias("key"))
+    rows = spark.range(20000).select("id", F.xxhash64("id").alias("key"))
+    left = {r["id"] for r in lines._sifted(rows, keys, 5000).collect()}
+    assert left >= set(range(5000)) and len(left) < 7000
