@@ -116,3 +116,22 @@ def test_pipeline_of_odd_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = spark.createDataFrame(stage(spark, docs, "/root/testdata/sf0.001").collect(), stage(spark, docs.limit(0), "/root/testdata/sf0.001").schema)
     assert 0 < docs.count() < 10
+
+
+def test_pipeline_keeps_rows_that_repeat_an_id(spark):
+    """Rows are judged by what they are: an id shared with, or missing in, a bad row takes no good row along."""
+    item = table(spark, "/root/testdata/sf0.001", "benchmark").where("text is not null").first()["text"]
+    clean = [" ".join(f"{w}{i}" for i in range(60)) for w in ("maple", "otter", "cedar", "heron")]
+    line = "the very same long line in two documents"
+    rows = [(1, clean[0]), (1, clean[1]), (1, item), (None, clean[2]), (None, item), (2, line + "\nmore of a"), (2, "first of b\n" + line), (3, clean[3]), (3, clean[3]), (None, clean[3])]
+    docs = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    seen = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+    sf = "/root/testdata/sf0.001"
+    assert seen(corpus_pipeline.drop_contaminated(spark, docs, sf)) == sorted((r for r in rows if r[1] != item), key=repr)
+    lined = seen(corpus_pipeline.drop_repeated_lines(spark, docs, sf))
+    assert len(lined) == len(rows)
+    two = [t for i, t in lined if i == 2]
+    assert sum(line in t for t in two) == 1 and any("more of a" in t for t in two) and any("first of b" in t for t in two)
+    single = seen(corpus_pipeline.drop_near_copies(spark, docs, sf))
+    assert [i for i, t in single if t == clean[3]] == [3] and {t for _, t in single} >= {*clean, item} and len(single) == len({t for _, t in single})
+    assert {t for _, t in seen(corpus_pipeline.drop_toxic(spark, docs, sf))} >= set(clean)
