@@ -119,3 +119,27 @@ def test_token_files_roll_and_keep_order(spark, monkeypatch):
     assert [r["doc_id"] for r in rows] == sorted(i * 3 % 101 for i in range(101))
     ends = [r["start"] + len(r["ids"]) // 4 for r in rows]
     assert [r["start"] for r in rows] == [0, *ends[:-1]]
+
+
+def test_only_vocabularies_whose_words_stand_alone_are_taken_apart(tmp_path):
+    """Case and stops are dropped only where the file says so; others are encoded as whole texts."""
+    import json
+
+    assert token_files.splits_at_blanks(WORD) and not token_files.splits_at_blanks(BYTE)
+    with open(WORD, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps = spec["normalizer"]["normalizers"]
+    changes = {"normalizer": {"type": "Sequence", "normalizers": steps[:2]}, "pre_tokenizer": {"type": "Whitespace"}}
+    for name, value in changes.items():
+        path = tmp_path / f"{name}.json"
+        path.write_text(json.dumps(spec | {name: value}), encoding="utf-8")
+        assert not token_files.splits_at_blanks(str(path))
+
+
+def test_words_are_encoded_as_in_their_text(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHE_WORDS", 6)
+    library, words = Tokenizer.from_file(WORD), token_files._Words(WORD, "<u4")
+    texts = [*(t or "" for t in TEXTS), "It's THE end. The End, it's... e\u0301 a\tb\r\nC <|endoftext|> x<|endoftext|>. 12a, ., ,", "The end, again."] * 2
+    for text, ids in zip(texts, words.texts(texts)):
+        assert ids == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert len(words) == 6

@@ -23,7 +23,10 @@ MAGIC = b"TIDEHUF1"
 MAX_BITS = 18
 BLOCK_IDS = 256
 FILE_IDS = 4_000_000
-CACHE_WORDS = 800_000
+CACHE_WORDS = 500_000
+# How vocabularies of words mark a word's last token, and their split pattern.
+WORD_END = "</w>"
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def code_lengths(counts, limit: int = MAX_BITS):
@@ -153,16 +156,21 @@ def unpack(data: bytes, tables: dict | None = None):
     return keys, sizes_of, out.T.reshape(-1)[:n]
 
 
-class _Words:
-    """Ids, as bytes, of the text between two blanks; words are kept up to a bound."""
+class _Words(dict):
+    """Ids, as bytes, of the text between two blanks; up to CACHE_WORDS of them are kept."""
 
     def __init__(self, path: str, kind: str):
+        import numpy as np
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer, self.kind = Tokenizer.from_file(path), kind
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known = {"": b""}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+        self[""] = b""
         self.stops = {"": b"", **{s: self._encoded([s])[0] for s in ",."}}
 
     def _encoded(self, words: list[str]) -> list[bytes]:
@@ -176,51 +184,81 @@ class _Words:
         cuts = (np.searchsorted(starts, ends) * np.dtype(self.kind).itemsize).tolist()
         return [ids[i:j] for i, j in zip(cuts, cuts[1:])]
 
+    def _plain(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters alone: the one token that ends a word tells where, without offsets."""
+        import numpy as np
+
+        [found] = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)
+        ids = np.array(found.ids, self.kind)
+        cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()]
+        if len(cuts) != len(words) + 1:
+            return self._encoded(words)
+        raw = ids.tobytes()
+        return [raw[i:j] for i, j in zip(cuts, cuts[1:])]
+
     def text(self, text: str) -> bytes:
         return self._encoded([text])[0] if text else b""
 
-    def look_up(self, pieces) -> dict[str, bytes]:
-        """Ids of every piece. A stop or comma after a word is a word of its own, and case is dropped."""
-        parts = {}
+    def learn(self, pieces: set[str]) -> None:
+        """Find the ids of pieces not known. A stop or comma after a word is a word of its own, and case is dropped."""
+        plain, other, ended = set(), [], []
         for piece in pieces:
-            word, stop = (piece[:-1], piece[-1]) if piece[-1:] in (",", ".") and piece[:-1].isalpha() else (piece, "")
-            parts[piece] = (word.lower() if word.isascii() and word.isalpha() else word), stop
-        fresh, size, waiting = {}, 0, []
-        unknown = {word for word, _ in parts.values() if word not in self.known}
-        for i, word in enumerate(unknown, 1):
-            waiting.append(word)
-            size += len(word)
-            if size > 1 << 16 or i == len(unknown):
-                fresh.update(zip(waiting, self._encoded(waiting)))
-                size, waiting = 0, []
-        for word, ids in fresh.items():
-            if len(self.known) >= CACHE_WORDS:
-                break
-            if len(word) <= 64:
-                self.known[word] = ids
-        known, stops = self.known, self.stops
-        return {piece: (fresh[word] if word in fresh else known[word]) + stops[stop] for piece, (word, stop) in parts.items()}
+            word, stop = (piece[:-1], piece[-1]) if piece[-1] in ",." else (piece, "")
+            if word.isascii() and word.isalpha():
+                low = word.lower()
+                if low not in self:
+                    plain.add(low)
+                if low != piece:
+                    ended.append((piece, low, stop))
+            else:
+                other.append(piece)
+        for words, encode in ((list(plain), self._plain), (other, self._encoded)):
+            at, size = 0, 0
+            for i, word in enumerate(words, 1):
+                size += len(word)
+                if size > 1 << 16 or i == len(words):
+                    self.update(zip(words[at:i], encode(words[at:i])))
+                    at, size = i, 0
+        self.update((piece, self[low] + self.stops[stop]) for piece, low, stop in ended)
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        """Ids of every text; words met after the bound is reached are forgotten with their texts."""
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        self.learn(set().union(*split) - self.keys())
+        out = [b"".join(map(self.__getitem__, pieces)) for pieces in split]
+        while len(self) > CACHE_WORDS:
+            self.popitem()
+        return out
 
 
 _loaded: dict[str, _Words] = {}
 
 
 def splits_at_blanks(path: str) -> bool:
-    """Does this tokenizer drop white space, so that blanks always separate its words?
+    """Is this a tokenizer whose words can be encoded one by one, case dropped, stops apart?
 
-    True for a normalizer that turns runs of white space into a blank and a split that
-    keeps only its matches, none of which can hold white space.
+    True only for what ``_Words`` relies on: white space and case go in the normalizer,
+    the split keeps only its matches by a pattern that ends words at blanks and parts
+    letters from stops, and the last token of a word, and no other, is marked.
     """
     import json
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    first = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
+    steps = (spec.get("normalizer") or {}).get("normalizers", [])
+    parts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    first = parts[0] if parts else {}
     return (
-        first.get("type") == "Split"
-        and first.get("behavior") == "Removed"
-        and bool(first.get("invert"))
-        and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"])
+        [s["type"] for s in steps] == ["NFC", "Replace", "Lowercase"]
+        and (steps[1]["pattern"], steps[1]["content"]) == ({"Regex": r"\s+"}, " ")
+        and [p["type"] for p in parts] == ["Split", "ByteLevel"]
+        and (first["pattern"], first["behavior"], first["invert"]) == ({"Regex": WORD_PATTERN}, "Removed", True)
+        and not parts[1]["add_prefix_space"]
+        and not parts[1].get("use_regex", True)
+        and spec["model"]["type"] == "BPE"
+        and not spec["model"].get("dropout")
+        and spec["model"].get("end_of_word_suffix") == WORD_END
+        and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["content"].isalpha() for t in spec["added_tokens"])
     )
 
 
@@ -246,9 +284,7 @@ def _encode(docs: DataFrame, path: str, end_id: int, kind: str) -> DataFrame:
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             if apart:
-                split = [t.replace("\n", " ").split(" ") for t in texts]
-                found = words.look_up(set().union(*split))
-                out = [b"".join(map(found.__getitem__, pieces)) + end for pieces in split]
+                out = [ids + end for ids in words.texts(texts)]
             else:
                 out = [words.text(t) + end for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["key", "ids"])
