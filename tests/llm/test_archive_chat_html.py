@@ -7,6 +7,7 @@ import io
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import chat, html, warc
 from tidemark.llm.queries import tokenizer_path
@@ -84,12 +85,22 @@ def test_segments_of_a_long_conversation(spark):
     frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(6)
     segments = chat.format_conversations(frame, BYTE, segment_chars=20_000)
     assert segments.count() > 10
+    assert segments.where("whole").count() == 0
     [got] = chat.conversation_digests(segments).collect()
     assert got["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for _, _, r, x in rows).encode()).hexdigest()
     one = segments.orderBy("first_turn").first()
     assert [one["formatted"][s:e] for s, e, m in zip(one["starts"], one["ends"], one["mask"]) if m][0] == "turn"
 
 
+def test_conversations_inside_a_task_are_known_to_be_whole(spark):
+    rows = [(c, t, "user", f"turn {t} of {c} " * 20) for c in range(40) for t in range(4)]
+    frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(3)
+    segments = chat.format_conversations(frame, BYTE)
+    assert 10 <= segments.where("whole").count() < 40
+    held = segments.groupBy("conv_id").agg(F.count("*").alias("n"), F.max("whole").alias("whole"))
+    assert held.where("whole and n > 1").count() == 0 and chat.conversation_digests(segments).count() == 40
+
+
 def test_escape_round_trip():
     for text in TEXTS:
         text = text or ""
