@@ -155,6 +155,14 @@ def test_repeated_vector_rows_link(spark):
     assert sorted(tuple(r) for r in grid.near_vectors(frame).collect()) == [(1, 1, 1, True), (1, 1, 1, True), (2, 0, 2, True)]
 
 
+def test_vectors_that_share_or_lack_an_id(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [1.0, 0.001]), (None, [1.0, 0.0]), (None, [1.0, 1.0]), (None, [1.0, 1.0]), (4, [2.0, 2.0])]
+    frame = spark.createDataFrame([(k, v, 0) for k, v in rows] + [(None, None, 0), (None, [-1.0, 0.0], 0)], "vec_id bigint, embedding array<double>, label int")
+    got = sorted((tuple(r) for r in grid.near_vectors(frame).collect()), key=repr)
+    want = [(1, 2, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 2, 1, False), (None, 2, 1, False), (None, 2, 4, False), (None, 2, 4, False), (4, 2, 4, True), (None, 0, None, False), (None, 0, None, False)]
+    assert got == sorted(want, key=repr)
+
+
 def one_edit(a, b):
     if len(a) > len(b):
         a, b = b, a

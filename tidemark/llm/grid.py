@@ -252,17 +252,19 @@ def near_vectors(vectors: DataFrame, id_column: str = "vec_id", vector_column: s
 
     Vectors with equal labels and lengths link if their cosine is at least ``cosine``.
     Null, empty and zero vectors, those with null or non-finite components or no label link
-    with nothing. Repeated rows are vectors of their own that link with each other; ids must
+    with nothing. Repeated rows are vectors of their own that link with each other, and so are
+    different vectors with one id; vectors without an id link like others, but name no
+    component unless all of it lacks ids, and are not kept. Ids must
     be integers; an empty table gives an empty one. Other columns do not take part.
     """
     spark = vectors.sparkSession
     epsilon = (2 - 2 * cosine) ** 0.5
-    rows = stored(unit_rows(vectors, id_column, vector_column, label_column), "unit-vectors")
-    same = rows.where("digest is not null and key is not null").groupBy("digest").agg(F.min("key").alias("rep"), F.count("*").alias("n"))
+    # A group of copies is one node, known by the stored number of its first row: ids may repeat or be missing.
+    rows = stored(unit_rows(vectors, id_column, vector_column, label_column).withColumn("row", F.monotonically_increasing_id()), "unit-vectors")
+    same = rows.where("digest is not null").groupBy("digest").agg(F.min("row").alias("rep"), F.min("key").alias("low"), F.count("*").alias("n"))
     same = stored(same, "vector-copies")
-    first = rows.select("key", "digest", "label", "dim", "unit").join(same, (rows["digest"] == same["digest"]) & (rows["key"] == same["rep"]))
-    # An id that repeats within its group of copies still makes one node.
-    nodes = stored(first.select("rep", "label", "dim", "n", "unit").dropDuplicates(["rep", "label"]), "vector-nodes")
+    first = rows.select("row", "label", "dim", "unit").join(same, rows["row"] == same["rep"])
+    nodes = stored(first.select("rep", "label", "dim", "n", "unit"), "vector-nodes")
     fitted = principal_dimensions(nodes)
     found = intervals(nodes, fitted, epsilon, interval)
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
@@ -274,12 +276,15 @@ def near_vectors(vectors: DataFrame, id_column: str = "vec_id", vector_column: s
     counts = joined.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
     groups = components(joined.where("b is not null").select("a", "b"))
     told = same.join(counts, "rep", "left").join(groups, F.col("rep") == F.col("node"), "left")
-    told = told.select(F.col("digest").alias("of"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component"))
-    out = rows.select("key", "digest").join(told, (F.col("digest") == F.col("of")) & F.col("key").isNotNull(), "left")
+    told = told.select(F.col("digest").alias("of"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("root"), "low")
+    told = stored(told, "vector-roots")
+    lowest = told.groupBy("root").agg(F.min("low").alias("component"))
+    told = told.select("of", "links", "root").join(lowest, "root")
+    out = rows.select("key", "digest").join(told, F.col("digest") == F.col("of"), "left")
     component = F.coalesce("component", "key")
     return out.select(
         F.col("key").alias(id_column),
         F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"),
         component.alias("component_id"),
-        (component == F.col("key")).alias("kept"),
+        F.coalesce(component == F.col("key"), F.lit(False)).alias("kept"),
     )
