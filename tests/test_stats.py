@@ -209,3 +209,23 @@ def test_compare_models(spark):
     rows = [("a", "H", "test", 2.0), ("b", "H", "test", 1.0), ("c", "H", "test", None)]
     got = {r.model: r["rank"] for r in metrics.compare_models(spark.createDataFrame(rows, "model string, freq string, split string, MAE double")).collect()}
     assert got == {"b": 1, "a": 2, "c": 3}
+
+
+def test_block_products_of_many_series_at_once():
+    """Sums over the blocks of a batch equal those of each whole series, whatever its length."""
+    import pyarrow as pa
+
+    r, size, limit, rows = np.random.default_rng(0), 7, 3, []
+    many = [r.normal(size=n) for n in (1, 2, 7, 8, 20, 30)]
+    for s, x in enumerate(many):
+        for b in range(-(-len(x) // size)):
+            rows += [(s, t, len(x), x[t], b) for t in range(max(0, b * size - 1), min(len(x), (b + 1) * size + limit))]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["k", "__t", "__n", "__x", "__b"])
+    got = timestats._block_products(batch, ["k"], size, limit).to_pandas()
+    for s, x in enumerate(many):
+        d, mine = np.diff(x), got[got.k == s]
+        want = [x.sum(), x @ x, d @ x[1:], *(d[: len(d) - h] @ d[h:] if h < len(d) else 0.0 for h in range(limit + 1))]
+        assert np.allclose(mine[mine.kind == 0].groupby("i").v.sum(), want)
+        assert mine[mine.kind == 3].v.tolist() == [len(x)]
+        assert sorted(mine[mine.kind == 1].i) == list(range(min(len(x), limit + 2)))
+        assert sorted(mine[mine.kind == 2].i) == list(range(max(0, len(x) - limit - 2), len(x)))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -200,6 +201,47 @@ def adf_solve(sums: dict, head: np.ndarray, tail: np.ndarray, n: int, max_lag: i
     return beta[0] / math.sqrt(left / free * inverse[0, 0]), best, rows
 
 
+def _block_starts(batch: pa.RecordBatch) -> np.ndarray:
+    """First row of every block in rows sorted by series, block and position.
+
+    Positions of a block follow each other, and no block of another series begins where
+    one with the same number ends.
+    """
+    t, b = (batch.column(name).to_numpy() for name in ("__t", "__b"))
+    new = np.ones(len(t), bool)
+    new[1:] = (t[1:] != t[:-1] + 1) | (b[1:] != b[:-1])
+    return np.flatnonzero(new)
+
+
+def _block_products(batch: pa.RecordBatch, keys: Sequence[str], size: int, limit: int) -> pa.RecordBatch:
+    """(keys, kind, i, v) of all blocks of a batch at once: sums and lagged products, heads, tails, lengths."""
+    starts = _block_starts(batch)
+    t, n, x, b = (batch.column(name).to_numpy() for name in ("__t", "__n", "__x", "__b"))
+    own = (t >= b * size) & (t < (b + 1) * size)
+    # step[i] leads to row i; the first row of a block has none.
+    step = np.diff(x, prepend=x[:1])
+    step[starts] = 0.0
+    number = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(t))))
+    mine, kept = np.where(own, step, 0.0), np.where(own, x, 0.0)
+    add = lambda v: np.add.reduceat(v, starts)
+    sums = [add(kept), add(kept * kept), add(mine * x)]
+    for h in range(limit + 1):
+        lagged = np.zeros(len(t))
+        if h < len(t):
+            lagged[: len(t) - h] = np.where(number[h:] == number[: len(t) - h], mine[: len(t) - h] * step[h:], 0.0)
+        sums.append(add(lagged))
+    # Blocks whose own rows are none hold a copy alone and tell zeros.
+    head, tail = np.flatnonzero(own & (t <= limit + 1)), np.flatnonzero(own & (t >= n - limit - 2))
+    begin = np.flatnonzero(own & (t == 0))
+    width = len(sums)
+    rows = np.concatenate([np.repeat(starts, width), head, tail, begin])
+    kinds = np.repeat(np.arange(4, dtype=np.int32), [width * len(starts), len(head), len(tail), len(begin)])
+    places = np.concatenate([np.tile(np.arange(width), len(starts)), t[head], t[tail], np.zeros(len(begin), np.int64)])
+    values = np.concatenate([np.stack(sums, axis=1).ravel(), x[head], x[tail], n[begin].astype(float)])
+    told = [batch.column(k).take(pa.array(rows)) for k in keys]
+    return pa.RecordBatch.from_arrays([*told, pa.array(kinds), pa.array(places, pa.int64()), pa.array(values)], [*keys, "kind", "i", "v"])
+
+
 def adf_test(
     df: DataFrame,
     column: str,
@@ -211,8 +253,8 @@ def adf_test(
     """Augmented Dickey-Fuller test with constant and lag choice by AIC, one row per series.
 
     The regression matrix is made of lagged products of the differences. Blocks of
-    positions, with copies of the rows behind them, yield these products by one
-    correlation each, Spark adds them up with the first and last values of each series,
+    positions, with copies of the rows behind them, yield these products, all blocks of an
+    Arrow batch by one pass a lag; Spark adds them up with the first and last values of each series,
     and the small solve runs per series; the plan is the same for any number of lags.
     ``max_lag`` limits the lags tried; the length of a series limits them too. Nulls are
     dropped.
@@ -232,30 +274,20 @@ def adf_test(
     cell = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("i", T.LongType()), T.StructField("v", T.DoubleType())])
     cells_schema = T.StructType([*(df.schema[k] for k in keys), *cell])
 
-    def products(pdf):
-        pdf = pdf.sort_values("__t")
-        first, t, x = pdf["__b"].iloc[0] * size, pdf["__t"].to_numpy(), pdf["__x"].to_numpy()
-        n, steps = pdf["__n"].iloc[0], np.diff(x)
-        own = (t >= first) & (t < first + size)
-        # steps[i] leads to t[i + 1]; those that lead to rows of the block count here.
-        mine, ahead = steps[own[1:]], steps[int(np.argmax(own[1:])) :] if own[1:].any() else steps[:0]
-        lagged = np.zeros(limit + 1)
-        if len(mine):
-            padded = np.concatenate([ahead, np.zeros(max(0, len(mine) + limit - len(ahead)))])[: len(mine) + limit]
-            lagged = np.correlate(padded, mine, "valid")
-        kept = x[own]
-        sums = [kept.sum(), kept @ kept, mine @ x[1:][own[1:]] if len(mine) else 0.0, *lagged]
-        parts = [(0, i, v) for i, v in enumerate(sums)]
-        parts += [(1, at, v) for at, v in zip(t[own], kept) if at <= limit + 1]
-        parts += [(2, at, v) for at, v in zip(t[own], kept) if at >= n - limit - 2]
-        if first == 0:
-            parts.append((3, 0, float(n)))
-        out = pd.DataFrame(parts, columns=["kind", "i", "v"])
-        for k in reversed(keys):
-            out.insert(0, k, [pdf[k].iloc[0]] * len(out))
-        return out
-
-    parts = spread.groupBy(*keys, "__b").applyInPandas(products, cells_schema)
+    def products(batches):
+        pending = None
+        for batch in batches:
+            batch = batch if pending is None else pa.concat_batches([pending, batch])
+            cut = _block_starts(batch)[-1:].sum()
+            # The last block may go on in the next batch.
+            pending = batch.slice(cut)
+            if cut:
+                yield _block_products(batch.slice(0, cut), keys, size, limit)
+        if pending is not None and pending.num_rows:
+            yield _block_products(pending, keys, size, limit)
+
+    dealt = spread.repartition(*keys, "__b").sortWithinPartitions(*keys, "__b", "__t")
+    parts = dealt.mapInArrow(products, cells_schema)
     # Every head, tail and length is told once, so that all can be summed.
     sums = parts.groupBy(*keys, "kind", "i").agg(F.sum("v").alias("v"))
     ready = sums.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("kind", "i", "v"))).alias("cells"))
