@@ -17,7 +17,7 @@ from dataclasses import dataclass, replace
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,8 +53,12 @@ def affine(train: DataFrame, features: Sequence[str], scale: bool, pca: float |
     """(matrix, offset) of scaling and principal components fitted on the rows; (None, None) for neither."""
     if not scale and not pca:
         return None, None
-    fitted = Pipeline(stages=feature_stages(features, scale, pca, "features")).fit(train)
-    matrix, offset = np.eye(len(features)), np.zeros(len(features))
+    return affine_of(Pipeline(stages=feature_stages(features, scale, pca, "features")).fit(train), len(features))
+
+
+def affine_of(fitted: PipelineModel, size: int):
+    """(matrix, offset) of fitted feature stages over ``size`` features."""
+    matrix, offset = np.eye(size), np.zeros(size)
     for stage in fitted.stages[1:]:
         for part in stage.stages:
             if hasattr(part, "mean"):

@@ -16,7 +16,8 @@ from .models.base import Evaluation, evaluate
 from .models.network import EPOCHS, Net, _flat_windows, fit_network
 from .models.registry import sample_network, sample_params
 from .models.shards import Job, spaces, train_jobs
-from .models.tabular import ENSEMBLES, ensemble_recipe, make_model
+from .models.svr import SvrJob, SvrParams, train_svr
+from .models.tabular import ENSEMBLES, ensemble_recipe, make_model, model_params
 from .operators.ordered import profile
 from .operators.scale import WINDOW, window_dataset
 from .operators.split import chronological_split, fold_bounds
@@ -41,7 +42,8 @@ def random_search(
 
     Returns the candidate table (failures carry their error text) and the evaluation
     of the best candidate, refitted on all train rows. Tree ensembles of all candidates and
-    folds are grown in one stage over one binned table, whose prefixes the folds are. Other
+    folds are grown in one stage over one binned table, whose prefixes the folds are; support
+    vector machines of all candidates and folds share their passes over the rows. Other
     candidates are independent Spark jobs submitted from a small thread pool.
     """
     narrow = df.select(time_col, target, *features)
@@ -66,6 +68,8 @@ def random_search(
 
     if algorithm in ENSEMBLES:
         rows = _search_ensembles(train, algorithm, freq, features, target, candidates, folds)
+    elif algorithm == "svr":
+        rows = _search_svr(train, freq, features, target, candidates, folds)
     else:
         with ThreadPool(min(parallelism, len(candidates))) as pool:
             rows = pool.map(run, range(len(candidates)))
@@ -100,6 +104,21 @@ def _search_ensembles(train: DataFrame, algorithm: str, freq: str, features: Seq
     return [(i, str(c), mean(i), problems.get(i)) for i, c in enumerate(candidates)]
 
 
+def _search_svr(train: DataFrame, freq: str, features: Sequence[str], target: str, candidates: Sequence[dict], folds: Sequence[tuple[int, int]]) -> list[tuple]:
+    """(candidate, parameters, mean squared error, problem) of every candidate, fitted together."""
+    jobs, problems = {}, {}
+    for i, candidate in enumerate(candidates):
+        try:
+            params = SvrParams(**model_params("svr", freq, **candidate))
+            jobs[i] = [SvrJob(params, *fold) for fold in folds]
+        except ValueError as problem:
+            problems[i] = str(problem).splitlines()[0]
+    found = train_svr(train, features, target, [j for made in jobs.values() for j in made], "pos") if jobs else []
+    errors = {i: [e for _, e in found[at * len(folds) : (at + 1) * len(folds)]] for at, i in enumerate(jobs)}
+    mean = lambda i: float(sum(errors[i]) / len(folds)) if i in jobs else None
+    return [(i, str(c), mean(i), problems.get(i)) for i, c in enumerate(candidates)]
+
+
 def nn_search(
     df: DataFrame,
     kind: str,
