@@ -69,3 +69,20 @@ def test_errors_fade_by_their_coefficient(panel):
 def test_empty_panel(panel):
     assert linear_forecast_per_key(panel.limit(0), "D", "ts", ["key"], ["a", "b"], "y").count() == 0
     assert arx_forecast_ar1_per_key(panel.limit(0), "D", "ts", ["key"], ["a", "b"], "y").count() == 0
+
+
+def exchanges(spark, frame):
+    """Exchanges by hash in a plan whose joins may not broadcast."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = frame()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    return sum("Exchange hashpartitioning" in line for line in plan.splitlines())
+
+
+def test_rows_stay_with_their_series(spark, panel):
+    # One exchange of the rows for the fit and one for all after it, and one of the models.
+    assert exchanges(spark, lambda: linear_forecast_per_key(panel, "D", "ts", ["key"], ["a", "b"], "y")) <= 3

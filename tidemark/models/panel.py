@@ -3,7 +3,9 @@
 The centred cross products of all keys come from built-in aggregates, so a key with a third of the
 rows is one partial row per task like any other. The small systems of all keys are
 solved in Arrow batches, one batched factorisation each. A result row per key is joined to the rows to
-predict; AQE splits the rows of a hot key.
+predict; AQE splits the rows of a hot key. Each series goes by one struct of its keys, which is never null:
+rows that a window has dealt out by it stay where they are in the aggregates, joins and windows that
+follow, and one profile of the table serves all of them.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.metrics import score
-from ..operators.ordered import place
+from ..operators.ordered import Profile, place, profile
 from ..operators.split import chronological_split
 from ..schema import FEATURES, TARGET
 
@@ -66,11 +68,19 @@ def fit_linear_per_key(train: DataFrame, keys: Sequence[str], features: Sequence
     return sums.mapInArrow(solve, ", ".join([*kinds, "coefficients array<double>", "intercept double", "rows bigint"]))
 
 
-def _with_model(rows: DataFrame, model: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Each row with the result of its key; null keys meet null keys."""
-    other = model.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *[c for c in model.columns if c not in keys])
-    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
-    return rows.join(other, same, "left").drop(*(f"__k{i}" for i in range(len(keys))))
+# The struct of a row's keys.
+SERIES = "__series"
+
+
+def _with_model(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """Each row with the result of its series; structs with null keys meet."""
+    other = model.withColumnRenamed(SERIES, "__of")
+    return rows.join(other, F.col(SERIES) == F.col("__of"), "left").drop("__of")
+
+
+def _named(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The keys in place of their struct."""
+    return rows.select(*(F.col(SERIES)[k].alias(k) for k in keys), *(F.col(f"`{c}`") for c in rows.columns if c != SERIES))
 
 
 def _line(features: Sequence[str]):
@@ -81,47 +91,71 @@ def _line(features: Sequence[str]):
     return total
 
 
-def linear_predictions_per_key(df: DataFrame, time_col: str, keys: Sequence[str], features: Sequence[str] = FEATURES, target: str = TARGET) -> DataFrame:
+def _lined(df: DataFrame, time_col: str, keys: Sequence[str], features: Sequence[str], target: str, prof: Profile) -> DataFrame:
+    """``linear_predictions_per_key`` with the struct of the keys in their place."""
+    rows = df.select(F.struct(*keys).alias(SERIES), time_col, target, *features)
+    split = chronological_split(rows, time_col, keys=[SERIES], prof=prof)
+    model = fit_linear_per_key(split.where("split = 'train'"), [SERIES], features, target)
+    made = _with_model(split, model)
+    return made.select(SERIES, time_col, F.col(target).cast("double").alias("actual"), _line(features).alias("predicted"), "pos", "split")
+
+
+def linear_predictions_per_key(
+    df: DataFrame, time_col: str, keys: Sequence[str], features: Sequence[str] = FEATURES, target: str = TARGET, prof: Profile | None = None
+) -> DataFrame:
     """``keys…, time, actual, predicted, pos, split`` of all rows, each series split and fitted on its own.
 
-    A null feature or a key without a model predicts null.
+    A null feature or a key without a model predicts null. ``prof`` is the profile of the rows
+    or of rows that these are a part of.
     """
-    split = chronological_split(df.select(*keys, time_col, target, *features), time_col, keys=keys)
-    model = fit_linear_per_key(split.where("split = 'train'"), keys, features, target)
-    made = _with_model(split, model, keys)
-    return made.select(*keys, time_col, F.col(target).cast("double").alias("actual"), _line(features).alias("predicted"), "pos", "split")
+    prof = prof or profile(df, time_col, keys)
+    return _named(_lined(df, time_col, keys, features, target, prof), keys)
 
 
-def _scores(rows: DataFrame, time_col: str, keys: Sequence[str], name: str, freq: str) -> DataFrame:
+def _scores(rows: DataFrame, time_col: str, keys: Sequence[str], name: str, freq: str, prof: Profile) -> DataFrame:
     held = rows.where("split <> 'train'").withColumns({"model": F.lit(name), "freq": F.lit(freq)})
-    return score(held, time_col, by=[*keys, "model", "freq", "split"])
+    return _named(score(held, time_col, by=[SERIES, "model", "freq", "split"], prof=prof), keys)
 
 
-def linear_forecast_per_key(df: DataFrame, freq: str, time_col: str, keys: Sequence[str], features: Sequence[str] = FEATURES, target: str = TARGET) -> DataFrame:
+def linear_forecast_per_key(
+    df: DataFrame, freq: str, time_col: str, keys: Sequence[str], features: Sequence[str] = FEATURES, target: str = TARGET, prof: Profile | None = None
+) -> DataFrame:
     """Validation and test scores of one linear model per key."""
-    return _scores(linear_predictions_per_key(df, time_col, keys, features, target), time_col, keys, "linear", freq)
-
+    prof = prof or profile(df, time_col, keys)
+    return _scores(_lined(df, time_col, keys, features, target, prof), time_col, keys, "linear", freq, prof)
 
-def ar1_predictions_per_key(df: DataFrame, time_col: str, keys: Sequence[str], features: Sequence[str] = FEATURES, target: str = TARGET) -> DataFrame:
-    """Regression with first-order autoregressive errors per key, forecast from the end of the train rows.
 
-    The error's coefficient is the least-squares one of each residual on the one before; the forecast h rows
-    after the last train row adds its h-th power times the last residual. A series without two
-    neighbouring residuals has the coefficient 0.
-    """
-    lined = linear_predictions_per_key(df, time_col, keys, features, target)
+def _ar1(df: DataFrame, time_col: str, keys: Sequence[str], features: Sequence[str], target: str, prof: Profile) -> DataFrame:
+    """``ar1_predictions_per_key`` with the struct of the keys in their place."""
+    lined = _lined(df, time_col, keys, features, target, prof)
     residual = lined.where("split = 'train'").withColumn("v", F.col("actual") - F.col("predicted"))
-    before = place(residual.select(*keys, time_col, "pos", "v"), time_col, keys, before={"u": "v"})
-    errors = before.groupBy(*keys).agg(
+    before = place(residual.select(SERIES, time_col, "pos", "v"), time_col, [SERIES], before={"u": "v"}, prof=prof)
+    errors = before.groupBy(SERIES).agg(
         F.coalesce(F.try_divide(F.sum(F.col("v") * F.col("u")), F.sum(F.when(F.col("v").isNotNull(), F.col("u") * F.col("u")))), F.lit(0.0)).alias("phi"),
         F.max_by("v", "pos").alias("last"),
         F.max("pos").alias("end"),
     )
-    held = _with_model(lined, errors, keys)
+    held = _with_model(lined, errors)
     ahead = F.col("predicted") + F.pow("phi", F.col("pos") - F.col("end")) * F.coalesce("last", F.lit(0.0))
-    return held.select(*keys, time_col, "actual", F.when(F.col("split") == "train", F.col("predicted")).otherwise(ahead).alias("predicted"), "pos", "split")
+    return held.select(SERIES, time_col, "actual", F.when(F.col("split") == "train", F.col("predicted")).otherwise(ahead).alias("predicted"), "pos", "split")
+
+
+def ar1_predictions_per_key(
+    df: DataFrame, time_col: str, keys: Sequence[str], features: Sequence[str] = FEATURES, target: str = TARGET, prof: Profile | None = None
+) -> DataFrame:
+    """Regression with first-order autoregressive errors per key, forecast from the end of the train rows.
+
+    The error's coefficient is the least-squares one of each residual on the one before; the forecast h rows
+    after the last train row adds its h-th power times the last residual. A series without two
+    neighbouring residuals has the coefficient 0.
+    """
+    prof = prof or profile(df, time_col, keys)
+    return _named(_ar1(df, time_col, keys, features, target, prof), keys)
 
 
-def arx_forecast_ar1_per_key(df: DataFrame, freq: str, time_col: str, keys: Sequence[str], features: Sequence[str] = FEATURES, target: str = TARGET) -> DataFrame:
+def arx_forecast_ar1_per_key(
+    df: DataFrame, freq: str, time_col: str, keys: Sequence[str], features: Sequence[str] = FEATURES, target: str = TARGET, prof: Profile | None = None
+) -> DataFrame:
     """Validation and test scores of one regression with first-order errors per key."""
-    return _scores(ar1_predictions_per_key(df, time_col, keys, features, target), time_col, keys, "sarimax", freq)
+    prof = prof or profile(df, time_col, keys)
+    return _scores(_ar1(df, time_col, keys, features, target, prof), time_col, keys, "sarimax", freq, prof)

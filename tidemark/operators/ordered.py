@@ -111,9 +111,16 @@ def _ranks(parts: int) -> Column:
 def profile_with(df: DataFrame, order_by: str, largest: str | None, keys: Sequence[str] = ()) -> tuple[Profile, object]:
     """The profile and the largest value of one more column, from the same pass.
 
+    With keys the sizes of the series come first: no sketch is needed if all are short.
     Sketches of the tasks are merged in groups before the last merge, so that no task reads
     one of every other.
     """
+    if keys:
+        held = (F.max(F.col(f"`{largest}`")) if largest else F.lit(None).cast("bigint")).alias("x")
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), held)
+        row = sizes.agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max("x").alias("x")).first()
+        if (row["n"] or 0) <= PLAIN_ROWS or row["most"] <= PLAIN_ROWS:
+            return Profile(row["n"] or 0), row["x"]
     narrow = df.select(order_value(df, order_by).alias("__o"), (F.col(f"`{largest}`") if largest else F.lit(None).cast("bigint")).alias("__x"))
     sketch, merge, quantile = _sketches(narrow.schema["__o"].dataType.simpleString())
     groups = narrow.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGES)).alias("__g")).agg(
@@ -123,8 +130,6 @@ def profile_with(df: DataFrame, order_by: str, largest: str | None, keys: Sequen
     rows = row["n"] or 0
     if rows <= PLAIN_ROWS:
         return Profile(rows), row["x"]
-    if keys and longest_series(df, keys) <= PLAIN_ROWS:
-        return Profile(rows), row["x"]
     wanted = -(-rows // BUCKET_ROWS)
     buckets = min(MAX_BUCKETS, max(2, wanted))
     held = df.sparkSession.createDataFrame([(bytes(row["s"]),)], "s binary")

@@ -19,6 +19,7 @@ from ..models.tabular import feature_importance, train_and_evaluate
 from ..models.vote import voting_forecast
 from ..operators.clean import impute_missing
 from ..operators.metrics import compare_models
+from ..operators.ordered import profile
 from ..operators.resample import resample_median
 from ..operators.split import chronological_split
 from ..operators.stats import residual_report
@@ -189,11 +190,13 @@ PANEL_FEATURES = ("quantity", "discount", "tax")
 
 
 def _panel(spark, sf_dir):
+    """The panel, and the profile of its lines before equal numbers fall together, which costs no shuffle of them."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     number = ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 10_000_000 + F.col("l_partkey")).cast("bigint").alias("num")
+    prof = profile(lines.select(F.col("l_suppkey").alias("station"), number), "num", ["station"])
     values = {"quantity": "l_quantity", "discount": "l_discount", "tax": "l_tax", "price": "l_extendedprice"}
     cells = [(F.max(c).cast("double") / (1000.0 if n == "price" else 1.0)).alias(n) for n, c in values.items()]
-    return lines.groupBy(F.col("l_suppkey").alias("station"), number).agg(*cells)
+    return lines.groupBy(F.col("l_suppkey").alias("station"), number).agg(*cells), prof
 
 
 def _sql_panel() -> str:
@@ -220,7 +223,8 @@ SELECT station, '{model}' AS model, 'D' AS freq, split, {SQL_SCORES}, {SQL_MASE}
 
 @query("linear_forecast_per_key", f"WITH {_sql_panel()}, {_sql_panel_scores('ols', 'linear')}")
 def linear_per_key(spark, sf_dir):
-    return rounded(linear_forecast_per_key(_panel(spark, sf_dir), "D", "num", ["station"], PANEL_FEATURES, "price"))
+    panel, prof = _panel(spark, sf_dir)
+    return rounded(linear_forecast_per_key(panel, "D", "num", ["station"], PANEL_FEATURES, "price", prof))
 
 
 @query(
@@ -232,7 +236,8 @@ ar1 AS (SELECT o.station, num, split, actual, predicted + pow(phi, pos - fin) *
 {_sql_panel_scores('ar1', 'sarimax')}""",
 )
 def ar1_per_key(spark, sf_dir):
-    return rounded(arx_forecast_ar1_per_key(_panel(spark, sf_dir), "D", "num", ["station"], PANEL_FEATURES, "price"))
+    panel, prof = _panel(spark, sf_dir)
+    return rounded(arx_forecast_ar1_per_key(panel, "D", "num", ["station"], PANEL_FEATURES, "price", prof))
 
 
 @query("voting_forecast")
