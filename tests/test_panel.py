@@ -86,3 +86,7 @@ def exchanges(spark, frame):
 def test_rows_stay_with_their_series(spark, panel):
     # One exchange of the rows for the fit and one for all after it, and one of the models.
     assert exchanges(spark, lambda: linear_forecast_per_key(panel, "D", "ts", ["key"], ["a", "b"], "y")) <= 3
+
+
+def test_errors_stay_with_their_series(spark, panel):
+    assert exchanges(spark, lambda: arx_forecast_ar1_per_key(panel, "D", "ts", ["key"], ["a", "b"], "y")) <= 5
