@@ -14,6 +14,8 @@ from .ordered import Profile, attach, longest_series, place
 GROUP_CELLS = 1 << 22
 # Accuracy of the bracketing sketch.
 SKETCH = 10_000
+# Brackets (groups x columns) that are broadcast: some 10 MB.
+FEW_BRACKETS = 1 << 16
 
 
 def unpivot_numeric(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -97,6 +99,10 @@ def _ranked(rows: DataFrame, match: Sequence[str], probs: Sequence[float], reach
         size.alias("__n"),
         F.when((size > SKETCH) & F.lit(reach < 1.0), F.percentile_approx("value", wide, SKETCH)).alias("__ends"),
     )
+    # Stored, as they are read twice. Few ones go to the rows: else all rows of a column would meet in one task.
+    brackets = cut_lineage(brackets)
+    if brackets.limit(FEW_BRACKETS + 1).count() <= FEW_BRACKETS:
+        brackets = F.broadcast(brackets)
     bounded = attach(rows.filter(F.col("value").isNotNull()), brackets, ["__ends"], match)
     value = F.col("value")
     cells = []
