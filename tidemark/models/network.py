@@ -339,6 +339,8 @@ def window_forecast(
     ``overrides`` replace registry parameters (units, activations, dropout, learning_rate).
     """
     params = {**best_params(kind, freq), **overrides}
+    # Read several times, so stored first.
+    df = cut_lineage(df.select(time_col, *channels))
     windows, bounds = window_dataset(df, time_col, freq, channels, fit_on, window)
     rows = cut_lineage(_flat_windows(windows))
     width = len(bounds)

@@ -130,17 +130,28 @@ def nn_search(
     window: int | None = None,
     candidates: Sequence[dict] | None = None,
     seed: int = 42,
+    parallelism: int = 5,
 ) -> DataFrame:
-    """Validation RMSE of sampled networks: ``trial, params, rmse``, best first."""
+    """Validation RMSE of sampled networks: ``trial, params, rmse``, best first.
+
+    The table is read once and stored; networks are independent and trained from a small
+    thread pool.
+    """
+    df = cut_lineage(df.select(time_col, *channels))
     windows, bounds = window_dataset(df, time_col, freq, channels, window=window)
     rows = cut_lineage(_flat_windows(windows))
     train, held = rows.filter(F.col("split") == "train"), rows.filter(F.col("split") == "validation")
     length = window or WINDOW[freq]
-    rng, found = random.Random(seed), []
+    rng = random.Random(seed)
     candidates = list(candidates or [sample_network(rng) for _ in range(trials)])
-    for i, p in enumerate(candidates):
+
+    def run(at: int):
+        p = candidates[at]
         net = Net(kind, length, len(bounds), tuple(p["units"]), tuple(p["activations"]), p["dropout"])
         _, history = fit_network(train, held, net, p["learning_rate"], epochs, seed=seed)
-        found.append((i, str(p), math.sqrt(min(history))))
+        return at, str(p), math.sqrt(min(history))
+
+    with ThreadPool(min(parallelism, len(candidates))) as pool:
+        found = pool.map(run, range(len(candidates)))
     table = df.sparkSession.createDataFrame(found, "trial int, params string, rmse double")
     return table.orderBy("rmse", "trial")
