@@ -143,3 +143,20 @@ def test_words_are_encoded_as_in_their_text(monkeypatch):
     for text, ids in zip(texts, words.texts(texts)):
         assert ids == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
     assert len(words) == 6
+
+
+def test_words_of_letters_need_the_model_alone():
+    library, words = Tokenizer.from_file(WORD), token_files._Words(WORD, "<u2")
+    letters = [chr(c) for c in (*range(0x250), 0x1E9E, 0x212B) if chr(c).isalpha() and chr(c).lower() < "\u0250"]
+    pieces = [p for c in letters for p in (c, f"a{c}b", f"Q{c}x!?", f"{c}z***")]
+    seen = []
+
+    class Spy:
+        def encode(self, text, **how):
+            seen.append(text)
+            return library.encode(text, **how)
+
+    words.tokenizer = Spy()
+    for piece, ids in zip(pieces, words.texts(pieces)):
+        assert ids == np.array(library.encode(piece, add_special_tokens=False).ids, "<u2").tobytes()
+    assert {c for text in seen for c in text if c.isalpha()} <= set("aQbxz\u0130\u1e9e\u212b")

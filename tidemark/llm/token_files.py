@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import new_path
+from .bpe import byte_letters
 from .shared import commit, file_system, small_batches, stored
 
 MAGIC = b"TIDEHUF1"
@@ -26,6 +27,10 @@ FILE_IDS = 4_000_000
 CACHE_WORDS = 500_000
 # How vocabularies of words mark a word's last token, and their split pattern.
 WORD_END = "</w>"
+# Marks that make one word of their own after a word; an apostrophe may begin a contraction.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+# The letters below are composed ones, of which all but one keep a single letter in lower case.
+NOT_LATIN, DOTTED = "\u0250", "\u0130"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
@@ -157,75 +162,45 @@ def unpack(data: bytes, tables: dict | None = None):
 
 
 class _Words(dict):
-    """Ids, as bytes, of the text between two blanks; up to CACHE_WORDS of them are kept."""
+    """Ids, as bytes, of the text between two blanks; up to CACHE_WORDS of them are kept.
+
+    A word of Latin letters goes to the model itself: in lower case, which composed letters
+    keep, neither normalizer nor split changes it. Case is dropped, and marks after a word are
+    a word of their own. All else goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str, kind: str):
-        import numpy as np
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer, self.kind = Tokenizer.from_file(path), kind
+        self.letters = {byte: letter for letter, byte in byte_letters().items()}
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
-        self[""] = b""
-        self.stops = {"": b"", **{s: self._encoded([s])[0] for s in ",."}}
-
-    def _encoded(self, words: list[str]) -> list[bytes]:
-        """Ids of many words by one call: a blank between two of them ends both."""
-        import numpy as np
-
-        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        ids = np.array(found.ids, self.kind).tobytes()
-        starts = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
-        ends = np.cumsum([0, *(len(w) + 1 for w in words)])
-        cuts = (np.searchsorted(starts, ends) * np.dtype(self.kind).itemsize).tolist()
-        return [ids[i:j] for i, j in zip(cuts, cuts[1:])]
+        self.tokenize, self.code = self.tokenizer.model.tokenize, {"<u2": "H", "<u4": "I"}[kind]
+
+    def __missing__(self, piece: str) -> bytes:
+        word = piece.rstrip(MARKS)
+        low, stop = word.lower(), piece[len(word) :]
+        if not word.isalpha() or not (word.isascii() or max(word) < NOT_LATIN and DOTTED not in word):
+            ids = self.text(piece)
+        elif low != piece:
+            ids = self[low] + self[stop] if stop else self[low]
+        else:
+            spelled = low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)
+            found = [token.id for token in self.tokenize(spelled)]
+            ids = struct.pack(f"<{len(found)}{self.code}", *found)
+        self[piece] = ids
+        return ids
 
-    def _plain(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters alone: the one token that ends a word tells where, without offsets."""
+    def text(self, text: str) -> bytes:
         import numpy as np
 
-        [found] = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)
-        ids = np.array(found.ids, self.kind)
-        cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()]
-        if len(cuts) != len(words) + 1:
-            return self._encoded(words)
-        raw = ids.tobytes()
-        return [raw[i:j] for i, j in zip(cuts, cuts[1:])]
-
-    def text(self, text: str) -> bytes:
-        return self._encoded([text])[0] if text else b""
-
-    def learn(self, pieces: set[str]) -> None:
-        """Find the ids of pieces not known. A stop or comma after a word is a word of its own, and case is dropped."""
-        plain, other, ended = set(), [], []
-        for piece in pieces:
-            word, stop = (piece[:-1], piece[-1]) if piece[-1] in ",." else (piece, "")
-            if word.isascii() and word.isalpha():
-                low = word.lower()
-                if low not in self:
-                    plain.add(low)
-                if low != piece:
-                    ended.append((piece, low, stop))
-            else:
-                other.append(piece)
-        for words, encode in ((list(plain), self._plain), (other, self._encoded)):
-            at, size = 0, 0
-            for i, word in enumerate(words, 1):
-                size += len(word)
-                if size > 1 << 16 or i == len(words):
-                    self.update(zip(words[at:i], encode(words[at:i])))
-                    at, size = i, 0
-        self.update((piece, self[low] + self.stops[stop]) for piece, low, stop in ended)
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes() if text else b""
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """Ids of every text; words met after the bound is reached are forgotten with their texts."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        self.learn(set().union(*split) - self.keys())
-        out = [b"".join(map(self.__getitem__, pieces)) for pieces in split]
+        out = [b"".join(map(self.__getitem__, t.replace("\n", " ").split(" "))) for t in texts]
         while len(self) > CACHE_WORDS:
             self.popitem()
         return out
@@ -301,11 +276,10 @@ def _count(ids: DataFrame, kind: str) -> DataFrame:
 
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for cell in batch.column(0):
-                seen = np.bincount(np.frombuffer(cell.as_py(), kind))
-                if len(seen) > len(total):
-                    total = np.concatenate([total, np.zeros(len(seen) - len(total), np.int64)])
-                total[: len(seen)] += seen
+            seen = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), kind))
+            if len(seen) > len(total):
+                total = np.concatenate([total, np.zeros(len(seen) - len(total), np.int64)])
+            total[: len(seen)] += seen
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
 
