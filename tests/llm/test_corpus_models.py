@@ -227,3 +227,15 @@ def test_scores_past_64_bits_are_exact(spark, monkeypatch):
     monkeypatch.setattr(phrases, "frequent_phrases", lambda docs, *rest: docs.sparkSession.createDataFrame(made, "lang string, size int, phrase string, f bigint"))
     (row,) = phrases.collocations(table(spark, "/root/testdata/sf0.001", "documents")).collect()
     assert row["score"] == 1000 * (big + 7) * 7 * big // (3 * big * (2 * big + 1))
+
+
+def test_phrases_are_not_told_by_every_piece_of_the_input(spark):
+    """Counts of phrases leave a task once; their number must not grow with the partitions."""
+    rows = spark.createDataFrame([("en", bytearray(b"one two three")) for _ in range(300)], "lang string, text binary").repartition(100)
+    words = phrases._count(rows, 3, lambda run: run.whole)
+    made = phrases._spellings(rows, 3, phrases.make_filter(words)).collect()
+    assert len(made) <= 7 * phrases.TURNS * spark.sparkContext.defaultParallelism
+    total = {}
+    for r in made:
+        total[bytes(r["phrase"])] = total.get(bytes(r["phrase"]), 0) + r["c"]
+    assert total == {b"": 900} | {p: 300 for p in (b"one", b"two", b"three", b"one two", b"two three", b"one two three")}

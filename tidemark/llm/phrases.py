@@ -29,6 +29,7 @@ SAMPLE = 8
 FILTER_BITS = 28
 RUN_BYTES = 2 << 20
 HELD = 2_000_000
+TURNS = 2
 VOCABULARY = 400_000
 MULTIPLIER = 0x9E3779B97F4A7C15
 # A-Z in lower case, piece ends as line feeds.
@@ -281,8 +282,12 @@ class _Spelling:
         self.parts, self.size, self.odd = [], 0, []
 
 
-def _spelled(rows: DataFrame, longest: int, frequent: Filter) -> DataFrame:
-    """(lang, size, phrase, f) of all phrases in the filter; size 0 counts the words of a lang."""
+def _spellings(rows: DataFrame, longest: int, frequent: Filter) -> DataFrame:
+    """(lang, size, phrase, c): each task's counts of all phrases in the filter; size 0 counts the words of a lang.
+
+    A task tells nearly all frequent phrases however few rows it reads, so the pass takes
+    TURNS tasks a slot and not one for every piece of the input.
+    """
 
     def spell(batches: Iterator) -> Iterator:
         import collections
@@ -313,8 +318,13 @@ def _spelled(rows: DataFrame, longest: int, frequent: Filter) -> DataFrame:
             n = len(words)
             yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array([0] * n, pa.int32()), pa.array([b""] * n, pa.binary()), pa.array(list(words.values()), pa.int64())], ["lang", "size", "phrase", "c"])
 
-    made = rows.mapInArrow(spell, "lang string, size int, phrase binary, c bigint")
-    return made.groupBy("lang", "size", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("c").alias("f"))
+    some = rows.coalesce(TURNS * rows.sparkSession.sparkContext.defaultParallelism)
+    return some.mapInArrow(spell, "lang string, size int, phrase binary, c bigint")
+
+
+def _spelled(rows: DataFrame, longest: int, frequent: Filter) -> DataFrame:
+    """(lang, size, phrase, f) of all phrases in the filter; size 0 counts the words of a lang."""
+    return _spellings(rows, longest, frequent).groupBy("lang", "size", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("c").alias("f"))
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, sample: int = SAMPLE) -> DataFrame:
