@@ -239,3 +239,25 @@ def test_phrases_are_not_told_by_every_piece_of_the_input(spark):
     for r in made:
         total[bytes(r["phrase"])] = total.get(bytes(r["phrase"]), 0) + r["c"]
     assert total == {b"": 900} | {p: 300 for p in (b"one", b"two", b"three", b"one two", b"two three", b"one two three")}
+
+
+def test_a_new_vocabulary_makes_no_task_tell_its_phrases_again(spark):
+    """One task meets far more words than a vocabulary holds; the counts so far go along."""
+    texts = [" ".join(f"w{part}x{i}" for i in range(250_000)) + ". One two three." for part in range(4)]
+    rows = spark.createDataFrame([("en", bytearray(t.encode())) for t in texts], "lang string, text binary").repartition(1)
+    known = spark.createDataFrame([("en", bytearray(b"one two three"))], "lang string, text binary")
+    made = phrases._spellings(rows, 3, phrases.make_filter(phrases._count(known, 3, lambda run: run.whole))).collect()
+    told = {bytes(r["phrase"]): r["c"] for r in made if r["size"]}
+    assert told == dict.fromkeys([b"one", b"two", b"three", b"one two", b"two three", b"one two three"], 4)
+    assert len(made) == 7 and sum(r["c"] for r in made if not r["size"]) == 4 * 250_003
+
+
+def test_counts_that_move_to_another_vocabulary_keep_their_words():
+    old, new, held = phrases._Vocabulary(), phrases._Vocabulary(), phrases._Spelling(3)
+    run = phrases.Run([("en", b"z y\na b c\na b c")], old, 3)
+    held.add(run, np.flatnonzero(run.whole[2]), 2)
+    held.odd.append(((old[b"b"], old[b"c"], -1), 0, 5))
+    new[b"other"], new[b"b"]
+    assert held.move(old, new) and set(new) == {b"other", b"a", b"b", b"c"}
+    (found,) = held.batches(new)
+    assert sorted(zip(found.column(2).to_pylist(), found.column(3).to_pylist())) == [(b"a b c", 2), (b"b c", 5)]

@@ -261,6 +261,25 @@ class _Spelling:
         times = np.bincount(which[same], times[same], len(first)).astype(np.int64)
         self.parts, self.size = [(hashes, words[first], code[first], times)], len(first)
 
+    def move(self, old: _Vocabulary, new: _Vocabulary) -> bool:
+        """Number the words by another vocabulary, unless they are too many to carry over."""
+        import numpy as np
+
+        if self.parts:
+            self.merge()
+        odd = np.array([words for words, _, _ in self.odd], np.int32).reshape(-1, self.longest)
+        used = np.unique(np.concatenate([words.ravel() for _, words, _, _ in self.parts] + [odd.ravel()]))
+        used = used[used >= 0]
+        if len(used) > VOCABULARY // 2:
+            return False
+        spelled = list(old)
+        # The last place is that of -1, no word.
+        numbers = np.full(len(spelled) + 1, -1, np.int32)
+        numbers[used] = [new[spelled[w]] for w in used.tolist()]
+        self.parts = [(hashes, numbers[words], code, times) for hashes, words, code, times in self.parts]
+        self.odd = [(tuple(words), code, n) for words, (_, code, n) in zip(numbers[odd].tolist(), self.odd)]
+        return True
+
     def batches(self, vocabulary: _Vocabulary) -> Iterator:
         import pyarrow as pa
 
@@ -286,7 +305,8 @@ def _spellings(rows: DataFrame, longest: int, frequent: Filter) -> DataFrame:
     """(lang, size, phrase, c): each task's counts of all phrases in the filter; size 0 counts the words of a lang.
 
     A task tells nearly all frequent phrases however few rows it reads, so the pass takes
-    TURNS tasks a slot and not one for every piece of the input.
+    TURNS tasks a slot and not one for every piece of the input. Counts go along when a task
+    begins a new vocabulary, so it tells a phrase once, unless it holds more than HELD of them.
     """
 
     def spell(batches: Iterator) -> Iterator:
@@ -297,7 +317,7 @@ def _spellings(rows: DataFrame, longest: int, frequent: Filter) -> DataFrame:
 
         held, words, vocabulary = _Spelling(longest), collections.Counter(), None
         for run in _runs(batches, longest):
-            if vocabulary is not None and (run.vocabulary is not vocabulary or held.size > HELD):
+            if vocabulary is not None and (held.size > HELD or run.vocabulary is not vocabulary and not held.move(vocabulary, run.vocabulary)):
                 yield from held.batches(vocabulary)
             vocabulary = run.vocabulary
             for lang, n in zip(run.langs, np.bincount(run.piece, minlength=len(run.langs)).tolist()):
