@@ -296,3 +296,33 @@ def test_map_of_keys_loses_none(spark):
     rows = spark.range(20000).select("id", F.xxhash64("id").alias("key"))
     left = {r["id"] for r in lines._sifted(rows, keys, 5000).collect()}
     assert left >= set(range(5000)) and len(left) < 7000
+
+
+@pytest.mark.parametrize("key_pairs", [4096, 4])
+def test_near_copies_with_too_many_changes_are_not_paired(spark, monkeypatch, key_pairs):
+    """They share segments, but their letters tell that more edits lie between them than a link may have."""
+    r, made = random.Random(4), []
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    base = " ".join(word(6) for _ in range(40))
+    texts = {base}
+    while len(texts) < 60:
+        words = base.split()
+        for at in r.sample(range(5, 40), 3):
+            words[at] = word(6)
+        texts.add(" ".join(words))
+    # Links among the rest: one letter, and characters that are not counted.
+    texts |= {t.replace(t[100], "é", 1) for t in sorted(texts)[:9]}
+    texts = sorted(texts)
+    verified = lines.verified
+    monkeypatch.setattr(lines, "KEY_PAIRS", key_pairs)
+    monkeypatch.setattr(lines, "verified", lambda pairs, edits: made.append(pairs.count()) or verified(pairs, edits))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want, got = Groups(), Groups()
+    for i, a in enumerate(texts):
+        for b in texts[:i]:
+            if distance(a, b) <= 1 + min(len(a), len(b)) // 100:
+                want.join(a, b)
+    for x in lines.repeated_lines(docs, share=0.01).collect():
+        got.join(texts[x["doc"]], texts[x["first_doc"]])
+    assert {x: got.top(x) for x in texts} == {x: want.top(x) for x in texts}
+    assert len({want.top(x) for x in texts}) < len(texts) and sum(made) < 3 * len(texts)
